@@ -89,18 +89,25 @@ def crosstab(df: DataFrame, row: str, column: str, values: Sequence[str] | None
     return count_matrix(pairs, name, "_value", values)
 
 
-def one_hot_counts(df: DataFrame, key: str, categories: Mapping[str, Sequence[str]], prefix: bool = True) -> DataFrame:
+def one_hot_counts(
+    df: DataFrame,
+    key: str,
+    categories: Mapping[str, Sequence[str]],
+    prefix: bool = True,
+    total: str | None = None,
+) -> DataFrame:
     """Counts per key of the listed values of several columns, in a single aggregation.
 
-    Columns are named ``column_value``, or ``value`` without the prefix.
+    Columns are named ``column_value``, or ``value`` without the prefix; ``total`` names one more for all rows.
     """
-    return df.groupBy(key).agg(
-        *[
-            _count_of(F.col(column), value).alias(f"{column}_{value}" if prefix else str(value))
-            for column, values in categories.items()
-            for value in values
-        ]
-    )
+    cells = [
+        _count_of(F.col(column), value).alias(f"{column}_{value}" if prefix else str(value))
+        for column, values in categories.items()
+        for value in values
+    ]
+    if total is not None:
+        cells.append(F.count(F.lit(1)).alias(total))
+    return df.groupBy(key).agg(*cells)
 
 
 def matrix_means(matrix: DataFrame, columns: Sequence[str]) -> DataFrame:

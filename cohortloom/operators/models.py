@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
+from multiprocessing.pool import ThreadPool
 
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.clustering import KMeans, KMeansModel
@@ -33,10 +35,20 @@ def kmeans_cost(model: KMeansModel, df: DataFrame, features: str = "scaledFeatur
 
 
 def k_sweep(
-    df: DataFrame, ks: Iterable[int], features: str = "scaledFeatures", seed: int = SEED
+    df: DataFrame, ks: Iterable[int], features: str = "scaledFeatures", seed: int = SEED, parallelism: int = 4
 ) -> list[tuple[int, float]]:
-    """Training cost for each k. Every fit reads ``df`` again: cut a long lineage first."""
-    return [(k, fit_kmeans(df, k, features, seed).summary.trainingCost) for k in ks]
+    """Training cost for each k. The fits share one cached copy of the vectors and run side by side, since the
+    rounds of a single fit are too short to fill a cluster."""
+    vectors = df.select(features).persist(StorageLevel.MEMORY_AND_DISK)
+
+    def cost(k: int) -> tuple[int, float]:
+        return k, fit_kmeans(vectors, k, features, seed).summary.trainingCost
+
+    try:
+        with ThreadPool(parallelism) as pool:
+            return pool.map(inheritable_thread_target(df.sparkSession)(cost), list(ks))
+    finally:
+        vectors.unpersist()
 
 
 def logistic(label: str = "LABEL", features: str = "features") -> LogisticRegression:

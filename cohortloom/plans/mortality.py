@@ -61,17 +61,26 @@ def condition_codes(
 
 
 def training_rows(
-    visits: DataFrame,
+    patients: DataFrame,
+    admissions: DataFrame,
     codes: DataFrame,
     vocabulary: Sequence[str],
-    categories: Mapping[str, Sequence[str]],
+    patient_categories: Mapping[str, Sequence[str]],
+    admission_categories: Mapping[str, Sequence[str]],
     on: str = "SUBJECT_ID",
 ) -> DataFrame:
-    """Visits with code counts, one-hot counts of their categories and the LABEL.
+    """Admissions of known patients with code counts, one-hot counts of categories and the LABEL.
 
-    Code counts and one-hot counts have one row per key and the same partitioning, so they meet without a shuffle
-    and reach the visits in a single join. Visits whose key has no code drop out.
+    The TARGET is a column of the patients or of the admissions. One-hot cells count the admissions of the subject,
+    so a category of the patient holds the number of admissions in one cell. Everything with one row per subject is
+    put together first, and the admissions are joined once. Subjects without codes drop out.
     """
-    counts = count_matrix(codes, on, "XCODE", vocabulary).join(one_hot_counts(visits, on, categories), on)
-    labelled = visits.withColumn("LABEL", label_from_target(F.col("TARGET")))
-    return attach_matrix(labelled, counts, on)
+    visits = one_hot_counts(admissions, on, admission_categories, total="_visits")
+    subjects = patients.join(count_matrix(codes, on, "XCODE", vocabulary), on).join(visits, on)
+    cells = {
+        f"{column}_{value}": F.when(F.col(column) == F.lit(value), F.col("_visits")).otherwise(F.lit(0))
+        for column, values in patient_categories.items()
+        for value in values
+    }
+    rows = attach_matrix(admissions, subjects.withColumns(cells).drop("_visits"), on)
+    return rows.withColumn("LABEL", label_from_target(F.col("TARGET")))

@@ -349,7 +349,6 @@ def union_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 # features and models
 
 VOCABULARY = [f"lab:{c}" for c in roles.MARKERS] + [f"icd:{c}" for c in roles.CHAPTERS]
-CATEGORIES = {"GENDER": roles.SEGMENTS, "ADMISSION_TYPE": roles.PRIORITIES}
 
 
 @query
@@ -362,8 +361,15 @@ def training_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
             "icd": _titled(spark, sf_dir).select("SUBJECT_ID", F.col("CHAPTER").alias("XCODE")),
         }
     )
-    visits = roles.visits(spark, sf_dir).drop("ADMITTIME", "DEATHTIME")
-    return mortality.training_rows(visits, codes, VOCABULARY, CATEGORIES)
+    admissions = roles.admissions(spark, sf_dir).withColumn("TARGET", columns.mortality_target(F.col("DEATHTIME")))
+    return mortality.training_rows(
+        roles.patients(spark, sf_dir),
+        admissions.drop("ADMITTIME", "DEATHTIME"),
+        codes,
+        VOCABULARY,
+        {"GENDER": roles.SEGMENTS},
+        {"ADMISSION_TYPE": roles.PRIORITIES},
+    )
 
 
 @query

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from cohortloom.functions import mortality_target
 from cohortloom.operators.features import rename
 from cohortloom.sources import read_parquet
 
@@ -19,8 +19,15 @@ CHAPTERS = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
 ABNORMAL_FROM, DELTA_BELOW = 80.0, 5.0
 
 
+_schemas: dict[str, T.StructType] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return read_parquet(spark, f"{sf_dir}/{name}.parquet")
+    """One test table; its schema is looked up once per process."""
+    path = f"{sf_dir}/{name}.parquet"
+    df = read_parquet(spark, path, _schemas.get(path))
+    _schemas.setdefault(path, df.schema)
+    return df
 
 
 def patients(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,9 +95,3 @@ def lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rename(
         table(spark, sf_dir, "part"), {"p_partkey": "ICD9_CODE", "p_name": "SHORT_TITLE", "p_type": "CHAPTER"}
     )
-
-
-def visits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Admissions of known patients with the outcome."""
-    joined = patients(spark, sf_dir).join(admissions(spark, sf_dir), "SUBJECT_ID")
-    return joined.withColumn("TARGET", mortality_target(F.col("DEATHTIME")))

@@ -40,8 +40,9 @@ def write_csv(df: DataFrame, path: str, mode: str = "errorifexists", header: boo
     df.write.mode(mode).option("header", header).csv(path)
 
 
-def read_parquet(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+def read_parquet(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
+    """Read Parquet; a known schema spares the job that looks it up in the files."""
+    return (spark.read.schema(schema) if schema is not None else spark.read).parquet(path)
 
 
 def write_parquet(df: DataFrame, path: str, mode: str = "errorifexists", compression: str = "snappy") -> None:
