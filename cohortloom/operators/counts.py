@@ -69,8 +69,8 @@ def count_matrix(df: DataFrame, key: str, code: str, codes: Sequence[str], prefi
     if len(codes) <= _ONE_PASS_COLUMNS:
         return df.groupBy(key).agg(*[_count_of(text, c).alias(f"{prefix}{c}") for c in codes])
     pairs = df.select(key, text.alias(code))
-    wide = pairs.groupBy(key).pivot(code, list(codes)).count().na.fill(0, list(codes))
-    return wide.select(key, *[F.col(f"`{c}`").alias(f"{prefix}{c}") for c in codes])
+    wide = pairs.groupBy(key).pivot(code, list(codes)).count()
+    return wide.select(key, *[F.coalesce(F.col(f"`{c}`"), F.lit(0)).alias(f"{prefix}{c}") for c in codes])
 
 
 def crosstab(df: DataFrame, row: str, column: str, values: Sequence[str] | None = None) -> DataFrame:

@@ -38,6 +38,7 @@ def heavy_keys(rows: DataFrame, key: str, share: float = HEAVY_SHARE, min_rows:
             F.expr(f"approx_top_k_accumulate(`{key}`, {_TRACKED})").alias("sketch"),
             F.count(F.lit(1)).alias("n"),
         )
+        .groupBy(F.lit(0).alias("all"))  # a grouped aggregate: no row, rather than an error, where nothing came in
         .agg(F.expr(f"approx_top_k_combine(sketch, {_TRACKED})").alias("sketch"), F.sum("n").alias("n"))
         .where(F.col("n") >= min_rows)
         .select("n", F.expr(f"approx_top_k_estimate(sketch, {most})").alias("top"))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortloom.functions import (
+    ADMISSION_DIAGNOSES,
     RISK_MARKERS,
     TITLE_WORDS,
     age_years,
@@ -15,9 +16,9 @@ from cohortloom.functions import (
     label_from_target,
     mortality_target,
 )
-from cohortloom.operators.counts import count_matrix, one_hot_counts, union_codes
-from cohortloom.operators.filters import codes_in_set, flagged_any
-from cohortloom.operators.joins import attach_matrix, diagnoses_by_title, patient_admissions
+from cohortloom.operators.counts import count_matrix, distinct_values, one_hot_counts, union_codes
+from cohortloom.operators.filters import codes_in_set, flagged_any, title_search
+from cohortloom.operators.joins import attach_matrix, diagnoses_by_title, patient_admissions, whitelist
 
 #: Columns that describe an admission and are no model features.
 DESCRIPTIVE = [
@@ -84,3 +85,31 @@ def training_rows(
     }
     rows = attach_matrix(admissions, subjects.withColumns(cells).drop("_visits"), on)
     return rows.withColumn("LABEL", label_from_target(F.col("TARGET")))
+
+
+def hospital_training_rows(
+    patients: DataFrame,
+    admissions: DataFrame,
+    labs: DataFrame,
+    diagnoses: DataFrame,
+    lookup: DataFrame,
+    markers: Sequence[str] | Mapping[str, str] = RISK_MARKERS,
+    words: Sequence[str] = TITLE_WORDS,
+    allowed: Sequence[str] | None = ADMISSION_DIAGNOSES,
+) -> DataFrame:
+    """The whole path from the hospital tables to training rows.
+
+    ``allowed`` keeps admissions with a listed diagnosis text and gives each text a one-hot column; None keeps all
+    admissions and leaves the free text out of the features.
+    """
+    admitted = admission_facts(admissions).drop("DEATHTIME")
+    categories = {name: distinct_values(admitted, name) for name in ("ADMISSION_TYPE", "INSURANCE")}
+    if allowed is not None:
+        admitted = whitelist(admitted, "DIAGNOSIS", allowed)
+        categories["DIAGNOSIS"] = allowed
+    facts = patient_facts(patients)
+    titled = distinct_values(title_search(lookup, "SHORT_TITLE", words), "ICD9_CODE")
+    vocabulary = [f"lab:{c}" for c in markers] + [f"icd:{c}" for c in titled]
+    codes = condition_codes(labs, diagnoses, lookup, markers, words)
+    genders = {"GENDER": distinct_values(facts, "GENDER")}
+    return training_rows(facts, admitted, codes, vocabulary, genders, categories)

@@ -37,7 +37,10 @@ def drop_header_rows(df: DataFrame, key: str, title: str | None = None) -> DataF
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "errorifexists", header: bool = True) -> None:
-    df.write.mode(mode).option("header", header).csv(path)
+    """Write CSV as a folder of part files; blanks at either end of a text are kept."""
+    df.write.mode(mode).options(
+        header=header, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
+    ).csv(path)
 
 
 def read_parquet(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:

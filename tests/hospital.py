@@ -1,0 +1,96 @@
+"""Small hospital files with invented rows, in the column order of the real ones."""
+
+from __future__ import annotations
+
+PATIENTS = """ROW_ID,SUBJECT_ID,GENDER,DOB,DOD,DOD_HOSP,DOD_SSN,EXPIRE_FLAG
+1,p1,F,2080-01-01 00:00:00,2150-06-01 00:00:00,2150-06-01 00:00:00,,1
+2,p2,M,2100-03-15 00:00:00,2155-03-15 00:00:00,,,1
+3,p3,F,2110-07-20 00:00:00,,,,0
+ROW_ID,SUBJECT_ID,GENDER,DOB,DOD,DOD_HOSP,DOD_SSN,EXPIRE_FLAG
+"""
+
+_ADMISSION = "{i},{s},{h},{admit},{disch},{death},{kind},WARD,HOME,{pay},EN,NONE,SINGLE,WHITE,,,{diag},0,1\n"
+ADMISSIONS = (
+    "ROW_ID,SUBJECT_ID,HADM_ID,ADMITTIME,DISCHTIME,DEATHTIME,ADMISSION_TYPE,L1,L2,INSURANCE,L3,L4,L5,L6,L7,L8,"
+    "DIAGNOSIS,X1,X2\n"
+    + "".join(
+        _ADMISSION.format(i=i, s=s, h=h, admit=a, disch=d, death=x, kind=k, pay=p, diag=g)
+        for i, (s, h, a, d, x, k, p, g) in enumerate(
+            [
+                ("p1", "h1", "2150-01-01 23:00:00", "2150-01-10 01:00:00", "", "EMERGENCY", "Medicare", "SEPSIS"),
+                ("p1", "h2", "2150-03-01 10:00:00", "2150-03-01 20:00:00", "", "ELECTIVE", "Medicare", "FEVER"),
+                ("p1", "h3", "2150-05-20 10:00:00", "2150-06-01 09:00:00", "2150-06-01 09:00:00", "EMERGENCY",
+                 "Private", '"HYPOTENSION, RENAL FAILURE"'),
+                ("p2", "h4", "2140-02-27 10:00:00", "2140-03-02 09:00:00", "", "URGENT", "Private",
+                 '"PULMONARY EDEMA\\CATH"'),
+                ("p3", "h5", "2140-01-01 10:00:00", "2140-01-03 09:00:00", "", "ELECTIVE", "Private", ""),
+                ("p9", "h6", "2141-01-01 10:00:00", "2141-01-03 09:00:00", "", "ELECTIVE", "Private", "VF ARREST "),
+            ]
+        )
+    )
+)
+
+LABS = """ROW_ID,SUBJECT_ID,HADM_ID,ITEMID,CHARTTIME,VALUE,VALUENUM,VALUEUOM,FLAG
+1,p1,h1,50813,2150-01-02 08:00:00,4.1,4.1,mmol/L,abnormal
+2,p1,h1,50813,2150-01-02 12:00:00,5.0,5.0,mmol/L,abnormal
+3,p1,h2,51221,2150-03-01 12:00:00,23.9,23.9,%,delta
+4,p1,h2,51221,2150-03-01 14:00:00,35,35,%,
+5,p1,h3,99999,2150-05-21 08:00:00,1,1,,abnormal
+6,p2,h4,50912,2140-02-28 08:00:00,2.2,2.2,mg/dL,abnormal
+7,p2,h4,50912,2140-02-28 18:00:00,2.4,2.4,mg/dL,abnormal
+8,p2,h4,99999,2140-02-28 19:00:00,n/a,n/a,,abnormal
+9,p3,h5,51221,not a time,23,23,%,
+10,p3,h5,,2140-01-02 08:00:00,23,23,%,abnormal
+11,p9,h6,50813,2141-01-02 08:00:00,4,4,mmol/L,abnormal
+12,p1,h3,50912,2150-05-21 08:00:00,3,3,mg/dL,abnormal
+"""
+
+CHARTS = """ROW_ID,SUBJECT_ID,H,I,ITEMID,T,S,C,V,VALUENUM,VALUEUOM,WARNING,ERROR
+1,p1,h1,i1,211,t,t,c,80,80,bpm,1,0
+2,p1,h1,i1,211,t,t,c,81,81,bpm,0,0
+3,p2,h4,i2,211,t,t,c,82,82,bpm,,0
+4,p2,h4,i2,211,t,t,c,83,83,bpm,high,0
+"""
+
+DIAGNOSES = """ROW_ID,SUBJECT_ID,HADM_ID,SEQ_NUM,ICD9_CODE
+1,p1,h1,1,99591
+2,p1,h1,2,00845
+3,p1,h3,1,99592
+4,p2,h4,1,50813
+5,p2,h4,2,00845
+6,p9,h6,1,99591
+"""
+
+LOOKUP = """ROW_ID,ICD9_CODE,SHORT_TITLE,LONG_TITLE
+1,99591,Sepsis,Sepsis
+2,99592,Severe sepsis,Severe sepsis
+3,99590,"SIRS, NOS",Systemic
+4,00845,Int inf clstrdium,Other
+5,99999,SEPSIS UPPER,Other
+"""
+
+MICRO = """ROW_ID,SUBJECT_ID,HADM_ID,CHARTDATE,CHARTTIME,SPEC_ITEMID,SPEC_TYPE_DESC,ORG_ITEMID,ORG_NAME,ISOLATE_NUM,AB_ITEMID,AB_NAME,DILUTION_TEXT,DILUTION_COMPARISON,DILUTION_VALUE,INTERPRETATION
+1,p1,h1,2150-01-02 00:00:00,2150-01-02 09:00:00,70012,BLOOD CULTURE,80023,STAPH,1,90012,GENTAMICIN,<=1,<=,1,S
+2,p1,h3,2150-05-21 00:00:00,,70012,BLOOD CULTURE,,,,,,,,,
+3,p2,h4,2140-02-28 00:00:00,,70079,URINE,80002,E. COLI,1,,,,,,
+4,p9,h6,2141-01-01 00:00:00,,70079,URINE,,,,,,,,,
+"""
+
+FILES = {
+    "patients": PATIENTS,
+    "admissions": ADMISSIONS,
+    "lab_events": LABS,
+    "chart_events": CHARTS,
+    "diagnoses": DIAGNOSES,
+    "diagnosis_lookup": LOOKUP,
+    "microbiology": MICRO,
+}
+
+
+def write(folder) -> dict[str, str]:
+    paths = {}
+    for entity, text in FILES.items():
+        path = folder / f"{entity}.csv"
+        path.write_text(text)
+        paths[entity] = str(path)
+    return paths

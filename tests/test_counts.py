@@ -1,0 +1,134 @@
+import collections
+import itertools
+
+import pytest
+from pyspark.sql import functions as F
+
+from cohortloom.operators import counts
+
+CODES = ["a", "b", "c"]
+
+
+@pytest.fixture(scope="module")
+def events(spark):
+    """Subjects s0..s4, codes a, b, c and none, with repeats; s4 has only empty codes."""
+    rows = [(f"s{i % 4}", "abc"[(i * i + i // 7) % 3]) for i in range(100)] + [("s1", None), ("s4", None), ("s4", None)]
+    return spark.createDataFrame(rows, "s string, c string")
+
+
+def pairs(events):
+    return collections.Counter((r["s"], r["c"]) for r in events.collect())
+
+
+def test_counts_and_top_k(events, rows):
+    by_subject = collections.Counter(s for s, _ in events.collect())
+    assert rows(counts.count_by(events, "s")) == sorted(by_subject.items())
+    assert {(r["s"], r["c"]): r["n"] for r in counts.count_by(events, "s", "c").collect()} == pairs(events)
+    assert counts.table_count(events).first()["n"] == 103
+    top = [tuple(r) for r in counts.top_k_counts(events, "s", 3).collect()]
+    assert top == sorted(by_subject.items(), key=lambda x: (-x[1], x[0]))[:3]
+
+
+def test_sort_by_key(events):
+    assert [r["s"] for r in counts.sort_by_key(events.select("s").distinct(), "s", ascending=False).collect()] == [
+        "s4", "s3", "s2", "s1", "s0",
+    ]
+    assert counts.sort_by_key(events, "c", "s").first()["c"] is None
+
+
+def test_cube_is_the_plain_cube(events, rows):
+    plain = events.cube("s", "c").count()
+    assert rows(counts.cube_counts(events, "s", "c")) == rows(plain)
+    kept = counts.cube_counts(events, "s", "c", first_key_only=True)
+    assert rows(kept) == rows(plain.where("s IS NOT NULL"))
+
+
+def test_rollup_tells_subtotals_from_empty_codes(events):
+    got = {(r["s"], r["c"], r["level"]): r["n"] for r in counts.rollup_counts(events, "s", "c").collect()}
+    assert got[("s4", None, 0)] == 2 and got[("s4", None, 1)] == 2
+    assert got[("s1", None, 0)] == 1 and got[("s1", None, 1)] == 26
+    assert sum(n for (_, _, level), n in got.items() if level == 0) == 103
+
+
+def test_crosstab_is_the_built_in_one(events, rows):
+    ours, built_in = counts.crosstab(events, "s", "c"), events.crosstab("s", "c")
+    assert sorted(ours.columns) == sorted(built_in.columns) == ["a", "b", "c", "null", "s_c"]
+    columns = sorted(ours.columns)
+    assert rows(ours.select(columns)) == rows(built_in.select(columns))
+
+
+def test_crosstab_row_sums(events):
+    for row in counts.crosstab(events, "s", "c").collect():
+        assert sum(row[c] for c in ("a", "b", "c", "null")) == sum(
+            n for (s, _), n in pairs(events).items() if s == row["s_c"]
+        )
+
+
+def test_matrix_zero_fills_absent_codes(events, rows):
+    matrix = counts.count_matrix(events, "s", "c", ["a", "never"], prefix="n_")
+    assert matrix.columns == ["s", "n_a", "n_never"]
+    assert rows(matrix) == sorted((f"s{i}", pairs(events)[(f"s{i}", "a")], 0) for i in range(5))
+
+
+def test_wide_matrix_equals_narrow_one(events, rows, monkeypatch):
+    narrow = rows(counts.count_matrix(events, "s", "c", ["a", "b", "x.y"], "p_"))
+    monkeypatch.setattr(counts, "_ONE_PASS_COLUMNS", 1)
+    wide = counts.count_matrix(events, "s", "c", ["a", "b", "x.y"], "p_")
+    assert wide.columns == ["s", "p_a", "p_b", "p_x.y"]
+    assert rows(wide) == narrow
+
+
+def test_too_many_values_raise(events):
+    with pytest.raises(ValueError, match="code_vectors"):
+        counts.distinct_values(events, "c", limit=2)
+    assert counts.distinct_values(events, "c", limit=4) == CODES
+
+
+def test_one_hot_equals_chain_of_crosstabs(spark, rows):
+    data = [(f"s{i % 3}", "FM"[i % 2], ["x y", "z/w", "v"][i % 3 % 2]) for i in range(20)]
+    df = spark.createDataFrame(data, "s string, g string, k string")
+    one_pass = counts.one_hot_counts(df, "s", {"g": ["F", "M"], "k": ["x y", "z/w"]}, prefix=False)
+    g, k = df.crosstab("s", "g"), df.crosstab("s", "k")
+    chain = g.join(k, g["s_g"] == k["s_k"]).select("s_g", "F", "M", "x y", "z/w")
+    assert rows(one_pass) == rows(chain)
+    total = counts.one_hot_counts(df, "s", {"g": ["F"]}, total="n")
+    assert total.columns == ["s", "g_F", "n"] and sorted(r["n"] for r in total.collect()) == [6, 7, 7]
+
+
+def test_matrix_means(events):
+    matrix = counts.count_matrix(events, "s", "c", CODES)
+    got = counts.matrix_means(matrix, CODES).first()
+    for c in CODES:
+        assert got[c] == sum(n for (_, code), n in pairs(events).items() if code == c) / 5
+
+
+@pytest.mark.parametrize("max_codes", [1, 2, 7, 1_000_000])
+def test_codes_per_subject(events, max_codes):
+    texts = collections.defaultdict(dict)
+    for r in counts.codes_per_subject(events, "s", "c", max_codes=max_codes).collect():
+        texts[r["s"]][r["part"]] = r["codes"]
+    for s in (f"s{i}" for i in range(5)):
+        codes = sorted(itertools.chain(*[[c] * n for (k, c), n in pairs(events).items() if k == s and c]))
+        parts = texts[s]
+        assert sorted(parts) == list(range(max(1, -(-len(codes) // max_codes))))
+        assert all(len(parts[p].split()) <= max_codes for p in parts)
+        assert " ".join(parts[p] for p in sorted(parts)) == " ".join(codes)
+
+
+def test_union_keeps_repeats_and_sources_apart(spark):
+    lab = spark.createDataFrame([("p1", "50813"), ("p1", "50813")], "s string, XCODE string")
+    icd = spark.createDataFrame([("p1", 50813)], "s string, XCODE int")
+    marked = counts.union_codes({"lab": lab, "icd": icd})
+    assert sorted(r["XCODE"] for r in marked.collect()) == ["icd:50813", "lab:50813", "lab:50813"]
+    plain = counts.union_codes({"lab": lab, "icd": icd}, prefix=False)
+    assert [r["XCODE"] for r in plain.collect()] == ["50813"] * 3
+    assert marked.count() == lab.count() + icd.count()
+
+
+def test_describe_is_the_built_in_summary(spark):
+    df = spark.range(1, 101).select(F.col("id").alias("a"), (F.sqrt("id")).alias("b"))
+    built_in = {r["summary"]: r for r in df.describe("a", "b").collect()}
+    for r in counts.describe_columns(df, ["a", "b"]).collect():
+        c = r["column_name"]
+        for ours, theirs in {"n": "count", "mean": "mean", "stddev": "stddev", "min": "min", "max": "max"}.items():
+            assert r[ours] == pytest.approx(float(built_in[theirs][c]))

@@ -1,0 +1,78 @@
+import math
+
+import pytest
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import functions as F
+
+from cohortloom.operators import counts, features
+
+
+def test_projections(spark):
+    df = spark.createDataFrame([(1, 2, 3)], "a int, b int, `c.d` int")
+    assert features.project_except(df, ["a"]).columns == ["b", "c.d"]
+    assert features.rename(df, {"b": "x", "a": "y"}).columns == ["x", "y"]
+    fixed = features.project_fixed(df, ["a"], ["b", "zero"])
+    assert fixed.dtypes == [("a", "int"), ("b", "int"), ("zero", "bigint")] and tuple(fixed.first()) == (1, 2, 0)
+
+
+def test_label_is_never_a_feature(spark):
+    df = spark.createDataFrame([(1.0, 2.0, 0.5, "x")], "LABEL double, a double, `b.c` double, id string")
+    assert features.feature_columns(df, ["id"]) == ["a", "b.c"]
+    vector = features.assemble(df, ["id"]).first()["features"]
+    assert vector.toArray().tolist() == [2.0, 0.5]
+
+
+def test_nulls_in_features(spark):
+    df = spark.createDataFrame([(1.0, None), (2.0, 3.0)], "a double, b double")
+    kept = [r["features"].toArray().tolist() for r in features.assemble(df, []).collect()]
+    assert math.isnan(kept[0][1]) and kept[1] == [2.0, 3.0]
+    filled = [r["features"].toArray().tolist() for r in features.assemble(df, [], fill=0.0).collect()]
+    assert filled == [[1.0, 0.0], [2.0, 3.0]]
+    assert features.assemble(df, [], invalid="skip").count() == 1
+    with pytest.raises(Exception, match="null"):
+        features.assemble(df, [], invalid="error").collect()
+
+
+@pytest.mark.parametrize("width", [3, 300])
+def test_sparse_vectors_equal_the_dense_table(spark, width):
+    vocabulary = [f"code {i}; x.y/{i}" for i in range(width - 1)] + ["never"]
+    # one code of the data is not in the list, and one subject has no other
+    code = F.concat(F.lit("code "), (F.col("id") % width), F.lit("; x.y/"), (F.col("id") % width))
+    events = spark.range(2000).select(
+        F.when(F.col("id") % width == width - 1, F.lit("lonely")).otherwise(F.col("id") % 7).cast("string").alias("s"),
+        code.alias("c"),
+    )
+    sparse = features.code_vectors(events, "s", "c", vocabulary)
+    listed = events.where(F.col("c").isin(vocabulary))
+    dense = counts.count_matrix(listed, "s", "c", vocabulary)
+    expected = {r[0]: [float(v) for v in r[1:]] for r in dense.collect()}
+    got = {r["s"]: r["features"] for r in sparse.collect()}
+    assert {s: v.toArray().tolist() for s, v in got.items()} == expected
+    assert all(v.size == width and all(v.values > 0) for v in got.values())
+
+
+def test_scaling_divides_by_sample_deviation(spark):
+    df = spark.createDataFrame([(1.0, 5.0), (2.0, 5.0), (6.0, 5.0)], "a double, b double")
+    got = features.scale(features.assemble(df, [])).select(vector_to_array("scaledFeatures")).collect()
+    deviation = math.sqrt(((1 - 3) ** 2 + (2 - 3) ** 2 + (6 - 3) ** 2) / 2)
+    for row, a in zip(got, (1, 2, 6)):
+        assert row[0] == pytest.approx([a / deviation, 0.0])
+
+
+def test_hash_split_is_disjoint_complete_and_stable(spark):
+    df = spark.range(10_000)
+    train, test = features.hash_split(df, "id")
+    ids = {r[0] for r in train.collect()}
+    rest = {r[0] for r in test.collect()}
+    assert not ids & rest and len(ids | rest) == 10_000
+    assert 0.68 < len(ids) / 10_000 < 0.72
+    again, _ = features.hash_split(df.repartition(13), "id")
+    assert {r[0] for r in again.collect()} == ids
+
+
+def test_random_split_repeats_with_its_seed(spark):
+    df = spark.range(0, 1000, 1, 4)
+    first, rest = features.random_split(df, seed=5)
+    again, _ = features.random_split(df, seed=5)
+    assert {r[0] for r in first.collect()} == {r[0] for r in again.collect()}
+    assert first.count() + rest.count() == 1000

@@ -1,0 +1,131 @@
+import pytest
+from pyspark.sql import functions as F
+
+from cohortloom.operators import counts, filters, joins
+
+
+@pytest.fixture(scope="module")
+def skewed(spark):
+    """90,000 rows of which key 7 owns a third."""
+    key = F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") % 5000)
+    return spark.range(0, 90_000, 1, 6).select(key.cast("bigint").alias("k"), "id")
+
+
+@pytest.fixture(scope="module")
+def unique(spark):
+    return spark.range(0, 4000, 2).select(F.col("id").alias("k"), (F.col("id") * 10).alias("v")).union(
+        spark.sql("SELECT 7L, 70L")
+    )
+
+
+def test_heavy_keys_are_found(skewed):
+    assert joins.heavy_keys(skewed, "k", share=0.1, min_rows=1000) == [7]
+    assert joins.heavy_keys(skewed.select(F.col("k").cast("string").alias("k")), "k", 0.1, 1000) == ["7"]
+
+
+def test_heavy_keys_with_idle_partitions(skewed, spark):
+    old = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions")}
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "50")
+    try:
+        assert joins.heavy_keys(skewed, "k", share=0.1, min_rows=1000) == [7]
+        assert joins.heavy_keys(skewed.where("id < 0"), "k", share=0.1, min_rows=1000) == []
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
+def test_small_tables_have_no_heavy_keys(skewed, spark):
+    assert joins.heavy_keys(skewed, "k") == []
+    assert joins.heavy_keys(spark.range(0).select(F.col("id").alias("k")), "k") == []
+
+
+def test_no_more_heavy_keys_than_the_share_allows(spark):
+    rows = spark.range(0, 50_000, 1, 4).select((F.col("id") % 20).alias("k"))
+    assert len(joins.heavy_keys(rows, "k", share=0.04, min_rows=1)) == 20
+    assert joins.heavy_keys(rows, "k", share=0.06, min_rows=1) == []
+
+
+@pytest.mark.parametrize("how", ["inner", "left_semi"])
+def test_heavy_route_gives_the_plain_join(skewed, unique, how):
+    plain = skewed.join(unique, "k", how)
+    split = joins.join_to_unique(skewed, unique, "k", how, hot=[7, 11])
+    assert split.columns == plain.columns
+    assert split.exceptAll(plain).isEmpty() and plain.exceptAll(split).isEmpty()
+
+
+def test_heavy_rows_are_not_shuffled(skewed, unique, spark):
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = joins.join_to_unique(skewed, unique, "k", hot=[7])
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_null_keys_drop_on_both_routes(spark, unique):
+    many = spark.sql("SELECT * FROM VALUES (7L, 1), (NULL, 2), (2L, 3) AS t(k, id)")
+    for hot in ([], [7]):
+        got = joins.join_to_unique(many, unique, "k", hot=hot).collect()
+        assert sorted(tuple(r) for r in got) == [(2, 3, 20), (7, 1, 70)]
+
+
+def test_patient_admissions_have_one_key_column(hospital):
+    joined = joins.patient_admissions(hospital["patients"], hospital["admissions"])
+    assert joined.columns.count("SUBJECT_ID") == 1
+    assert sorted(r["HADM_ID"] for r in joined.collect()) == ["h1", "h2", "h3", "h4", "h5"]
+    deaths = joins.deaths_only(hospital["patients"], hospital["admissions"], "DEATHTIME")
+    assert [r["HADM_ID"] for r in deaths.collect()] == ["h3"]
+
+
+def test_grain_of_the_matrix(hospital, rows):
+    labs = filters.codes_in_set(hospital["lab_events"], ["50813", "51221"], "ITEMID")
+    stays = hospital["admissions"].select("SUBJECT_ID", "HADM_ID")
+    by_subject = joins.attach_matrix(stays, counts.count_matrix(labs, "SUBJECT_ID", "ITEMID", ["50813", "51221"]))
+    assert rows(by_subject.select("HADM_ID", "50813", "51221")) == [
+        ("h1", 2, 2), ("h2", 2, 2), ("h3", 2, 2), ("h5", 0, 1), ("h6", 1, 0),
+    ]
+    by_stay = joins.attach_matrix(stays, counts.count_matrix(labs, "HADM_ID", "ITEMID", ["50813", "51221"]), "HADM_ID")
+    assert rows(by_stay.select("HADM_ID", "50813", "51221")) == [
+        ("h1", 2, 0), ("h2", 0, 2), ("h5", 0, 1), ("h6", 1, 0),
+    ]
+
+
+def test_cohort_rows_stand_for_repeated_events(hospital, rows):
+    stays = hospital["admissions"].where("SUBJECT_ID IN ('p1', 'p2')").select("SUBJECT_ID")
+    micro = hospital["microbiology"].select("SUBJECT_ID", "SPEC_TYPE_DESC")
+    members = joins.cohort_members(stays)
+    assert rows(members) == [("p1", 3), ("p2", 1)]
+    once = joins.restrict_to_cohort(micro, members)
+    assert once.count() == 3
+    weighted = joins.cohort_events(micro, members)
+    as_repeated = stays.join(micro, "SUBJECT_ID").groupBy("SUBJECT_ID").count()
+    assert rows(weighted.groupBy("SUBJECT_ID").agg(F.sum("cohort_rows"))) == rows(as_repeated) == [("p1", 6), ("p2", 1)]
+
+
+def test_diagnoses_by_title(hospital, rows):
+    found = joins.diagnoses_by_title(hospital["diagnoses"], hospital["diagnosis_lookup"], ["epsis", "SIRS"])
+    assert rows(found.select("SUBJECT_ID", "ICD9_CODE", "SHORT_TITLE")) == [
+        ("p1", "99591", "Sepsis"), ("p1", "99592", "Severe sepsis"), ("p9", "99591", "Sepsis"),
+    ]
+
+
+def test_code_overlap(spark, hospital):
+    codes = filters.code_table(spark, ["50813", "99999", "1"])
+    got = joins.code_overlap_count(codes, hospital["diagnosis_lookup"], "ITEMCODE", "ICD9_CODE").first()
+    assert got["n"] == 1
+
+
+def test_top_diagnoses(hospital, rows):
+    top = joins.top_diagnoses_titled(
+        hospital["diagnoses"], hospital["diagnosis_lookup"], "ICD9_CODE", "SHORT_TITLE", 2
+    )
+    assert rows(top) == [("00845", "Int inf clstrdium", 2), ("99591", "Sepsis", 2)]
+
+
+def test_whitelist_is_exact(hospital):
+    kept = joins.whitelist(hospital["admissions"], "DIAGNOSIS", ["VF ARREST ", "PULMONARY EDEMA\\CATH", "FEVE"])
+    assert sorted(r["HADM_ID"] for r in kept.collect()) == ["h4", "h6"]
+    assert joins.whitelist(hospital["admissions"], "DIAGNOSIS", ["VF ARREST"]).isEmpty()

@@ -29,3 +29,33 @@ def test_entry(spark):
     result = driver.entry(spark)
     assert result.columns == ["SUBJECT_ID", "HADM_ID", "ADMISSION_TYPE", "DIAGNOSIS", "click", "error", "purchase", "refund"]
     assert result.count() > 0
+
+
+SMALL = "/root/testdata/sf0.001"
+
+
+def test_models_cover_their_rows(spark):
+    """Queries without a SQL twin: which rows they return, and in what shape."""
+    ours = driver.queries()
+    subjects = ours["count_by_key"](spark, SMALL).count()
+    for name in ("kmeans_assign", "stages_fit"):
+        clusters = ours[name](spark, SMALL).toPandas()
+        assert len(clusters) == subjects and set(clusters["cluster"]) <= {0, 1, 2}
+    costs = dict(tuple(r) for r in ours["kmeans_cost"](spark, SMALL).collect())
+    swept = dict(tuple(r) for r in ours["kmeans_k_sweep"](spark, SMALL).collect())
+    assert sorted(swept) == list(range(2, 9)) and swept[8] < swept[2]
+    assert all(costs[k] == pytest.approx(swept[k], abs=1e-5) for k in (2, 3))
+
+
+def test_outcome_models_cover_their_rows(spark):
+    ours = driver.queries()
+    labels = {r["HADM_ID"]: r["LABEL"] for r in ours["training_rows"](spark, SMALL).collect()}
+    everything = ours["score_rows"](spark, SMALL).toPandas()
+    assert dict(zip(everything["HADM_ID"], everything["LABEL"])) == labels
+    assert everything["probability"].between(0, 1).all()
+    test_part = ours["mortality_model"](spark, SMALL).toPandas()
+    assert set(test_part["HADM_ID"]) < set(labels)
+    summary = {r["column_name"]: r["n"] for r in ours["training_summary"](spark, SMALL).collect()}
+    assert summary == dict.fromkeys(["LABEL", "prediction"], len(labels) - len(test_part))
+    areas = ours["model_auc"](spark, SMALL).toPandas()
+    assert list(areas["ranked_by"]) == ["rawPrediction", "prediction"] and areas["area_under_roc"].between(0, 1).all()
