@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from cohortloom.operators.counts import top_k_counts
 from cohortloom.operators.filters import title_search
+from cohortloom.session import materialize
 
 #: A key is heavy when it owns at least this share of the rows and at least this many rows.
 HEAVY_SHARE = 1 / 2000
@@ -56,12 +57,14 @@ def join_to_unique(
     """Join rows to a table with one row per key (``how``: inner or left_semi).
 
     Rows of heavy keys are not shuffled: they meet the few matching rows of ``one``, at most one per heavy key, by
-    broadcast. All other rows take the ordinary join. ``hot`` overrides the detected keys.
+    broadcast. All other rows take the ordinary join. ``one`` is written out before it is read by both. ``hot``
+    overrides the detected keys.
     """
     if hot is None:
         hot = heavy_keys(many, on)
     if not hot:
         return many.join(one, on, how)
+    one = materialize(one)
     is_hot = F.col(on).isin(list(hot))
     spread = many.where(~is_hot).join(one.where(~is_hot), on, how)
     local = many.where(is_hot).join(F.broadcast(one.where(is_hot)), on, how)

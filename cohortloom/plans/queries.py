@@ -201,12 +201,13 @@ def _cohort(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def cohort_micro_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per subject and kind: events of the cohort, and the rows of the join with one cohort row per admission."""
-    kinds = counts.count_by(
-        roles.microbiology(spark, sf_dir), "SUBJECT_ID", "SPEC_TYPE_DESC", "ORG_NAME", name="n_events"
+    admissions = roles.admissions(spark, sf_dir).select("SUBJECT_ID", "HADM_ID")
+    # the cohort is the smaller part of the admissions, so it comes before the events
+    cohort = joins.cohort_events(admissions, _cohort(spark, sf_dir))
+    events = roles.admission_microbiology(spark, sf_dir).join(cohort, "HADM_ID")
+    return events.groupBy("SUBJECT_ID", "SPEC_TYPE_DESC", "ORG_NAME").agg(
+        F.count(F.lit(1)).alias("n_events"), F.sum("cohort_rows").alias("n_rows")
     )
-    # counts hold a few rows per subject, so nothing is left to be heavy
-    joined = joins.cohort_events(kinds, _cohort(spark, sf_dir), hot=[])
-    return joined.withColumn("n_rows", F.col("n_events") * F.col("cohort_rows")).drop("cohort_rows")
 
 
 @query

@@ -61,19 +61,12 @@ def labs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return named.withColumn("FLAG", flag)
 
 
-def _line_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = table(spark, sf_dir, "lineitem").withColumnRenamed("l_orderkey", "HADM_ID")
-    orders = rename(
-        table(spark, sf_dir, "orders"),
-        {"o_orderkey": "HADM_ID", "o_custkey": "SUBJECT_ID", "o_orderdate": "ADMITTIME"},
-    )
-    return lines.join(orders, "HADM_ID")
-
-
 def stays(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _line_orders(spark, sf_dir).select(
-        "SUBJECT_ID", "HADM_ID", "l_linenumber", "ADMITTIME", F.col("l_shipdate").alias("DISCHTIME")
+    lines = rename(
+        table(spark, sf_dir, "lineitem"),
+        {"l_orderkey": "HADM_ID", "l_linenumber": "l_linenumber", "l_shipdate": "DISCHTIME"},
     )
+    return lines.join(admissions(spark, sf_dir).select("HADM_ID", "SUBJECT_ID", "ADMITTIME"), "HADM_ID")
 
 
 def admission_diagnoses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,13 +74,11 @@ def admission_diagnoses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rename(table(spark, sf_dir, "lineitem"), {"l_orderkey": "HADM_ID", "l_partkey": "ICD9_CODE"})
 
 
-def diagnoses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _line_orders(spark, sf_dir).select("SUBJECT_ID", F.col("l_partkey").alias("ICD9_CODE"))
-
-
-def microbiology(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _line_orders(spark, sf_dir).select(
-        "SUBJECT_ID", F.col("l_returnflag").alias("SPEC_TYPE_DESC"), F.col("l_linestatus").alias("ORG_NAME")
+def admission_microbiology(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Specimens and organisms by admission, before the subject is known."""
+    return rename(
+        table(spark, sf_dir, "lineitem"),
+        {"l_orderkey": "HADM_ID", "l_returnflag": "SPEC_TYPE_DESC", "l_linestatus": "ORG_NAME"},
     )
 
 
