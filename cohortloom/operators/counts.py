@@ -96,18 +96,29 @@ def one_hot_counts(
     prefix: bool = True,
     total: str | None = None,
 ) -> DataFrame:
-    """Counts per key of the listed values of several columns, in a single aggregation.
+    """Counts per key of the listed values of several columns, in one pass over the rows.
 
     Columns are named ``column_value``, or ``value`` without the prefix; ``total`` names one more for all rows.
     """
-    cells = [
-        _count_of(F.col(column), value).alias(f"{column}_{value}" if prefix else str(value))
+    names = [
+        (column, value, f"{column}_{value}", f"{column}_{value}" if prefix else str(value))
         for column, values in categories.items()
         for value in values
     ]
+    if len(names) <= _ONE_PASS_COLUMNS:
+        cells = [_count_of(F.col(column), value).alias(shown) for column, value, _, shown in names]
+        if total is not None:
+            cells.append(F.count(F.lit(1)).alias(total))
+        return df.groupBy(key).agg(*cells)
+    # too many columns to test on every row: each row names its own cells, and the named cells are counted
+    own = [F.concat(F.lit(f"{column}_"), F.col(column).cast("string")) for column in categories]
+    wanted = [cell for _, _, cell, _ in names]
     if total is not None:
-        cells.append(F.count(F.lit(1)).alias(total))
-    return df.groupBy(key).agg(*cells)
+        own.append(F.lit(total))
+        wanted.append(total)
+    wide = count_matrix(df.select(key, F.explode(F.array(*own)).alias("_cell")), key, "_cell", wanted)
+    shown = [F.col(f"`{cell}`").alias(name) for _, _, cell, name in names]
+    return wide.select(key, *shown, *([] if total is None else [total]))
 
 
 def matrix_means(matrix: DataFrame, columns: Sequence[str]) -> DataFrame:

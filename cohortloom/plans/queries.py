@@ -147,7 +147,8 @@ def title_regex_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def mortality_target(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return roles.admissions(spark, sf_dir).select("HADM_ID", columns.mortality_target(F.col("DEATHTIME")).alias("TARGET"))
+    target = columns.mortality_target(F.col("DEATHTIME"))
+    return roles.admissions(spark, sf_dir).select("HADM_ID", target.alias("TARGET"))
 
 
 @query
@@ -411,11 +412,8 @@ def kmeans_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def kmeans_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
     scaled = _scaled(spark, sf_dir)
-    costs = [
-        models.kmeans_cost(models.fit_kmeans(scaled, k), scaled).select(F.lit(k).alias("k"), F.round("cost", 6).alias("cost"))
-        for k in (2, 3)
-    ]
-    return reduce(DataFrame.unionByName, costs)
+    costs = [models.kmeans_cost(models.fit_kmeans(scaled, k), scaled).withColumn("k", F.lit(k)) for k in (2, 3)]
+    return reduce(DataFrame.unionByName, costs).select("k", F.round("cost", 6).alias("cost"))
 
 
 @query
@@ -475,4 +473,5 @@ def stages_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
         features.scaler(),
         models.kmeans(3),
     ]
-    return models.fit_stages(matrix, stages).transform(matrix).select("SUBJECT_ID", F.col("prediction").alias("cluster"))
+    clustered = models.fit_stages(matrix, stages).transform(matrix)
+    return clustered.select("SUBJECT_ID", F.col("prediction").alias("cluster"))

@@ -95,6 +95,19 @@ def test_one_hot_equals_chain_of_crosstabs(spark, rows):
     assert total.columns == ["s", "g_F", "n"] and sorted(r["n"] for r in total.collect()) == [6, 7, 7]
 
 
+@pytest.mark.parametrize("prefix", [True, False])
+def test_wide_one_hot_equals_narrow_one(spark, rows, monkeypatch, prefix):
+    data = [(f"s{i % 3}", "FM"[i % 2], ["x y", "z.w", None][i % 3]) for i in range(20)] + [("s9", None, None)]
+    df = spark.createDataFrame(data, "s string, g string, k string")
+    categories = {"g": ["F", "M"], "k": ["x y", "z.w", "never"]}
+    narrow = counts.one_hot_counts(df, "s", categories, prefix, total="n")
+    expected = rows(narrow)
+    monkeypatch.setattr(counts, "_ONE_PASS_COLUMNS", 2)
+    wide = counts.one_hot_counts(df, "s", categories, prefix, total="n")
+    assert wide.columns == narrow.columns and rows(wide) == expected
+    assert ("s9", 0, 0, 0, 0, 0, 1) in expected
+
+
 def test_matrix_means(events):
     matrix = counts.count_matrix(events, "s", "c", CODES)
     got = counts.matrix_means(matrix, CODES).first()

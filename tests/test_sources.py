@@ -81,5 +81,6 @@ def test_scratch_lies_in_the_named_folder(spark):
 def test_materialize_keeps_rows_and_cuts_lineage(spark):
     df = spark.range(100).groupBy((F.col("id") % 7).alias("k")).count()
     cut = session.materialize(df)
+    assert cut.dtypes == df.dtypes
     assert cut.exceptAll(df).isEmpty() and cut.count() == 7
     assert "Exchange" not in cut._jdf.queryExecution().executedPlan().toString()
