@@ -133,7 +133,8 @@ def codes_per_subject(
 
     A text holds at most ``max_codes`` codes. A key with more of them goes on in further rows, numbered by
     ``part`` from 0, so that no single value or task has to hold an unbounded group: the parts in order, joined by
-    blanks, are the whole text. Repeats travel as counts until the text is built.
+    blanks, are the whole text. Repeats travel as counts until a part is built, so a heavy key moves one short row
+    per distinct code and part.
     """
     counted = df.groupBy(key, code).agg(F.count(code).alias("n"))
     before = Window.partitionBy(key).orderBy(code).rowsBetween(Window.unboundedPreceding, -1)

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cohortloom.session import broadcast_rows
+
 
 def rename(df: DataFrame, names: dict[str, str]) -> DataFrame:
     """Choose columns and name them: ``{"o_custkey": "SUBJECT_ID"}``."""
@@ -70,7 +72,7 @@ def code_vectors(
     )
     cells = (
         events.select(key, F.col(code).cast("string").alias(code))
-        .join(F.broadcast(positions), code)
+        .join(broadcast_rows(positions, len(vocabulary)), code)
         .groupBy(key, "_position")
         .agg(F.count(F.lit(1)).cast("double").alias("_n"))
         .groupBy(key)

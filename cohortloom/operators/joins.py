@@ -8,14 +8,14 @@ no shuffle then stands between the aggregate and the join; :func:`join_to_unique
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortloom.operators.counts import top_k_counts
-from cohortloom.operators.filters import title_search
-from cohortloom.session import materialize
+from cohortloom.operators.filters import code_table, title_search
+from cohortloom.session import broadcast_rows, materialize
 
 #: A key is heavy when it owns at least this share of the rows and at least this many rows.
 HEAVY_SHARE = 1 / 2000
@@ -67,7 +67,7 @@ def join_to_unique(
     one = materialize(one)
     is_hot = F.col(on).isin(list(hot))
     spread = many.where(~is_hot).join(one.where(~is_hot), on, how)
-    local = many.where(is_hot).join(F.broadcast(one.where(is_hot)), on, how)
+    local = many.where(is_hot).join(broadcast_rows(one.where(is_hot), len(hot)), on, how)
     return spread.unionByName(local)
 
 
@@ -123,15 +123,17 @@ def diagnoses_by_title(
     return diagnoses.join(title_search(lookup, title, words), code, "inner")
 
 
-def code_overlap_count(codes: DataFrame, lookup: DataFrame, code: str, lookup_code: str, name: str = "n") -> DataFrame:
-    """Number of matches between a code list (a literal one, hence broadcast) and the codes of a lookup."""
-    return lookup.join(F.broadcast(codes), F.col(lookup_code) == F.col(code)).agg(F.count(F.lit(1)).alias(name))
+def code_overlap_count(lookup: DataFrame, code: str, codes: Iterable[str], name: str = "n") -> DataFrame:
+    """Number of lookup rows whose code is in a code list, by a join with the list as a table."""
+    listed = list(codes)
+    table = broadcast_rows(code_table(lookup.sparkSession, listed, code), len(listed))
+    return lookup.select(code).join(table, code).agg(F.count(F.lit(1)).alias(name))
 
 
 def top_diagnoses_titled(diagnoses: DataFrame, lookup: DataFrame, code: str, title: str, k: int) -> DataFrame:
-    """The k most frequent diagnosis codes with their titles; k rows are broadcast against the lookup."""
+    """The k most frequent diagnosis codes with their titles."""
     top = top_k_counts(diagnoses, code, k)
-    return lookup.select(code, title).join(F.broadcast(top), code)
+    return lookup.select(code, title).join(broadcast_rows(top, k), code)
 
 
 def whitelist(df: DataFrame, column: str, allowed: Sequence[str]) -> DataFrame:

@@ -234,8 +234,7 @@ def diagnoses_by_title(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def code_overlap_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    codes = filters.code_table(spark, list(roles.MARKERS))
-    return joins.code_overlap_count(codes, roles.lookup(spark, sf_dir), "ITEMCODE", "SHORT_TITLE")
+    return joins.code_overlap_count(roles.lookup(spark, sf_dir), "SHORT_TITLE", roles.MARKERS)
 
 
 @query

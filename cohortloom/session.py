@@ -6,6 +6,10 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Tables of at most this many short rows are broadcast on demand; beyond it, Spark decides from what it measures.
+BROADCAST_ROWS = 100_000
 
 _local_dirs: list[tempfile.TemporaryDirectory] = []
 
@@ -30,6 +34,11 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/cohortloom/{name}-{uuid.uuid4().hex}"
 
 
+def broadcast_rows(df: DataFrame, rows: int) -> DataFrame:
+    """Broadcast a table that is known to hold at most ``rows`` rows, if that is few enough."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Cut the lineage of a table that several jobs read; the copy outlives lost executors."""
     context = df.sparkSession.sparkContext

@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from cohortloom import session
 from cohortloom.operators import counts, filters, joins
 
 
@@ -112,12 +113,17 @@ def test_diagnoses_by_title(hospital, rows):
     ]
 
 
-def test_code_overlap(spark, hospital):
-    codes = filters.code_table(spark, ["50813", "99999", "1"])
-    got = joins.code_overlap_count(codes, hospital["diagnosis_lookup"], "ITEMCODE", "ICD9_CODE").first()
+def test_code_overlap(hospital):
+    got = joins.code_overlap_count(hospital["diagnosis_lookup"], "ICD9_CODE", ["50813", "99999", "1"]).first()
     assert got["n"] == 1
 
 
+def test_only_few_rows_are_broadcast(spark):
+    small, large = session.broadcast_rows(spark.range(5), 5), session.broadcast_rows(spark.range(5), 10**6)
+    hints = [df._jdf.queryExecution().logical().toString() for df in (small, large)]
+    assert "broadcast" in hints[0].lower() and "broadcast" not in hints[1].lower()
+
+
 def test_top_diagnoses(hospital, rows):
     top = joins.top_diagnoses_titled(
         hospital["diagnoses"], hospital["diagnosis_lookup"], "ICD9_CODE", "SHORT_TITLE", 2
