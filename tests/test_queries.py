@@ -3,6 +3,7 @@
 import pytest
 
 import __spark_entry__ as driver
+from cohortloom.operators import joins
 from tests.sql_check import compare, connect
 
 SF_DIR = "/root/testdata/sf0.01"
@@ -21,6 +22,17 @@ def test_same_rows_as_sql(spark, duck, name):
     assert compare(ours, theirs) is None
 
 
+@pytest.mark.parametrize(
+    "name",
+    ["admission_code_matrix", "cohort_micro_events", "cohort_diagnoses", "one_hot_chain", "training_rows"],
+)
+def test_same_rows_on_the_heavy_route(spark, duck, name, monkeypatch):
+    monkeypatch.setattr(joins, "heavy_keys", lambda rows, key: list(range(0, 1500, 4)))
+    ours = driver.queries()[name](spark, SF_DIR)
+    assert "Union" in ours._jdf.queryExecution().analyzed().toString()
+    assert compare(ours.toPandas(), duck.execute(driver.oracle_sql()[name]).df()) is None
+
+
 def test_every_twin_has_a_query():
     assert set(driver.oracle_sql()) <= set(driver.queries())
 
