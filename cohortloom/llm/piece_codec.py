@@ -250,42 +250,38 @@ def _sha256(text: str) -> str:
     return hashlib.sha256(text.encode()).hexdigest()
 
 
-def encode_pieces(docs: DataFrame, path: str) -> DataFrame:
-    """``doc_id, ids, begins, ends, decoded``: ids, byte spans in the original, and the text decoded from the ids."""
+def _begins(ends: np.ndarray) -> np.ndarray:
+    return np.concatenate([np.zeros(1, np.int64), ends[:-1]])[: len(ends)]
 
-    def per_task() -> Callable[[list[str]], list[pa.Array]]:
-        model = codec(path)
-
-        def work(texts: list[str]) -> list[pa.Array]:
-            rows = []
-            for ids, ends, decoded in model.encode(texts):
-                begins = np.concatenate([np.zeros(1, np.int64), ends[:-1]])[: len(ends)]
-                rows.append(([int(i) for i in ids.split(",") if i], begins, ends, decoded))
-            kinds = (pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.string())
-            return [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)]
-
-        return work
 
-    return map_texts(docs, per_task, "ids array<int>, begins array<bigint>, ends array<bigint>, decoded string")
+#: What an encoding can return, from ids joined by commas, ends of the byte spans, and decoded text.
+COLUMNS: dict[str, tuple[str, pa.DataType, Callable]] = {
+    "n_tokens": ("bigint", pa.int64(), lambda ids, ends, decoded: len(ends)),
+    "ids": ("array<int>", pa.list_(pa.int32()), lambda ids, ends, decoded: [int(i) for i in ids.split(",") if i]),
+    "begins": ("array<bigint>", pa.list_(pa.int64()), lambda ids, ends, decoded: _begins(ends)),
+    "ends": ("array<bigint>", pa.list_(pa.int64()), lambda ids, ends, decoded: ends),
+    "decoded": ("string", pa.string(), lambda ids, ends, decoded: decoded),
+    "ids_sha256": ("string", pa.string(), lambda ids, ends, decoded: _sha256(ids)),
+    "decoded_sha256": ("string", pa.string(), lambda ids, ends, decoded: _sha256(decoded)),
+    "spans_sha256": ("string", pa.string(), lambda ids, ends, decoded: hashlib.sha256(ends.astype("<i8").tobytes()).hexdigest()),
+}
 
 
-def encode_digests(docs: DataFrame, path: str) -> DataFrame:
-    """``doc_id, n_tokens, ids_sha256, decoded_sha256, spans_sha256``: the same encoding, each part in short form.
+def encode_pieces(docs: DataFrame, path: str, columns: tuple[str, ...] = ("ids", "begins", "ends", "decoded")) -> DataFrame:
+    """``doc_id`` and the wanted columns: ids, byte spans of the pieces in the original, and the text decoded from the ids.
 
-    ``spans_sha256`` is of the ends of the pieces' byte spans as 8-byte little-endian numbers.
+    Short forms: ``n_tokens``; SHA-256 of the decimal ids joined by commas, of the decoded text in UTF-8, and of the spans'
+    ends as 8-byte little-endian numbers.
     """
+    schema = ", ".join(f"{c} {COLUMNS[c][0]}" for c in columns)
 
     def per_task() -> Callable[[list[str]], list[pa.Array]]:
         model = codec(path)
 
         def work(texts: list[str]) -> list[pa.Array]:
-            rows = []
-            for ids, ends, decoded in model.encode(texts):
-                spans = hashlib.sha256(ends.astype("<i8").tobytes()).hexdigest()
-                rows.append((len(ends), _sha256(ids), _sha256(decoded), spans))
-            kinds = (pa.int64(), pa.string(), pa.string(), pa.string())
-            return [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)]
+            rows = model.encode(texts)
+            return [pa.array([COLUMNS[c][2](*r) for r in rows], COLUMNS[c][1]) for c in columns]
 
         return work
 
-    return map_texts(docs, per_task, "n_tokens bigint, ids_sha256 string, decoded_sha256 string, spans_sha256 string")
+    return map_texts(docs, per_task, schema)

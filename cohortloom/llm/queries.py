@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortloom.llm import exact_dedup, mixing, piece_codec, token_counts
+from cohortloom.llm import exact_dedup, golay_dedup, mixing, piece_codec, token_counts, toxicity
 from cohortloom.session import scratch_path
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -57,7 +57,16 @@ FROM copied
 @register
 def op4_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every whole text encoded by pieces with their spans, and decoded again."""
-    return piece_codec.encode_digests(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
+    columns = ("n_tokens", "ids_sha256", "decoded_sha256", "spans_sha256")
+    return piece_codec.encode_pieces(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"), columns)
+
+
+@register
+def op7_golay_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document."""
+    found = golay_dedup.near_components(documents(spark, sf_dir))
+    hexadecimal = F.lower(F.lpad(F.hex("fp"), 16, "0"))
+    return found.select("doc_id", hexadecimal.alias("fingerprint"), "component_id")
 
 
 @register
@@ -76,6 +85,12 @@ FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
 """
 
 
+@register
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document scored by a model of the labels outside the held-out part."""
+    return toxicity.score_toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 @register
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every whole text."""
