@@ -8,7 +8,17 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortloom.llm import exact_dedup, golay_dedup, mixing, piece_codec, piecewise_hash, token_counts, toxicity, url_lists
+from cohortloom.llm import (
+    exact_dedup,
+    golay_dedup,
+    license_join,
+    mixing,
+    piece_codec,
+    piecewise_hash,
+    token_counts,
+    toxicity,
+    url_lists,
+)
 from cohortloom.session import scratch_path
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -110,7 +120,8 @@ def list_history(pages: DataFrame) -> DataFrame:
 @register
 def op5_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page held against the entries that were valid on the day of its fetch."""
-    return url_lists.decide(captures(spark, sf_dir), list_history(captures(spark, sf_dir)))
+    decided = url_lists.decide(captures(spark, sf_dir), list_history(captures(spark, sf_dir)))
+    return decided.withColumns({c: F.col(c).cast("string") for c in ("fetched_on", "valid_from")})
 
 
 ORACLE["op5_url_lists"] = r"""
@@ -148,12 +159,22 @@ WITH captures AS (
     AND (r.valid_until IS NULL OR c.fetched_on < r.valid_until)
   GROUP BY ALL
 )
-SELECT c.page_id, c.url, c.fetched_on, c.host, coalesce(a.n_active, 0) AS n_active, a.decided_by, a.valid_from, a.action,
+SELECT c.page_id, c.url, c.fetched_on::VARCHAR AS fetched_on, c.host, coalesce(a.n_active, 0) AS n_active, a.decided_by,
+  a.valid_from::VARCHAR AS valid_from, a.action,
   coalesce(a.action = 'block', false) AS blocked
 FROM captures c LEFT JOIN active a USING (page_id, url, fetched_on)
 """
 
 
+@register
+def op6_license_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Phrases and license templates in every whole text."""
+    return license_join.scan_licenses(documents(spark, sf_dir))
+
+
+ORACLE["op6_license_join"] = license_join.brute_force_sql()
+
+
 @register
 def op7_golay_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
