@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from cohortloom.llm import (
     exact_dedup,
     golay_dedup,
+    language_id,
     license_join,
     mixing,
     piece_codec,
@@ -34,6 +35,16 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+@register
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document and every page (one of doc_id and page_id is set)."""
+    docs = documents(spark, sf_dir)
+    pages = language_id.page_rows(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    rows = language_id.document_rows(docs).unionByName(pages, allowMissingColumns=True)
+    found = language_id.identify(rows, language_id.train(docs))
+    return found.select("doc_id", "page_id", "host", "declared", "lang", "confidence", "text_lang")
+
+
 @register
 def op2_piecewise_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every whole text and of its edited text, and their likeness."""
