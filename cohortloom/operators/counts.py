@@ -77,7 +77,8 @@ def crosstab(df: DataFrame, row: str, column: str, values: Sequence[str] | None
     """Contingency table with the layout of ``DataFrame.crosstab``: first column ``row_column`` as text, then one
     count per value of ``column``, with nulls on either side counted under the text 'null'.
 
-    Values are looked up unless given.
+    Values are looked up unless given; over ``MAX_COLUMNS`` of them are an error, as they would be columns. ``contingency``
+    has no such limit.
     """
     name = f"{row}_{column}"
     pairs = df.select(
@@ -89,6 +90,12 @@ def crosstab(df: DataFrame, row: str, column: str, values: Sequence[str] | None
     return count_matrix(pairs, name, "_value", values)
 
 
+def contingency(df: DataFrame, row: str, column: str, name: str = "n") -> DataFrame:
+    """Counts of each pair of values in long form, nulls under the text 'null': a contingency table without a limit."""
+    texts = [F.coalesce(F.col(c).cast("string"), F.lit("null")).alias(c) for c in (row, column)]
+    return df.select(*texts).groupBy(row, column).agg(F.count(F.lit(1)).alias(name))
+
+
 def one_hot_counts(
     df: DataFrame,
     key: str,
@@ -101,17 +108,20 @@ def one_hot_counts(
     Columns are named ``column_value``, or ``value`` without the prefix; ``total`` names one more for all rows.
     """
     names = [
-        (column, value, f"{column}_{value}", f"{column}_{value}" if prefix else str(value))
-        for column, values in categories.items()
+        (column, value, f"{place}:{value}", f"{column}_{value}" if prefix else str(value))
+        for place, (column, values) in enumerate(categories.items())
         for value in values
     ]
+    shown_names = [shown for *_, shown in names] + ([] if total is None else [total])
+    if len(set(shown_names)) < len(shown_names):
+        raise ValueError(f"two columns of the same name: {sorted({n for n in shown_names if shown_names.count(n) > 1})}")
     if len(names) <= _ONE_PASS_COLUMNS:
         cells = [_count_of(F.col(column), value).alias(shown) for column, value, _, shown in names]
         if total is not None:
             cells.append(F.count(F.lit(1)).alias(total))
         return df.groupBy(key).agg(*cells)
     # too many columns to test on every row: each row names its own cells, and the named cells are counted
-    own = [F.concat(F.lit(f"{column}_"), F.col(column).cast("string")) for column in categories]
+    own = [F.concat(F.lit(f"{place}:"), F.col(column).cast("string")) for place, column in enumerate(categories)]
     wanted = [cell for _, _, cell, _ in names]
     if total is not None:
         own.append(F.lit(total))
@@ -165,9 +175,19 @@ def union_codes(sources: Mapping[str, DataFrame], code: str = "XCODE", prefix: b
 
 
 def describe_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Count, mean, sample standard deviation, minimum and maximum, one row per column, in a single pass."""
+    """Count, mean, sample standard deviation, minimum and maximum, one row per column, in a single pass.
+
+    ``n`` counts what is not null. Of a text column, the other figures are over the texts that are numbers.
+    """
     stats = {"n": F.count, "mean": F.avg, "stddev": F.stddev_samp, "min": F.min, "max": F.max}
-    wide = df.agg(*[f(c).alias(f"{c}_{s}") for c in columns for s, f in stats.items()])
+    texts = {c for c, kind in df.dtypes if kind == "string"}
+    wide = df.agg(
+        *[
+            f(F.col(c).try_cast("double") if c in texts and s != "n" else F.col(c)).alias(f"{c}_{s}")
+            for c in columns
+            for s, f in stats.items()
+        ]
+    )
     rows = [
         F.struct(
             F.lit(c).alias("column_name"),

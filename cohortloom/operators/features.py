@@ -9,8 +9,9 @@ from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
-from cohortloom.session import broadcast_rows
+from cohortloom.session import broadcast_rows, materialize
 
 
 def rename(df: DataFrame, names: dict[str, str]) -> DataFrame:
@@ -58,21 +59,35 @@ def assemble(
     return assembler(columns, output, invalid).transform(filled)
 
 
+def positions(events: DataFrame, code: str) -> DataFrame:
+    """``code, position``: the distinct codes numbered in text order, written out.
+
+    The numbering is one pass over the distinct codes; each of them is a cell of a vector, so they are as many as a vector
+    may have.
+    """
+    codes = events.select(F.col(code).cast("string").alias(code)).where(F.col(code).isNotNull()).distinct()
+    order = F.row_number().over(Window.orderBy(code)) - 1
+    return materialize(codes.withColumn("position", order))
+
+
 def code_vectors(
-    events: DataFrame, key: str, code: str, vocabulary: Sequence[str], output: str = "features"
+    events: DataFrame, key: str, code: str, vocabulary: Sequence[str] | DataFrame, output: str = "features"
 ) -> DataFrame:
-    """One sparse count vector per key; position i counts ``vocabulary[i]``.
+    """One sparse count vector per key; position i counts ``vocabulary[i]``, or the code that a table ``code, position`` has.
 
     Unlisted codes, and keys with no listed code, drop out. Values never become column names, so the width is free
     of the limits of a dense table. What is gathered per key is one (position, count) pair per distinct code.
     """
     spark = events.sparkSession
-    positions = spark.createDataFrame(
-        [(str(c), i) for i, c in enumerate(vocabulary)], f"{code} string, _position int"
-    )
+    if isinstance(vocabulary, DataFrame):
+        listed = vocabulary.select(F.col(code).cast("string").alias(code), F.col("position").alias("_position"))
+        size, rows = listed.agg(F.coalesce(F.max("_position") + 1, F.lit(0)), F.count(F.lit(1))).first()
+    else:
+        listed = spark.createDataFrame([(str(c), i) for i, c in enumerate(vocabulary)], f"{code} string, _position int")
+        size = rows = len(vocabulary)
     cells = (
         events.select(key, F.col(code).cast("string").alias(code))
-        .join(broadcast_rows(positions, len(vocabulary)), code)
+        .join(broadcast_rows(listed, rows), code)
         .groupBy(key, "_position")
         .agg(F.count(F.lit(1)).cast("double").alias("_n"))
         .groupBy(key)
@@ -80,7 +95,7 @@ def code_vectors(
     )
     sparse = F.struct(
         F.lit(0).cast("tinyint").alias("type"),
-        F.lit(len(vocabulary)).alias("size"),
+        F.lit(size).alias("size"),
         F.col("_cells._position").alias("indices"),
         F.col("_cells._n").alias("values"),
     )

@@ -53,19 +53,23 @@ def _listed(code: str, codes: Iterable) -> F.Column:
     return F.col(code).cast("string").isin([str(c) for c in codes])
 
 
+def _as_text(codes: DataFrame, code: str) -> DataFrame:
+    return codes.select(F.col(code).cast("string").alias("_listed"))
+
+
 def codes_in_set(events: DataFrame, codes: DataFrame | Iterable, code: str) -> DataFrame:
     """Events whose code is listed.
 
     A Python list becomes an IN predicate that reaches the file scan. A table (one column named ``code``) becomes
-    a semi join whose strategy Spark picks from the sizes it sees.
+    a semi join whose strategy Spark picks from the sizes it sees. Either way codes are compared as text.
     """
     if isinstance(codes, DataFrame):
-        return events.join(codes.select(code), code, "left_semi")
+        return events.join(_as_text(codes, code), F.col(code).cast("string") == F.col("_listed"), "left_semi")
     return events.where(_listed(code, codes))
 
 
 def codes_not_in_set(events: DataFrame, codes: DataFrame | Iterable, code: str) -> DataFrame:
     """Events whose code is not listed; events without a code are kept."""
     if isinstance(codes, DataFrame):
-        return events.join(codes.select(code), code, "left_anti")
+        return events.join(_as_text(codes, code), F.col(code).cast("string") == F.col("_listed"), "left_anti")
     return events.where(F.col(code).isNull() | ~_listed(code, codes))

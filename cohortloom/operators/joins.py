@@ -7,7 +7,6 @@ no shuffle then stands between the aggregate and the join; :func:`join_to_unique
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterable, Sequence
 
 from pyspark.sql import DataFrame
@@ -17,58 +16,15 @@ from cohortloom.operators.counts import top_k_counts
 from cohortloom.operators.filters import code_table, title_search
 from cohortloom.session import broadcast_rows, materialize
 
-#: A key is heavy when it owns at least this share of the rows and at least this many rows.
-HEAVY_SHARE = 1 / 2000
-HEAVY_ROWS = 1_000_000
 
-_TRACKED = 16_384
-_MERGE_GROUPS = 64
-
-
-def heavy_keys(rows: DataFrame, key: str, share: float = HEAVY_SHARE, min_rows: int = HEAVY_ROWS) -> list:
-    """Keys that own at least ``share`` of the rows: never more than ``1 / share`` of them.
-
-    One pass over the key column with frequent-items sketches of fixed size, merged in two levels; no row is
-    shuffled. The answer only routes rows in a join, so an estimate will do.
-    """
-    most = math.ceil(1 / share)
-    merged = (
-        rows.where(F.col(key).isNotNull())
-        .groupBy(F.pmod(F.spark_partition_id(), F.lit(_MERGE_GROUPS)).alias("part"))
-        .agg(
-            F.expr(f"approx_top_k_accumulate(`{key}`, {_TRACKED})").alias("sketch"),
-            F.count(F.lit(1)).alias("n"),
-        )
-        .groupBy(F.lit(0).alias("all"))  # a grouped aggregate: no row, rather than an error, where nothing came in
-        .agg(F.expr(f"approx_top_k_combine(sketch, {_TRACKED})").alias("sketch"), F.sum("n").alias("n"))
-        .where(F.col("n") >= min_rows)
-        .select("n", F.expr(f"approx_top_k_estimate(sketch, {most})").alias("top"))
-        .first()
-    )
-    if merged is None:
-        return []
-    floor = max(share * merged["n"], min_rows)
-    return [top["item"] for top in merged["top"] if top["count"] >= floor]
-
-
-def join_to_unique(
-    many: DataFrame, one: DataFrame, on: str, how: str = "inner", hot: Sequence | None = None
-) -> DataFrame:
+def join_to_unique(many: DataFrame, one: DataFrame, on: str, how: str = "inner") -> DataFrame:
     """Join rows to a table with one row per key (``how``: inner or left_semi).
 
-    Rows of heavy keys are not shuffled: they meet the few matching rows of ``one``, at most one per heavy key, by
-    broadcast. All other rows take the ordinary join. ``one`` is written out before it is read by both. ``hot``
-    overrides the detected keys.
+    ``one`` is written out first. Left in the plan, an aggregate on the join key would hand on its partitioning, and Spark
+    splits a skewed partition only where a shuffle of its own stands on both sides of the join. With it written, the
+    size of ``one`` is known too, and any key of ``many`` that is heavy, of whatever size, is split at run time.
     """
-    if hot is None:
-        hot = heavy_keys(many, on)
-    if not hot:
-        return many.join(one, on, how)
-    one = materialize(one)
-    is_hot = F.col(on).isin(list(hot))
-    spread = many.where(~is_hot).join(one.where(~is_hot), on, how)
-    local = many.where(is_hot).join(broadcast_rows(one.where(is_hot), len(hot)), on, how)
-    return spread.unionByName(local)
+    return many.join(materialize(one), on, how)
 
 
 def patient_admissions(patients: DataFrame, admissions: DataFrame, on: str = "SUBJECT_ID") -> DataFrame:
@@ -82,14 +38,14 @@ def deaths_only(patients: DataFrame, admissions: DataFrame, death: str, on: str
 
 
 def attach_matrix(
-    admissions: DataFrame, matrix: DataFrame, on: str = "SUBJECT_ID", hot: Sequence | None = None
+    admissions: DataFrame, matrix: DataFrame, on: str = "SUBJECT_ID"
 ) -> DataFrame:
     """Admission rows with the code counts of their subject.
 
     The grain is the grain of the key: by subject, every admission carries the counts of all admissions of the
     subject; build the matrix on the admission key and pass that key to count within the admission.
     """
-    return join_to_unique(admissions, matrix, on, "inner", hot)
+    return join_to_unique(admissions, matrix, on, "inner")
 
 
 def cohort_members(stays: DataFrame, on: str = "SUBJECT_ID", copies: str = "cohort_rows") -> DataFrame:
@@ -98,14 +54,14 @@ def cohort_members(stays: DataFrame, on: str = "SUBJECT_ID", copies: str = "coho
 
 
 def restrict_to_cohort(
-    events: DataFrame, members: DataFrame, on: str = "SUBJECT_ID", hot: Sequence | None = None
+    events: DataFrame, members: DataFrame, on: str = "SUBJECT_ID"
 ) -> DataFrame:
     """Events of cohort subjects, each once; ``members`` holds one row per subject."""
-    return join_to_unique(events, members.select(on), on, "left_semi", hot)
+    return join_to_unique(events, members.select(on), on, "left_semi")
 
 
 def cohort_events(
-    events: DataFrame, members: DataFrame, on: str = "SUBJECT_ID", hot: Sequence | None = None
+    events: DataFrame, members: DataFrame, on: str = "SUBJECT_ID"
 ) -> DataFrame:
     """Events of cohort subjects, each once, with the subject's number of cohort rows.
 
@@ -113,7 +69,7 @@ def cohort_events(
     says the same in one row, so a subject with many stays and many events does not multiply out: sums weighted
     by it equal the sums over the repeated rows.
     """
-    return join_to_unique(events, members, on, "inner", hot)
+    return join_to_unique(events, members, on, "inner")
 
 
 def diagnoses_by_title(

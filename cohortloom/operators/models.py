@@ -11,10 +11,10 @@ from pyspark.ml.classification import LogisticRegression, LogisticRegressionMode
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SEED = 20180910
+SEED = 17
 
 
 def kmeans(k: int, features: str = "scaledFeatures", seed: int = SEED) -> KMeans:
@@ -26,12 +26,36 @@ def fit_kmeans(df: DataFrame, k: int, features: str = "scaledFeatures", seed: in
 
 
 def kmeans_cost(model: KMeansModel, df: DataFrame, features: str = "scaledFeatures", name: str = "cost") -> DataFrame:
-    """Sum of squared distances of the rows to the centres they are assigned to, on any data."""
-    centres = F.array(*[F.array(*[F.lit(float(x)) for x in centre]) for centre in model.clusterCenters()])
-    assigned = model.transform(df)
-    centre = F.get(centres, F.col(model.getPredictionCol()))
-    squares = F.zip_with(vector_to_array(features), centre, lambda x, c: (x - c) * (x - c))
-    return assigned.agg(F.sum(F.aggregate(squares, F.lit(0.0), lambda total, s: total + s)).alias(name))
+    """Sum of squared distances of the rows to the centres they are assigned to, on any data.
+
+    Spelt out as the squares of the cells, less twice the cells times their centre's, plus the centre's squares for each row:
+    cells are summed up by cluster and position before they meet the table of centres, so the plan does not grow with the
+    width. A row without any cell of its own is counted at position -1.
+    """
+    spark, cluster = df.sparkSession, model.getPredictionCol()
+    centres = [(k, i, float(x)) for k, c in enumerate(model.clusterCenters()) for i, x in enumerate(c) if x]
+    centres = spark.createDataFrame(centres, f"{cluster} int, position int, centre double")
+    cells = model.transform(df).select(cluster, F.explode(_cells(features)).alias("cell"))
+    sums = cells.groupBy(cluster, F.col("cell.position").alias("position")).agg(
+        F.sum("cell.value").alias("total"), F.sum(F.col("cell.value") * F.col("cell.value")).alias("squares")
+    )
+    crossed = sums.join(centres, [cluster, "position"], "left").select(
+        cluster, (F.col("squares") - 2 * F.col("total") * F.coalesce("centre", F.lit(0.0))).alias("part")
+    )
+    rows = sums.where("position = -1").select(cluster, F.col("total").alias("n"))
+    norms = centres.groupBy(cluster).agg(F.sum(F.col("centre") * F.col("centre")).alias("norm"))
+    offsets = rows.join(norms, cluster).select(cluster, (F.col("n") * F.col("norm") - F.col("n")).alias("part"))
+    bare = rows.join(norms, cluster, "left_anti").select(cluster, (-F.col("n")).alias("part"))
+    return crossed.unionByName(offsets).unionByName(bare).agg(F.sum("part").alias(name))
+
+
+def _cells(features: str) -> Column:
+    """The nonzero cells of a vector as (position, value), and one of value 1 at position -1."""
+    values = F.transform(
+        vector_to_array(features), lambda x, i: F.struct(i.alias("position"), x.alias("value"))
+    )
+    row = F.array(F.struct(F.lit(-1).alias("position"), F.lit(1.0).alias("value")))
+    return F.concat(row, F.filter(values, lambda c: c["value"] != 0))
 
 
 def k_sweep(
@@ -71,8 +95,9 @@ def score(model: LogisticRegressionModel | PipelineModel, df: DataFrame, keep: S
 
 
 def area_under_roc(scored: DataFrame, label: str = "LABEL", by: str = "rawPrediction") -> float:
-    """Area under the ROC curve by score; ``by="prediction"`` gives that of the hard class."""
-    return BinaryClassificationEvaluator(rawPredictionCol=by, labelCol=label).evaluate(scored)
+    """Area under the ROC curve by score, with a point for every distinct score; ``by="prediction"`` gives that of the hard
+    class, and ``by`` may name any column of numbers."""
+    return BinaryClassificationEvaluator(rawPredictionCol=by, labelCol=label, numBins=0).evaluate(scored)
 
 
 def fit_stages(df: DataFrame, stages: Sequence) -> PipelineModel:

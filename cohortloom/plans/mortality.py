@@ -17,21 +17,25 @@ from cohortloom.functions import (
     mortality_target,
 )
 from cohortloom.operators.counts import count_matrix, distinct_values, one_hot_counts, union_codes
+from cohortloom.operators.features import assembler, code_vectors, positions
 from cohortloom.operators.filters import codes_in_set, flagged_any, title_search
 from cohortloom.operators.joins import attach_matrix, diagnoses_by_title, patient_admissions, whitelist
 
-#: Columns that describe an admission and are no model features.
+#: Columns that describe an admission and are no model features. The age at death is known of the dead only, so it would give
+#: the label away; the age at admission is the feature.
 DESCRIPTIVE = [
-    "SUBJECT_ID", "GENDER", "TARGET", "HADM_ID", "ADMITTIME", "DEATHTIME", "ADMISSION_TYPE", "INSURANCE", "DIAGNOSIS",
+    "SUBJECT_ID", "GENDER", "DOB", "AGE_AT_DEATH", "TARGET", "HADM_ID", "ADMITTIME", "DEATHTIME", "ADMISSION_TYPE",
+    "INSURANCE", "DIAGNOSIS",
 ]
 
 
 def patient_facts(patients: DataFrame) -> DataFrame:
-    """Patient key, gender, age at death in years (null for the living) and death-in-hospital target."""
+    """Patient key, gender, birth, age at death in years (null for the living) and death-in-hospital target."""
     return patients.select(
         "SUBJECT_ID",
         "GENDER",
-        age_years(F.col("DOB"), F.col("DOD")).alias("AGE"),
+        "DOB",
+        age_years(F.col("DOB"), F.col("DOD")).alias("AGE_AT_DEATH"),
         mortality_target(F.col("DOD_HOSP")).alias("TARGET"),
     )
 
@@ -42,9 +46,14 @@ def admission_facts(admissions: DataFrame) -> DataFrame:
     return admissions.withColumn("LOS", stay).drop("DISCHTIME")
 
 
+def with_age(rows: DataFrame) -> DataFrame:
+    """Rows with the age at admission in years."""
+    return rows.withColumn("AGE", age_years(F.col("DOB"), F.col("ADMITTIME")))
+
+
 def patients_info(patients: DataFrame, admissions: DataFrame) -> DataFrame:
     """Patient facts and admission facts, one row per admission."""
-    return patient_admissions(patient_facts(patients), admission_facts(admissions).drop("DEATHTIME"))
+    return with_age(patient_admissions(patient_facts(patients), admission_facts(admissions).drop("DEATHTIME")))
 
 
 def condition_codes(
@@ -100,7 +109,8 @@ def hospital_training_rows(
     """The whole path from the hospital tables to training rows.
 
     ``allowed`` keeps admissions with a listed diagnosis text and gives each text a one-hot column; None keeps all
-    admissions and leaves the free text out of the features.
+    admissions and leaves the free text out, as it would need a column per text: :func:`hospital_training_vectors` has it.
+    Here and there, one column per value of a category is what the caller asks for, so ``MAX_COLUMNS`` holds.
     """
     admitted = admission_facts(admissions).drop("DEATHTIME")
     categories = {name: distinct_values(admitted, name) for name in ("ADMISSION_TYPE", "INSURANCE")}
@@ -112,4 +122,69 @@ def hospital_training_rows(
     vocabulary = [f"lab:{c}" for c in markers] + [f"icd:{c}" for c in titled]
     codes = condition_codes(labs, diagnoses, lookup, markers, words)
     genders = {"GENDER": distinct_values(facts, "GENDER")}
-    return training_rows(facts, admitted, codes, vocabulary, genders, categories)
+    return with_age(training_rows(facts, admitted, codes, vocabulary, genders, categories))
+
+
+def training_vectors(
+    patients: DataFrame,
+    admissions: DataFrame,
+    codes: DataFrame,
+    patient_categories: Sequence[str],
+    admission_categories: Sequence[str],
+    numbers: Sequence[str] = (),
+    vocabulary: DataFrame | None = None,
+    fill: float | None = None,
+    on: str = "SUBJECT_ID",
+) -> DataFrame:
+    """Admissions of known patients with LABEL and one sparse vector: as :func:`training_rows`, without a column per value.
+
+    Codes, and each admission's values of the categories (marked ``column:value``), are counted by subject and position. The
+    vocabulary (``XCODE, position``) is a table; without one it holds every value that occurs, in text order, so its width is
+    free. ``numbers`` are columns of the patient or the admission that follow the counts; nulls in them become ``fill``, or NaN
+    without one. Subjects without codes drop out.
+    """
+    known = patients.select(on, *patient_categories)
+    visits = admissions.select(on, *admission_categories).join(known, on)
+    marked = [
+        F.concat(F.lit(f"{c}:"), F.col(c).cast("string")) for c in [*admission_categories, *patient_categories]
+    ]
+    one_hot = visits.select(on, F.explode(F.array_compact(F.array(*marked))).alias("XCODE")) if marked else None
+    plain = codes.select(on, F.col("XCODE").cast("string").alias("XCODE"))
+    cells = plain if one_hot is None else plain.unionByName(one_hot.join(plain.select(on).distinct(), on, "left_semi"))
+    vectors = code_vectors(cells, on, "XCODE", vocabulary if vocabulary is not None else positions(cells, "XCODE"), "counts")
+    rows = attach_matrix(admissions, vectors, on)
+    rows = rows.join(patients.select(on, *[c for c in patients.columns if c not in rows.columns]), on)
+    if numbers:
+        rows = rows if fill is None else rows.na.fill(fill, list(numbers))
+        rows = assembler(list(numbers), "_numbers", invalid="keep").transform(rows)
+        rows = assembler(["counts", "_numbers"], "features").transform(rows).drop("counts", "_numbers")
+    else:
+        rows = rows.withColumnRenamed("counts", "features")
+    return rows.withColumn("LABEL", label_from_target(F.col("TARGET")))
+
+
+def hospital_training_vectors(
+    patients: DataFrame,
+    admissions: DataFrame,
+    labs: DataFrame,
+    diagnoses: DataFrame,
+    lookup: DataFrame,
+    markers: Sequence[str] | Mapping[str, str] = RISK_MARKERS,
+    words: Sequence[str] = TITLE_WORDS,
+    allowed: Sequence[str] | None = ADMISSION_DIAGNOSES,
+    fill: float | None = 0.0,
+) -> DataFrame:
+    """The whole path from the hospital tables to ``SUBJECT_ID, HADM_ID, LABEL, features``, sparse.
+
+    ``allowed`` keeps admissions with a listed diagnosis text, None keeps all. Diagnosis texts are features either way, however
+    many there are. The last two cells are the length of stay and the age at admission.
+    """
+    admitted = admission_facts(admissions).drop("DEATHTIME")
+    if allowed is not None:
+        admitted = whitelist(admitted, "DIAGNOSIS", allowed)
+    facts = patient_facts(patients)
+    aged = with_age(admitted.join(facts.select("SUBJECT_ID", "DOB"), "SUBJECT_ID")).drop("DOB")
+    codes = condition_codes(labs, diagnoses, lookup, markers, words)
+    categories = ["ADMISSION_TYPE", "INSURANCE", "DIAGNOSIS"]
+    rows = training_vectors(facts, aged, codes, ["GENDER"], categories, ["LOS", "AGE"], fill=fill)
+    return rows.select("SUBJECT_ID", "HADM_ID", "LABEL", "features")

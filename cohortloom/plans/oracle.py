@@ -21,6 +21,8 @@ LABS = f"""(SELECT event_id, user_id, event_type, value,
     FROM events) labs"""
 MARKERS = _text(roles.MARKERS)
 TITLED = "(contains(p_name, 'ring') OR contains(p_name, 'red'))"
+OUTCOME = f"""CASE WHEN (o_totalprice >= {roles.COSTLY}) <> (('0x' || substr(md5(o_orderkey::VARCHAR), 1, 8))::BIGINT % 10 = 0)
+    THEN 'Y' ELSE 'N' END"""
 TARGET = "CASE WHEN nullif(o_orderstatus, 'P') IS NULL THEN 'N' ELSE 'Y' END"
 COHORT = """(SELECT o_custkey, count(*) AS cohort_rows FROM orders
     JOIN customer ON c_custkey = o_custkey
@@ -110,12 +112,28 @@ ORACLE: dict[str, str] = {
         l_linestatus AS "ORG_NAME", count(*) AS n_events, CAST(sum(cohort_rows) AS BIGINT) AS n_rows
         FROM lineitem JOIN orders o ON l_orderkey = o_orderkey JOIN {COHORT} ON cohort.o_custkey = o.o_custkey
         GROUP BY o.o_custkey, l_returnflag, l_linestatus""",
-    "cohort_diagnoses": f"""SELECT DISTINCT o.o_custkey AS "SUBJECT_ID", l_partkey AS "ICD9_CODE"
-        FROM lineitem JOIN orders o ON l_orderkey = o_orderkey
-        WHERE o.o_custkey IN (SELECT o_custkey FROM {COHORT})""",
+    "cohort_diagnoses": f"""SELECT o.o_custkey AS "SUBJECT_ID", l_partkey AS "ICD9_CODE", count(*) AS n_events,
+        CAST(sum(cohort_rows) AS BIGINT) AS n_rows
+        FROM lineitem JOIN orders o ON l_orderkey = o_orderkey JOIN {COHORT} ON cohort.o_custkey = o.o_custkey
+        GROUP BY o.o_custkey, l_partkey""",
+    "cohort_subjects": f"""SELECT o_custkey AS "SUBJECT_ID", o_orderkey AS "HADM_ID" FROM orders
+        WHERE o_custkey IN (SELECT o_custkey FROM {COHORT})""",
+    "csv_text_round_trip": "SELECT doc_id, text FROM documents",
+    "codes_in_table": f"""SELECT l_partkey AS "ICD9_CODE", count(*) AS n FROM lineitem
+        WHERE l_partkey IN (SELECT p_partkey FROM part WHERE {TITLED}) GROUP BY l_partkey""",
+    "codes_not_in_table": f"""SELECT l_partkey AS "ICD9_CODE", count(*) AS n FROM lineitem
+        WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE {TITLED}) GROUP BY l_partkey""",
+    "contingency_counts": """SELECT CAST(l_orderkey AS VARCHAR) AS "HADM_ID", CAST(l_partkey AS VARCHAR) AS "ICD9_CODE",
+        count(*) AS n FROM lineitem GROUP BY ALL""",
+    "matrix_descending": f"""SELECT user_id AS "SUBJECT_ID", {MARKER_COLUMNS} FROM {MATRIX} ORDER BY user_id DESC""",
+    "score_auc": f"""SELECT round((sum(r) FILTER (WHERE y) - n1 * (n1 + 1) / 2.0::DOUBLE) / (n1 * (n - n1)), 9) AS area_under_roc
+        FROM (SELECT y, rank() OVER (ORDER BY s) + (count(*) OVER (PARTITION BY s) - 1) / 2.0::DOUBLE AS r,
+                count(*) FILTER (WHERE y) OVER () AS n1, count(*) OVER () AS n
+              FROM (SELECT o_totalprice AS s, {OUTCOME} = 'Y' AS y FROM orders) scored) ranked GROUP BY n1, n""",
+    "kmeans_conditions": """SELECT DISTINCT user_id AS "SUBJECT_ID", true AS nearest, true AS central FROM events""",
     "diagnoses_by_title": f"""SELECT o_custkey AS "SUBJECT_ID", p_partkey AS "ICD9_CODE", p_name AS "SHORT_TITLE"
         FROM lineitem JOIN part ON p_partkey = l_partkey JOIN orders ON o_orderkey = l_orderkey WHERE {TITLED}""",
-    "code_overlap_count": f"SELECT count(*) AS n FROM part WHERE p_name IN ({MARKERS})",
+    "code_overlap_count": f"SELECT count(*) AS n FROM part WHERE p_type IN ({_text(roles.CHAPTERS[:2])}, {MARKERS})",
     "top_diagnoses_titled": """SELECT p_partkey AS "ICD9_CODE", p_name AS "SHORT_TITLE", n FROM part
         JOIN (SELECT l_partkey, count(*) AS n FROM lineitem GROUP BY l_partkey
               ORDER BY n DESC, l_partkey LIMIT 20) top ON l_partkey = p_partkey""",
@@ -169,7 +187,7 @@ ORACLE: dict[str, str] = {
         matrix AS (SELECT s, {_counts("x", [f"lab:{c}" for c in roles.MARKERS] + [f"icd:{c}" for c in roles.CHAPTERS])}
             FROM codes GROUP BY s),
         visits AS (SELECT o_custkey AS "SUBJECT_ID", o_orderkey AS "HADM_ID", c_mktsegment AS "GENDER",
-            o_orderpriority AS "ADMISSION_TYPE", o_orderstatus AS "DIAGNOSIS", o_totalprice AS "COST", {TARGET} AS "TARGET"
+            o_orderpriority AS "ADMISSION_TYPE", o_orderstatus AS "DIAGNOSIS", o_totalprice AS "COST", {OUTCOME} AS "TARGET"
             FROM orders JOIN customer ON c_custkey = o_custkey),
         genders AS (SELECT "SUBJECT_ID" AS s, {_counts('"GENDER"', roles.SEGMENTS, "GENDER_{}")} FROM visits GROUP BY ALL),
         types AS (SELECT "SUBJECT_ID" AS s, {_counts('"ADMISSION_TYPE"', roles.PRIORITIES, "ADMISSION_TYPE_{}")}
@@ -184,5 +202,17 @@ ORACLE: dict[str, str] = {
         {", ".join(f'round("{c}" / stddev_samp("{c}") OVER (), 6) AS "s_{c}"' for c in roles.EVENT_TYPES)}
         FROM (SELECT user_id, {_counts("event_type", roles.EVENT_TYPES)} FROM events GROUP BY user_id) matrix""",
     "train_test_split": f"""SELECT CASE WHEN tenth < 7 THEN 'train' ELSE 'test' END AS part, count(*) AS n,
-        CAST(sum(key) AS BIGINT) AS key_sum FROM ({_xxhash64("o_orderkey", "orders")}) hashed GROUP BY ALL""",
+        CAST(sum(key) AS BIGINT) AS key_sum FROM ({_xxhash64("o_custkey", "orders")}) hashed GROUP BY ALL""",
 }
+
+_CELLS = sorted(
+    [(f"lab:{c}", f"lab:{c}") for c in roles.MARKERS if c != "refund"]
+    + [(f"icd:{c}", f"icd:{c}") for c in roles.CHAPTERS]
+    + [(f"GENDER:{v}", f"GENDER_{v}") for v in roles.SEGMENTS]
+    + [(f"ADMISSION_TYPE:{v}", f"ADMISSION_TYPE_{v}") for v in roles.PRIORITIES]
+)
+ORACLE["training_vectors"] = f"""SELECT "HADM_ID", "LABEL",
+    {", ".join(f'CAST("{dense}" AS DOUBLE) AS "{cell}"' for cell, dense in _CELLS)}, "COST"
+    FROM ({ORACLE["training_rows"]}) dense"""
+ORACLE["logistic_conditions"] = f"""SELECT "HADM_ID", true AS by_coefficients, true AS likelier_class, true AS at_optimum
+    FROM ({ORACLE["training_rows"]}) dense"""

@@ -40,6 +40,14 @@ def csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.read_csv(spark, path, orders.schema)
 
 
+@query
+def csv_text_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts with quotes and line breaks, written and read back."""
+    texts, path = roles.table(spark, sf_dir, "documents").select("doc_id", "text"), scratch_path(spark, "texts-csv")
+    files.write_csv(texts, path, null="\\N")
+    return files.read_csv(spark, path, texts.schema, multi_line=True, null="\\N")
+
+
 @query
 def parquet_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "orders-parquet")
@@ -169,6 +177,27 @@ def codes_not_in_set(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("ROW_ID", "SUBJECT_ID", "ITEMID")
 
 
+def _title_codes(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
+    found = filters.title_search(roles.lookup(spark, sf_dir), "SHORT_TITLE", roles.WORDS)
+    return found.select(F.col("ICD9_CODE").cast(kind).alias("ICD9_CODE"))
+
+
+@query
+def codes_in_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Diagnoses whose code, a number, is in a table of codes as text, and among those in a table of numbers."""
+    coded = roles.admission_diagnoses(spark, sf_dir)
+    kept = filters.codes_in_set(coded, _title_codes(spark, sf_dir, "string"), "ICD9_CODE")
+    kept = filters.codes_in_set(kept, _title_codes(spark, sf_dir, "bigint"), "ICD9_CODE")
+    return counts.count_by(kept, "ICD9_CODE")
+
+
+@query
+def codes_not_in_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = roles.admission_diagnoses(spark, sf_dir)
+    kept = filters.codes_not_in_set(coded, _title_codes(spark, sf_dir, "string"), "ICD9_CODE")
+    return counts.count_by(kept, "ICD9_CODE")
+
+
 # joins
 
 
@@ -213,10 +242,20 @@ def cohort_micro_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def cohort_diagnoses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per subject and code: diagnoses of the cohort, and the rows of the join with one cohort row per admission."""
     admissions = roles.admissions(spark, sf_dir).select("SUBJECT_ID", "HADM_ID")
-    cohort = joins.restrict_to_cohort(admissions, _cohort(spark, sf_dir))
+    cohort = joins.cohort_events(admissions, _cohort(spark, sf_dir))
     coded = roles.admission_diagnoses(spark, sf_dir).join(cohort, "HADM_ID")
-    return coded.select("SUBJECT_ID", "ICD9_CODE").distinct()
+    return coded.groupBy("SUBJECT_ID", "ICD9_CODE").agg(
+        F.count(F.lit(1)).alias("n_events"), F.sum("cohort_rows").alias("n_rows")
+    )
+
+
+@query
+def cohort_subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Admissions of the subjects of the cohort, each once."""
+    admissions = roles.admissions(spark, sf_dir).select("SUBJECT_ID", "HADM_ID")
+    return joins.restrict_to_cohort(admissions, _cohort(spark, sf_dir))
 
 
 def _titled(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -234,7 +273,7 @@ def diagnoses_by_title(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def code_overlap_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return joins.code_overlap_count(roles.lookup(spark, sf_dir), "SHORT_TITLE", roles.MARKERS)
+    return joins.code_overlap_count(roles.lookup(spark, sf_dir), "CHAPTER", [*roles.CHAPTERS[:2], *roles.MARKERS])
 
 
 @query
@@ -306,6 +345,17 @@ def crosstab_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.crosstab(roles.labs(spark, sf_dir), "SUBJECT_ID", "ITEMID")
 
 
+@query
+def contingency_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contingency table in long form, over codes of any number."""
+    return counts.contingency(roles.admission_diagnoses(spark, sf_dir), "HADM_ID", "ICD9_CODE")
+
+
+@query
+def matrix_descending(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return counts.sort_by_key(feature_matrix_select(spark, sf_dir), "SUBJECT_ID", ascending=False)
+
+
 @query
 def one_hot_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.one_hot_counts(
@@ -352,27 +402,55 @@ def union_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 VOCABULARY = [f"lab:{c}" for c in roles.MARKERS] + [f"icd:{c}" for c in roles.CHAPTERS]
 
 
-@query
-def training_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Visits with counts of flagged listed labs and of titled diagnoses, one-hot counts and the label."""
+def _training_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     labs = filters.codes_in_set(filters.flagged_any(roles.labs(spark, sf_dir)), roles.MARKERS, "ITEMID")
-    codes = counts.union_codes(
+    return counts.union_codes(
         {
             "lab": labs.select("SUBJECT_ID", F.col("ITEMID").alias("XCODE")),
             "icd": _titled(spark, sf_dir).select("SUBJECT_ID", F.col("CHAPTER").alias("XCODE")),
         }
     )
-    admissions = roles.admissions(spark, sf_dir).withColumn("TARGET", columns.mortality_target(F.col("DEATHTIME")))
+
+
+@query
+def training_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Visits with counts of flagged listed labs and of titled diagnoses, one-hot counts and the label."""
     return mortality.training_rows(
         roles.patients(spark, sf_dir),
-        admissions.drop("ADMITTIME", "DEATHTIME"),
-        codes,
+        roles.with_outcome(roles.admissions(spark, sf_dir)).drop("ADMITTIME", "DEATHTIME"),
+        _training_codes(spark, sf_dir),
         VOCABULARY,
         {"GENDER": roles.SEGMENTS},
         {"ADMISSION_TYPE": roles.PRIORITIES},
     )
 
 
+def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mortality.training_vectors(
+        roles.patients(spark, sf_dir),
+        roles.with_outcome(roles.admissions(spark, sf_dir)),
+        _training_codes(spark, sf_dir),
+        ["GENDER"],
+        ["ADMISSION_TYPE"],
+        ["COST"],
+    )
+
+
+@query
+def training_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same features as sparse vectors, back in one column per value."""
+    cells = features_in_order()
+    vector = vector_to_array("features")
+    return _vectors(spark, sf_dir).select("HADM_ID", "LABEL", *[vector[i].alias(c) for i, c in enumerate(cells)])
+
+
+def features_in_order() -> list[str]:
+    """The cells of the training vectors, in the text order of their codes; listed codes that never occur have none."""
+    counted = [f"lab:{c}" for c in roles.MARKERS if c != "refund"] + [f"icd:{c}" for c in roles.CHAPTERS]
+    counted += [f"GENDER:{v}" for v in roles.SEGMENTS] + [f"ADMISSION_TYPE:{v}" for v in roles.PRIORITIES]
+    return [*sorted(counted), "COST"]
+
+
 @query
 def feature_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     codes = list(roles.MARKERS)
@@ -398,8 +476,9 @@ def scaled_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def train_test_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    marked = features.with_split(roles.admissions(spark, sf_dir), "HADM_ID")
-    return marked.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.sum("HADM_ID").alias("key_sum"))
+    """By subject: the counts of a subject are the same in all of its rows, so they must not stand on both sides."""
+    marked = features.with_split(roles.admissions(spark, sf_dir), "SUBJECT_ID")
+    return marked.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.sum("SUBJECT_ID").alias("key_sum"))
 
 
 @query
@@ -421,35 +500,87 @@ def kmeans_k_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(costs, "k int, cost double")
 
 
-#: Columns of the training rows that are no features: descriptions and whatever the label was made from.
-EXCLUDED = ["SUBJECT_ID", "HADM_ID", "GENDER", "ADMISSION_TYPE", "DIAGNOSIS", "TARGET"]
-
-
 def _model_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = features.assemble(training_rows(spark, sf_dir), EXCLUDED, invalid="error")
-    return materialize(rows.select("HADM_ID", "LABEL", "features"))
+    return materialize(_vectors(spark, sf_dir).select("SUBJECT_ID", "HADM_ID", "LABEL", "features"))
 
 
 @query
 def mortality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Model fitted on the training part, test part scored."""
-    train, test = features.hash_split(_model_rows(spark, sf_dir), "HADM_ID")
+    train, test = features.hash_split(_model_rows(spark, sf_dir), "SUBJECT_ID")
     return models.score(models.fit_logistic(train), test, ["HADM_ID", "LABEL"])
 
 
 @query
 def model_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Area under the ROC curve on the test part, by score and by hard class."""
-    train, test = features.hash_split(_model_rows(spark, sf_dir), "HADM_ID")
+    train, test = features.hash_split(_model_rows(spark, sf_dir), "SUBJECT_ID")
     scored = materialize(models.fit_logistic(train).transform(test).select("LABEL", "rawPrediction", "prediction"))
     areas = [(by, models.area_under_roc(scored, by=by)) for by in ("rawPrediction", "prediction")]
     return spark.createDataFrame(areas, "ranked_by string, area_under_roc double")
 
 
+@query
+def score_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Area under the ROC curve of a column: the cost of an admission as the score of its outcome."""
+    rows = roles.with_outcome(roles.admissions(spark, sf_dir))
+    scored = rows.select("COST", columns.label_from_target(F.col("TARGET")).alias("LABEL"))
+    area = models.area_under_roc(scored, by="COST")
+    return spark.createDataFrame([(round(area, 9),)], "area_under_roc double")
+
+
+@query
+def kmeans_conditions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What defines a clustering, row by row: no other centre is nearer than the subject's, and a centre is the mean of its
+    subjects (of a fit that ran until nothing moved)."""
+    scaled = _scaled(spark, sf_dir)
+    model = models.kmeans(3).setMaxIter(200).setTol(0.0).fit(scaled)
+    centres = F.array(*[F.array(*[F.lit(float(x)) for x in c]) for c in model.clusterCenters()])
+    point = vector_to_array("scaledFeatures")
+    gap = lambda c: F.aggregate(F.zip_with(point, c, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda t, d: t + d)
+    rows = model.transform(scaled).select(
+        "SUBJECT_ID", "prediction", point.alias("point"), F.transform(centres, gap).alias("gaps")
+    )
+    means = rows.groupBy("prediction").agg(F.array(*[F.avg(F.col("point")[i]) for i in range(len(roles.EVENT_TYPES))]).alias("mean"))
+    off = F.aggregate(
+        F.zip_with("mean", F.get(centres, F.col("prediction")), lambda m, c: F.abs(m - c)), F.lit(0.0), lambda t, d: t + d
+    )
+    checked = rows.join(F.broadcast(means.select("prediction", (off < 1e-6).alias("central"))), "prediction")
+    nearest = F.get(F.col("gaps"), F.col("prediction")) <= F.array_min("gaps") + 1e-9
+    return checked.select("SUBJECT_ID", nearest.alias("nearest"), "central")
+
+
+@query
+def logistic_conditions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What defines the fit: over all rows, residuals are orthogonal to each feature; and each row's probability is the
+    logistic function of its features and the coefficients, its class the likelier one."""
+    rows = _model_rows(spark, sf_dir)
+    model = models.logistic().setTol(1e-12).setMaxIter(500).fit(rows)
+    weights = F.array(*[F.lit(float(x)) for x in model.coefficients])
+    cells = vector_to_array("features")
+    margin = F.aggregate(F.zip_with(cells, weights, lambda x, w: x * w), F.lit(float(model.intercept)), lambda t, d: t + d)
+    chance = vector_to_array("probability")[1]
+    scored = model.transform(rows).select(
+        "HADM_ID", "LABEL", "prediction", chance.alias("chance"), (1 / (1 + F.exp(-margin))).alias("own"), cells.alias("cells")
+    )
+    width = len(features_in_order())
+    slopes = scored.agg(
+        *[F.sum((F.col("LABEL") - F.col("chance")) * F.col("cells")[i]).alias(f"s{i}") for i in range(width)],
+        *[F.sum(F.abs(F.col("cells")[i])).alias(f"t{i}") for i in range(width)],
+    ).first()
+    flat = all(abs(slopes[f"s{i}"]) <= 1e-4 * slopes[f"t{i}"] for i in range(width))
+    return scored.select(
+        "HADM_ID",
+        (F.abs(F.col("chance") - F.col("own")) < 1e-9).alias("by_coefficients"),
+        ((F.col("prediction") == 1) == (F.col("chance") > 0.5)).alias("likelier_class"),
+        F.lit(flat).alias("at_optimum"),
+    )
+
+
 @query
 def training_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Summary of label and prediction over the scored training rows."""
-    train, _ = features.hash_split(_model_rows(spark, sf_dir), "HADM_ID")
+    train, _ = features.hash_split(_model_rows(spark, sf_dir), "SUBJECT_ID")
     predictions = models.training_predictions(models.fit_logistic(train))
     return counts.describe_columns(predictions, ["LABEL", "prediction"])
 

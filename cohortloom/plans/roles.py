@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from cohortloom.operators.features import rename
 from cohortloom.sources import read_parquet
@@ -16,18 +15,11 @@ PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
 STATUSES = ["F", "O", "P"]
 SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
 CHAPTERS = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
-ABNORMAL_FROM, DELTA_BELOW = 80.0, 5.0
-
-
-_schemas: dict[str, T.StructType] = {}
+ABNORMAL_FROM, DELTA_BELOW, COSTLY = 80.0, 5.0, 250_000.0
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One test table; its schema is looked up once per process."""
-    path = f"{sf_dir}/{name}.parquet"
-    df = read_parquet(spark, path, _schemas.get(path))
-    _schemas.setdefault(path, df.schema)
-    return df
+    return read_parquet(spark, f"{sf_dir}/{name}.parquet")
 
 
 def patients(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,6 +42,12 @@ def admissions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return named.withColumn("DEATHTIME", F.nullif("DIAGNOSIS", F.lit("P")))
 
 
+def with_outcome(admissions: DataFrame) -> DataFrame:
+    """Admissions with a TARGET that follows the cost, but for about one in ten by a hash of the key."""
+    turned = F.conv(F.substring(F.md5(F.col("HADM_ID").cast("string")), 1, 8), 16, 10).cast("bigint") % 10 == 0
+    return admissions.withColumn("TARGET", F.when((F.col("COST") >= COSTLY) != turned, "Y").otherwise("N"))
+
+
 def labs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events; a value out of the usual range raises a flag."""
     named = rename(

@@ -8,18 +8,19 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Tables of at most this many short rows are broadcast on demand; beyond it, Spark decides from what it measures.
-BROADCAST_ROWS = 100_000
+#: Tables of at most this many rows and about this many bytes are broadcast on demand; beyond it, Spark decides from what
+#: it measures.
+BROADCAST_ROWS, BROADCAST_BYTES = 100_000, 64 << 20
 
 _local_dirs: list[tempfile.TemporaryDirectory] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in ``spark.checkpoint.dir``.
+    """The shared folder that the cluster names in ``spark.checkpoint.dir``, or that the program has set.
 
     A machine-local folder is made only where the setting is absent and the session is a local one (tests).
     """
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named
     if not spark.sparkContext.master.startswith("local"):
@@ -34,9 +35,10 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/cohortloom/{name}-{uuid.uuid4().hex}"
 
 
-def broadcast_rows(df: DataFrame, rows: int) -> DataFrame:
-    """Broadcast a table that is known to hold at most ``rows`` rows, if that is few enough."""
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+def broadcast_rows(df: DataFrame, rows: int, cell_bytes: int = 20) -> DataFrame:
+    """Broadcast a table that is known to hold at most ``rows`` rows, if that and their width are small enough."""
+    small = rows <= BROADCAST_ROWS and rows * len(df.columns) * cell_bytes <= BROADCAST_BYTES
+    return F.broadcast(df) if small else df
 
 
 def materialize(df: DataFrame) -> DataFrame:

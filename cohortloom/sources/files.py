@@ -11,12 +11,30 @@ from pyspark.sql import types as T
 from cohortloom.sources.schemas import ENTITIES, entity_schema
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None, header: bool = True) -> DataFrame:
-    """Read CSV by a declared schema, by position; without one, every column is a string ``_cN``.
-
-    A value that does not fit its declared type becomes null.
+def read_csv(
+    spark: SparkSession,
+    path: str,
+    schema: T.StructType | None = None,
+    header: bool = True,
+    multi_line: bool = False,
+    null: str | None = None,
+    mode: str = "PERMISSIVE",
+    corrupt: str | None = None,
+) -> DataFrame:
+    """Read CSV by a declared schema, by position; without one, every column is a string, named by the header or ``_cN``.
+
+    A quote inside a quoted text is written twice. Quoted line breaks are kept with ``multi_line``; a file is then read by
+    one task, so it is off unless asked for. ``null`` is the mark of a missing value (without it, an empty field). In mode
+    PERMISSIVE a value that does not fit its type becomes null; ``corrupt`` names a text column that then holds the line of
+    every row that did not fit. DROPMALFORMED leaves such rows out, FAILFAST stops at the first.
     """
-    reader = spark.read.option("header", header)
+    options = {"header": header, "escape": '"', "multiLine": multi_line, "mode": mode, "nullValue": null}
+    if corrupt is not None:
+        if schema is None:
+            raise ValueError("a column for corrupt lines needs a declared schema")
+        schema = T.StructType([*schema.fields, T.StructField(corrupt, T.StringType())])
+        options["columnNameOfCorruptRecord"] = corrupt
+    reader = spark.read.options(**{k: v for k, v in options.items() if v is not None})
     return (reader.schema(schema) if schema is not None else reader).csv(path)
 
 
@@ -36,11 +54,17 @@ def drop_header_rows(df: DataFrame, key: str, title: str | None = None) -> DataF
     return df.where(F.col(key) != F.lit(title or key))
 
 
-def write_csv(df: DataFrame, path: str, mode: str = "errorifexists", header: bool = True) -> None:
-    """Write CSV as a folder of part files; blanks at either end of a text are kept."""
-    df.write.mode(mode).options(
-        header=header, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
-    ).csv(path)
+def write_csv(
+    df: DataFrame, path: str, mode: str = "errorifexists", header: bool = True, null: str | None = None
+) -> None:
+    """Write CSV as a folder of part files; blanks at either end of a text are kept, quotes are doubled.
+
+    With a mark for ``null``, empty texts and missing values stay apart (read with the same mark).
+    """
+    options = {"header": header, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    if null is not None:
+        options["nullValue"] = null
+    df.write.mode(mode).options(**options).csv(path)
 
 
 def read_parquet(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:

@@ -27,7 +27,11 @@ def compare(spark_frame, sql_frame) -> str | None:
     if sorted(spark_frame.columns) != sorted(sql_frame.columns):
         return f"columns {sorted(spark_frame.columns)} against {sorted(sql_frame.columns)}"
     types = [(c, str(spark_frame[c].dtype), str(sql_frame[c].dtype)) for c in spark_frame.columns]
-    mixed = [t for t in types if t[1].split("[")[0] != t[2].split("[")[0]]
+    # whole numbers with gaps are float64 on one side and Int64 on the other
+    gaps = {"float64", "Int64"}
+    mixed = [t for t in types if t[1].split("[")[0] != t[2].split("[")[0] and {t[1], t[2]} != gaps]
+    for c in [t[0] for t in types if {t[1], t[2]} == gaps]:
+        spark_frame, sql_frame = (f.assign(**{c: f[c].astype("Int64")}) for f in (spark_frame, sql_frame))
     if mixed:
         return f"types {mixed}"
     ours, theirs = _rows(spark_frame), _rows(sql_frame)

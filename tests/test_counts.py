@@ -145,3 +145,29 @@ def test_describe_is_the_built_in_summary(spark):
         c = r["column_name"]
         for ours, theirs in {"n": "count", "mean": "mean", "stddev": "stddev", "min": "min", "max": "max"}.items():
             assert r[ours] == pytest.approx(float(built_in[theirs][c]))
+
+
+def test_contingency_has_no_limit(spark, rows):
+    df = spark.range(0, 30_000).select((F.col("id") % 3).alias("s"), F.when(F.col("id") > 0, F.col("id")).alias("c"))
+    long = counts.contingency(df, "s", "c")
+    assert long.count() == 30_000 and long.where("c = 'null'").first()["n"] == 1
+    small = df.where("id < 40")
+    assert rows(counts.contingency(small, "s", "c")) == rows(
+        counts.crosstab(small, "s", "c").selectExpr("s_c", "stack(40, " + ", ".join(f"'{v}', `{v}`" for v in ["null", *map(str, range(1, 40))]) + ") AS (c, n)").where("n > 0")
+    )
+
+
+def test_cells_of_like_names_stay_apart(spark, monkeypatch):
+    df = spark.createDataFrame([("s", "b_c", "x"), ("s", "y", "c")], "s string, a string, a_b string")
+    categories = {"a": ["b_c"], "a_b": ["c"]}
+    for most in (100, 1):
+        monkeypatch.setattr(counts, "_ONE_PASS_COLUMNS", most)
+        with pytest.raises(ValueError, match="a_b_c"):
+            counts.one_hot_counts(df, "s", categories)
+        assert tuple(counts.one_hot_counts(df, "s", categories, prefix=False).first()) == ("s", 1, 1)
+
+
+def test_describe_text(spark):
+    df = spark.createDataFrame([("1.5",), ("2.5",), ("x",), (None,)], "t string")
+    row = counts.describe_columns(df, ["t"]).first()
+    assert (row["n"], row["mean"], row["min"], row["max"]) == (3, 2.0, 1.5, 2.5)

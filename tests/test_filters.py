@@ -74,16 +74,28 @@ def test_target_and_label(spark):
 
 def test_patient_facts(hospital, rows):
     facts = mortality.patient_facts(hospital["patients"])
-    assert rows(facts) == [("p1", "F", 70.5, "Y"), ("p2", "M", 55.0, "N"), ("p3", "F", None, "N")]
+    assert rows(facts.drop("DOB")) == [("p1", "F", 70.5, "Y"), ("p2", "M", 55.0, "N"), ("p3", "F", None, "N")]
 
 
 def test_patients_info(hospital):
     info = mortality.patients_info(hospital["patients"], hospital["admissions"])
     assert info.columns == [
-        "SUBJECT_ID", "GENDER", "AGE", "TARGET", "HADM_ID", "ADMITTIME", "ADMISSION_TYPE", "INSURANCE", "DIAGNOSIS",
-        "LOS",
+        "SUBJECT_ID", "GENDER", "DOB", "AGE_AT_DEATH", "TARGET", "HADM_ID", "ADMITTIME", "ADMISSION_TYPE", "INSURANCE",
+        "DIAGNOSIS", "LOS", "AGE",
     ]
     got = {r["HADM_ID"]: (r["SUBJECT_ID"], r["LOS"]) for r in info.collect()}
     assert got == {"h1": ("p1", 9), "h2": ("p1", 0), "h3": ("p1", 12), "h4": ("p2", 4), "h5": ("p3", 2)}
+    ages = {r["HADM_ID"]: r["AGE"] for r in info.collect()}
+    assert ages["h1"] == 70.0 and ages["h5"] == 29.5  # known of the living too
     sepsis = filters.equal_to(info, "DIAGNOSIS", "SEPSIS")
     assert [r["HADM_ID"] for r in sepsis.collect()] == ["h1"]
+
+
+def test_code_tables_of_either_type(spark):
+    events = spark.createDataFrame([("7", 1), ("07", 2), ("x1", 3), (None, 4)], "code string, n int")
+    numbers = spark.createDataFrame([(7,), (7,), (None,)], "code int")
+    assert [r["n"] for r in filters.codes_in_set(events, numbers, "code").collect()] == [1]
+    assert sorted(r["n"] for r in filters.codes_not_in_set(events, numbers, "code").collect()) == [2, 3, 4]
+    numbered = spark.createDataFrame([(7, 1), (8, 2)], "code bigint, n int")
+    texts = spark.createDataFrame([("7",), ("x1",)], "code string")
+    assert [r["n"] for r in filters.codes_in_set(numbered, texts, "code").collect()] == [1]

@@ -19,58 +19,39 @@ def unique(spark):
     )
 
 
-def test_heavy_keys_are_found(skewed):
-    assert joins.heavy_keys(skewed, "k", share=0.1, min_rows=1000) == [7]
-    assert joins.heavy_keys(skewed.select(F.col("k").cast("string").alias("k")), "k", 0.1, 1000) == ["7"]
-
-
-def test_heavy_keys_with_idle_partitions(skewed, spark):
-    old = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions")}
-    spark.conf.set("spark.sql.adaptive.enabled", "false")
-    spark.conf.set("spark.sql.shuffle.partitions", "50")
-    try:
-        assert joins.heavy_keys(skewed, "k", share=0.1, min_rows=1000) == [7]
-        assert joins.heavy_keys(skewed.where("id < 0"), "k", share=0.1, min_rows=1000) == []
-    finally:
-        for k, v in old.items():
-            spark.conf.set(k, v)
-
-
-def test_small_tables_have_no_heavy_keys(skewed, spark):
-    assert joins.heavy_keys(skewed, "k") == []
-    assert joins.heavy_keys(spark.range(0).select(F.col("id").alias("k")), "k") == []
-
-
-def test_no_more_heavy_keys_than_the_share_allows(spark):
-    rows = spark.range(0, 50_000, 1, 4).select((F.col("id") % 20).alias("k"))
-    assert len(joins.heavy_keys(rows, "k", share=0.04, min_rows=1)) == 20
-    assert joins.heavy_keys(rows, "k", share=0.06, min_rows=1) == []
-
-
 @pytest.mark.parametrize("how", ["inner", "left_semi"])
-def test_heavy_route_gives_the_plain_join(skewed, unique, how):
+def test_written_side_gives_the_plain_join(skewed, unique, how):
     plain = skewed.join(unique, "k", how)
-    split = joins.join_to_unique(skewed, unique, "k", how, hot=[7, 11])
-    assert split.columns == plain.columns
-    assert split.exceptAll(plain).isEmpty() and plain.exceptAll(split).isEmpty()
-
-
-def test_heavy_rows_are_not_shuffled(skewed, unique, spark):
-    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    written = joins.join_to_unique(skewed, unique, "k", how)
+    assert written.columns == plain.columns
+    assert written.exceptAll(plain).isEmpty() and plain.exceptAll(written).isEmpty()
+
+
+def test_a_key_with_a_third_of_the_rows_is_split(skewed, spark):
+    """An aggregate on the join key against 90,000 rows, 30,000 of them on one key: Spark splits that key's partition."""
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "16k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+    }
+    old = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
     try:
-        joined = joins.join_to_unique(skewed, unique, "k", hot=[7])
-        plan = joined._jdf.queryExecution().executedPlan().toString()
-        assert "BroadcastHashJoin" in plan and "SortMergeJoin" in plan
+        matrix = skewed.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+        joined = joins.join_to_unique(skewed, matrix, "k")
+        assert len(joined.collect()) == 90_000
+        assert "skew=true" in joined._jdf.queryExecution().executedPlan().toString()
     finally:
-        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-def test_null_keys_drop_on_both_routes(spark, unique):
+def test_null_keys_drop(spark, unique):
     many = spark.sql("SELECT * FROM VALUES (7L, 1), (NULL, 2), (2L, 3) AS t(k, id)")
-    for hot in ([], [7]):
-        got = joins.join_to_unique(many, unique, "k", hot=hot).collect()
-        assert sorted(tuple(r) for r in got) == [(2, 3, 20), (7, 1, 70)]
+    got = joins.join_to_unique(many, unique, "k").collect()
+    assert sorted(tuple(r) for r in got) == [(2, 3, 20), (7, 1, 70)]
 
 
 def test_patient_admissions_have_one_key_column(hospital):

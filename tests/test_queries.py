@@ -1,9 +1,15 @@
 """Every registered query against its SQL twin."""
 
+import os
+import shutil
+import subprocess
+import sys
+
 import pytest
 
 import __spark_entry__ as driver
-from cohortloom.operators import joins
+from cohortloom.operators import features
+from cohortloom.plans import queries
 from tests.sql_check import compare, connect
 
 SF_DIR = "/root/testdata/sf0.01"
@@ -22,17 +28,6 @@ def test_same_rows_as_sql(spark, duck, name):
     assert compare(ours, theirs) is None
 
 
-@pytest.mark.parametrize(
-    "name",
-    ["admission_code_matrix", "cohort_micro_events", "cohort_diagnoses", "one_hot_chain", "training_rows"],
-)
-def test_same_rows_on_the_heavy_route(spark, duck, name, monkeypatch):
-    monkeypatch.setattr(joins, "heavy_keys", lambda rows, key: list(range(0, 1500, 4)))
-    ours = driver.queries()[name](spark, SF_DIR)
-    assert "Union" in ours._jdf.queryExecution().analyzed().toString()
-    assert compare(ours.toPandas(), duck.execute(driver.oracle_sql()[name]).df()) is None
-
-
 def test_every_twin_has_a_query():
     assert set(driver.oracle_sql()) <= set(driver.queries())
 
@@ -70,4 +65,22 @@ def test_outcome_models_cover_their_rows(spark):
     summary = {r["column_name"]: r["n"] for r in ours["training_summary"](spark, SMALL).collect()}
     assert summary == dict.fromkeys(["LABEL", "prediction"], len(labels) - len(test_part))
     areas = ours["model_auc"](spark, SMALL).toPandas()
-    assert list(areas["ranked_by"]) == ["rawPrediction", "prediction"] and areas["area_under_roc"].between(0, 1).all()
+    assert list(areas["ranked_by"]) == ["rawPrediction", "prediction"]
+    # the outcome follows the features but for one row in ten: a fit on shuffled features would be near 0.5
+    assert areas["area_under_roc"].between(0.8, 1).all()
+
+
+def test_parts_share_no_subject(spark):
+    train, test = features.hash_split(queries._model_rows(spark, SMALL), "SUBJECT_ID")
+    assert train.join(test, "SUBJECT_ID", "left_semi").isEmpty() and not train.isEmpty() and not test.isEmpty()
+
+
+def test_imports_without_the_corpus_folders(tmp_path):
+    """Without the subpackage of corpus operators and the pipeline, the other queries are there."""
+    root = os.path.dirname(os.path.abspath(driver.__file__))
+    ignore = shutil.ignore_patterns(".git", "llm", "corpus_pipeline.py", "__pycache__")
+    shutil.copytree(root, tmp_path / "repo", ignore=ignore)
+    code = "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()), sum(q.startswith('op') for q in e.queries()))"
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path / "repo", env={**os.environ, "PYTHONPATH": ""}, capture_output=True, text=True)
+    assert done.returncode == 0, done.stderr
+    assert done.stdout.split() == [str(len(queries.REGISTRY)), str(len(driver.ORACLE)), "0"]

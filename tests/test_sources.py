@@ -1,9 +1,11 @@
 import datetime as dt
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
 
 from cohortloom import session, sources
+from cohortloom.sources import files
 
 
 def test_entities_are_named_and_typed(hospital):
@@ -84,3 +86,35 @@ def test_materialize_keeps_rows_and_cuts_lineage(spark):
     assert cut.dtypes == df.dtypes
     assert cut.exceptAll(df).isEmpty() and cut.count() == 7
     assert "Exchange" not in cut._jdf.queryExecution().executedPlan().toString()
+
+
+TEXTS = ['12" scar, left', 'a "quoted" word', '"', '""', "line\nbreak", "tail\\", " blanks ", "", None, "\\N x", ",", "é"]
+
+
+def test_texts_come_back_exactly(spark, tmp_path, rows):
+    df = spark.createDataFrame(list(enumerate(TEXTS)), "n int, text string")
+    files.write_csv(df, str(tmp_path / "t"), null="\\N")
+    assert rows(files.read_csv(spark, str(tmp_path / "t"), df.schema, multi_line=True, null="\\N")) == rows(df)
+
+
+def test_doubled_quotes_and_broken_lines(spark, tmp_path):
+    path = tmp_path / "x.csv"
+    path.write_text('id,text,n\n1,"12"" scar, left",7\n2,b,seven\n3,c\n4,"",8\n')
+    schema = "id int, text string, n int"
+    schema = spark.createDataFrame([], schema).schema
+    got = [tuple(r) for r in files.read_csv(spark, str(path), schema).collect()]
+    assert got == [(1, '12" scar, left', 7), (2, "b", None), (3, "c", None), (4, None, 8)]
+    marked = files.read_csv(spark, str(path), schema, corrupt="line").cache()
+    assert {r["id"]: r["line"] for r in marked.where("line IS NOT NULL").collect()} == {2: "2,b,seven", 3: "3,c"}
+    assert [r["id"] for r in files.read_csv(spark, str(path), schema, mode="DROPMALFORMED").collect()] == [1, 4]
+    with pytest.raises(ValueError, match="schema"):
+        files.read_csv(spark, str(path), corrupt="line")
+
+
+def test_scratch_follows_a_folder_set_by_the_program():
+    context = SimpleNamespace(getCheckpointDir=lambda: "file:/shared/x", master="spark://somewhere")
+    program = SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: default), sparkContext=context)
+    assert session.shared_dir(program) == "file:/shared/x"
+    context.getCheckpointDir = lambda: None
+    with pytest.raises(ValueError, match="checkpoint"):
+        session.shared_dir(program)
