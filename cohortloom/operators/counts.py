@@ -59,6 +59,19 @@ def distinct_values(df: DataFrame, column: str, limit: int = MAX_COLUMNS) -> lis
     return sorted(v for v in values if v is not None)
 
 
+def distinct_values_by_column(df: DataFrame, columns: Sequence[str], limit: int = MAX_COLUMNS) -> dict[str, list[str]]:
+    """``distinct_values`` of several columns, in one pass over the rows."""
+    pairs = [F.struct(F.lit(c).alias("name"), F.col(c).cast("string").alias("value")) for c in columns]
+    pairs = df.select(F.explode(F.array(*pairs)).alias("p")).select("p.*").where("value IS NOT NULL").distinct()
+    found: dict[str, list[str]] = {c: [] for c in columns}
+    for name, value in pairs.limit(limit * len(columns) + 1).collect():
+        found[name].append(value)
+    for name, values in found.items():
+        if len(values) > limit:
+            raise ValueError(f"{name} has over {limit} values; use code_vectors instead of one column per value")
+    return {name: sorted(values) for name, values in found.items()}
+
+
 def _count_of(column: Column, value) -> Column:
     return F.count(F.when(column == F.lit(value), 1))
 

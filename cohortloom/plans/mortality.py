@@ -16,7 +16,7 @@ from cohortloom.functions import (
     label_from_target,
     mortality_target,
 )
-from cohortloom.operators.counts import count_matrix, distinct_values, one_hot_counts, union_codes
+from cohortloom.operators.counts import count_matrix, distinct_values, distinct_values_by_column, one_hot_counts, union_codes
 from cohortloom.operators.features import assembler, code_vectors, positions
 from cohortloom.operators.filters import codes_in_set, flagged_any, title_search
 from cohortloom.operators.joins import attach_matrix, diagnoses_by_title, patient_admissions, whitelist
@@ -113,7 +113,7 @@ def hospital_training_rows(
     Here and there, one column per value of a category is what the caller asks for, so ``MAX_COLUMNS`` holds.
     """
     admitted = admission_facts(admissions).drop("DEATHTIME")
-    categories = {name: distinct_values(admitted, name) for name in ("ADMISSION_TYPE", "INSURANCE")}
+    categories = distinct_values_by_column(admitted, ["ADMISSION_TYPE", "INSURANCE"])
     if allowed is not None:
         admitted = whitelist(admitted, "DIAGNOSIS", allowed)
         categories["DIAGNOSIS"] = allowed

@@ -31,8 +31,18 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that no earlier run has used."""
-    return f"{shared_dir(spark).rstrip('/')}/cohortloom/{name}-{uuid.uuid4().hex}"
+    """A path in the shared folder that no earlier run has used; the application has a folder of its own there."""
+    return f"{_own_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _own_folder(spark: SparkSession) -> str:
+    return f"{shared_dir(spark).rstrip('/')}/cohortloom/{spark.sparkContext.applicationId}"
+
+
+def remove_scratch(spark: SparkSession) -> bool:
+    """Delete what this application has written under ``scratch_path``, once its results are no longer read."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_own_folder(spark))
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def broadcast_rows(df: DataFrame, rows: int, cell_bytes: int = 20) -> DataFrame:

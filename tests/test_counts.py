@@ -84,6 +84,12 @@ def test_too_many_values_raise(events):
     assert counts.distinct_values(events, "c", limit=4) == CODES
 
 
+def test_values_of_several_columns(events):
+    assert counts.distinct_values_by_column(events, ["c", "s"]) == {"c": CODES, "s": counts.distinct_values(events, "s")}
+    with pytest.raises(ValueError, match="c has over 2"):
+        counts.distinct_values_by_column(events, ["c"], limit=2)
+
+
 def test_one_hot_equals_chain_of_crosstabs(spark, rows):
     data = [(f"s{i % 3}", "FM"[i % 2], ["x y", "z/w", "v"][i % 3 % 2]) for i in range(20)]
     df = spark.createDataFrame(data, "s string, g string, k string")

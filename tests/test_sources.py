@@ -111,6 +111,14 @@ def test_doubled_quotes_and_broken_lines(spark, tmp_path):
         files.read_csv(spark, str(path), corrupt="line")
 
 
+def test_scratch_is_removed(spark):
+    path = session.scratch_path(spark, "gone")
+    spark.range(3).write.parquet(path)
+    assert session.remove_scratch(spark)
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(path)
+
+
 def test_scratch_follows_a_folder_set_by_the_program():
     context = SimpleNamespace(getCheckpointDir=lambda: "file:/shared/x", master="spark://somewhere")
     program = SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: default), sparkContext=context)
