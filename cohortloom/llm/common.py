@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortloom.session import scratch_path
 
-#: Rows that a Python task holds as Python objects at a time.
-SLICE_ROWS = 256
+#: Rows that a Python task holds as Python objects at a time, and bytes of their texts (one text may be longer).
+SLICE_ROWS, SLICE_BYTES = 256, 8 << 20
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -25,11 +27,19 @@ def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
-def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Small pieces of the batches, so that few texts are Python objects at once."""
     for batch in batches:
-        for start in range(0, batch.num_rows, rows):
-            yield batch.slice(start, rows)
+        upto, start = None, 0
+        if "text" in batch.schema.names:
+            upto = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        while start < batch.num_rows:
+            n = rows
+            if upto is not None:
+                before = upto[start - 1] if start else 0
+                n = max(1, min(rows, int(np.searchsorted(upto, before + most, "right")) - start))
+            yield batch.slice(start, n)
+            start += n
 
 
 def map_texts(
