@@ -27,7 +27,7 @@ def invented(n, seed, bad=("disgusting", "pathetic", "worthless"), spoilt=False)
 
 
 def test_unseen_misspellings_are_found():
-    model = ToxicityModel.fit((words_of(t), y) for _, t, y in invented(900, 1))
+    model = ToxicityModel.fit((words_of(t), y, 1.0) for _, t, y in invented(900, 1))
     for spoilt in (False, True):
         rows = invented(600, 2, spoilt=spoilt)
         scores = Scorer(model)([t for _, t, _ in rows])
@@ -38,7 +38,7 @@ def test_unseen_misspellings_are_found():
 
 
 def test_score_is_that_of_the_highest_window():
-    model = ToxicityModel.fit((words_of(t), y) for _, t, y in invented(300, 1))
+    model = ToxicityModel.fit((words_of(t), y, 1.0) for _, t, y in invented(300, 1))
     scorer = Scorer(model)
     text = invented(1, 9)[0][1]
     words = words_of(text)
@@ -59,7 +59,7 @@ def test_bags_hold_the_grams():
 
 def test_without_both_classes():
     for labels, score in (([], 0.0), ([0, 0], 0.0), ([1, 1], 1.0)):
-        model = ToxicityModel.fit((["some", "words"], y) for y in labels)
+        model = ToxicityModel.fit((["some", "words"], y, 1.0) for y in labels)
         assert np.allclose(Scorer(model)(["any text", ""]), score, atol=1e-5)
 
 
