@@ -8,8 +8,8 @@ a segment of even parity to its codeword only: one bit apart, the one's codeword
 the values, and pairs of indices. Fingerprints that share a key are compared, so no link is missed and none is wrong.
 
 No key's fingerprints are paired with each other at large. Each is first compared with two pivots of its key, components are
-formed, and then only fingerprints outside the most common component of a key are compared with the others of the key: any
-two linked fingerprints are by then in one component, or are compared.
+formed, and then only the components of a key are compared, by the bits that their fingerprints have in common, and where those
+are near, their fingerprints: any two linked fingerprints are by then in one component, or are compared.
 
 Defined results: a null text counts as empty; texts without words have fingerprint zero and link like any other; repeated
 rows and equal texts share a fingerprint and so a component; a null doc_id is never a component's name unless all are null;
@@ -154,26 +154,14 @@ def _near(a: str, b: str) -> Column:
 def fingerprint_classes(distinct: DataFrame) -> DataFrame:
     """``fp, root`` for each of the distinct fingerprints: the smallest fingerprint that links reach."""
     keys = written(key_table(distinct), "golay-keys")
-    pivots = keys.groupBy("key").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).filter("low < high")
-    met = keys.select("key", "fp").join(pivots, "key")
-    met = met.select("fp", F.explode(F.array("low", "high")).alias("pivot")).filter(F.col("fp") != F.col("pivot"))
-    stars = written(components(met.filter(_near("fp", "pivot")).distinct()), "stars")
+    pivots = keys.groupBy(F.col("key").alias("met")).agg(F.min("fp").alias("low"), F.max("fp").alias("high")).filter("low < high")
+    ends = [(F.col("fp") != F.col(pivot)) & _near("fp", pivot) for pivot in ("low", "high")]
+    near = keys.select("key", "fp").join(pivots, (F.col("key") == F.col("met")) & (ends[0] | ends[1]))
+    near = near.select("fp", F.explode(F.array("low", "high")).alias("pivot")).filter(_near("fp", "pivot"))
+    stars = written(components(near.filter(F.col("fp") != F.col("pivot")).distinct()), "stars")
     labelled = keys.join(stars, F.col("fp") == F.col("node"), "left")
     labelled = written(labelled.select("key", "side", "fp", F.coalesce("root", "fp").alias("label")), "golay-labels")
-    counted = labelled.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
-    common = counted.groupBy("key").agg(
-        F.max_by("label", F.struct("n", "label")).alias("common"), F.count(F.lit(1)).alias("labels")
-    )
-    mixed = written(labelled.join(common.filter("labels > 1"), "key"), "golay-mixed")
-    few = mixed.filter("label != common").select(
-        "key", F.col("side").alias("side_a"), F.col("fp").alias("fp_a"), F.col("label").alias("label_a")
-    )
-    apart = (
-        (F.col("label") != F.col("label_a"))
-        & ((F.col("side_a") == 2) | (F.col("side_a") != F.col("side")))
-        & _near("fp", "fp_a")
-    )
-    across = few.join(mixed.alias("m"), (F.col("m.key") == few["key"]) & apart).select("label_a", "label").distinct()
+    across = _links_across(labelled)
     joined = written(components(across), "joined-stars")
     rooted = distinct.select("fp").join(stars, F.col("fp") == F.col("node"), "left")
     rooted = rooted.select("fp", F.coalesce("root", "fp").alias("label"))
@@ -181,6 +169,44 @@ def fingerprint_classes(distinct: DataFrame) -> DataFrame:
     return rooted.select("fp", F.coalesce("root", "label").alias("root"))
 
 
+def _links_across(labelled: DataFrame) -> DataFrame:
+    """``a, b``: labels of which some fingerprints that share a key are linked.
+
+    A label's fingerprints in a key are first reduced to their common bits. Two labels are looked at where those differ in few
+    enough bits, by the fingerprints of the smaller one against those of the other.
+    """
+    groups = labelled.groupBy("key", "label").agg(
+        F.bit_and("fp").alias("all"),
+        F.bit_or("fp").alias("any"),
+        F.bit_or(F.when(F.col("side") == 2, 4).otherwise(F.col("side") + 1)).alias("sides"),
+        F.count(F.lit(1)).alias("n"),
+    )
+    groups = written(groups, "golay-groups")
+    other = groups.select(*[F.col(c).alias(f"{c}_b") for c in groups.columns])
+    apart = F.bit_count(F.col("all").bitwiseAND(F.bitwise_not("any_b"))) + F.bit_count(F.col("all_b").bitwiseAND(F.bitwise_not("any")))
+    # side 0 meets side 1, and side 2 itself: of the bits 1, 2 and 4, one of the first two on either side, or 4
+    meet = F.col("sides").bitwiseOR(F.col("sides_b")).bitwiseAND(F.lit(3)) == 3
+    meet = meet | (F.col("sides").bitwiseAND(F.lit(4)) == 4)
+    pairs = groups.join(
+        other, (F.col("key") == F.col("key_b")) & (F.col("label") < F.col("label_b")) & meet & (apart <= MOST_BITS)
+    )
+    smaller = F.col("n") <= F.col("n_b")
+    pairs = written(
+        pairs.select(
+            F.col("key").alias("met"),
+            F.when(smaller, F.col("label")).otherwise(F.col("label_b")).alias("small"),
+            F.when(smaller, F.col("label_b")).otherwise(F.col("label")).alias("large"),
+        ),
+        "golay-pairs",
+    )
+    few = labelled.join(pairs, (F.col("key") == F.col("met")) & (F.col("label") == F.col("small")))
+    few = few.select("met", F.col("fp").alias("fp_small"), "small", "large")
+    linked = few.join(
+        labelled, (F.col("key") == F.col("met")) & (F.col("label") == F.col("large")) & _near("fp", "fp_small")
+    )
+    return linked.select(F.col("small").alias("a"), F.col("large").alias("b")).distinct()
+
+
 def near_components(docs: DataFrame) -> DataFrame:
     """``doc_id, fp, component_id`` of each document: the smallest doc_id that links reach."""
     marked = written(fingerprints(docs), "fingerprints")
