@@ -12,7 +12,7 @@ appends nothing; columns other than doc_id and text are ignored.
 
 from __future__ import annotations
 
-import re
+import hashlib
 import uuid
 from dataclasses import dataclass
 
@@ -40,14 +40,18 @@ class DigestIndex:
 
     @property
     def table(self) -> str:
-        return "digest_index_" + re.sub(r"\W", "_", f"{self.path}_{self.buckets}")[-120:]
+        return "digest_index_" + hashlib.sha256(self.location.encode()).hexdigest()[:32]
+
+    @property
+    def location(self) -> str:
+        return f"{self.path}/{self.buckets}-buckets"
 
     def read(self) -> DataFrame:
         """Columns digest, keep_id, batch; registered with its buckets, so that joins on the digest don't shuffle it."""
+        quoted = self.location.replace("\\", "\\\\").replace("'", "\\'")
         self.spark.sql(
             f"CREATE TABLE IF NOT EXISTS {self.table} (digest BINARY, keep_id BIGINT, batch STRING) USING parquet "
-            f"CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS "
-            f"LOCATION '{self.path}/{self.buckets}-buckets'"
+            f"CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS LOCATION '{quoted}'"
         )
         return self.spark.table(self.table)
 
@@ -58,7 +62,7 @@ class DigestIndex:
             .mode("append")
             .bucketBy(self.buckets, "digest")
             .sortBy("digest")
-            .option("path", f"{self.path}/{self.buckets}-buckets")
+            .option("path", self.location)
             .saveAsTable(self.table)
         )
         self.spark.catalog.refreshTable(self.table)

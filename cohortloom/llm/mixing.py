@@ -70,7 +70,7 @@ def poisson_mix(docs: DataFrame, weights: DataFrame | None = None, total: float
     counted rows are few; beyond that Spark joins, and splits hot sources, by itself.
     """
     sizes = written(source_sizes(docs), "source-sizes")
-    steps = written(poisson_steps(repetition_rates(sizes, weights or tempered_weights(sizes), total)), "poisson")
+    steps = written(poisson_steps(repetition_rates(sizes, tempered_weights(sizes) if weights is None else weights, total)), "poisson")
     steps = broadcast_rows(steps.withColumnRenamed("source", "_source"), steps.count())
     kept = docs.drop(*ADDED)
     level = _hashed(F.lit(seed), F.col("doc_id"), digits=13) / F.lit(float(1 << 52))

@@ -24,6 +24,7 @@ def test_awkward_rows(spark, awkward, tmp_path):
 
 
 def test_later_batches_meet_the_index(spark, tmp_path):
+    tmp_path = tmp_path / "it's here"
     first = spark.createDataFrame([(1, "a"), (2, "b"), (3, "a")], "doc_id bigint, text string")
     second = spark.createDataFrame([(0, "a"), (9, "a"), (10, "c"), (11, "c")], "doc_id bigint, text string")
     known = index(spark, tmp_path)
