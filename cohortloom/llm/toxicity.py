@@ -2,7 +2,7 @@
 
 A word is the bag of its character n-grams (with word boundaries) and itself, hashed to buckets; the vectors of the bag are
 averaged, vectors are averaged over a window of words, and a linear softmax scores the window. Vectors and softmax are trained
-jointly in numpy on a bounded sample of labelled documents, first with every window labelled like its document, then with the
+jointly in numpy, in one task, on a bounded sample of labelled documents, first with every window labelled like its document, then with the
 window of the highest score standing for it. A document's score is that of its highest window, so long texts don't dilute a
 passage, and an unseen misspelling shares the vectors of its n-grams.
 
@@ -26,12 +26,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortloom.llm.common import SLICE_ROWS, text_or_empty
+from cohortloom.llm.common import SLICE_ROWS, slices, text_or_empty
 
 #: Buckets (as a power of two), vector length, n-gram lengths, words of a window.
 BITS, WIDTH, GRAMS, WINDOW = 18, 8, (3, 4, 5, 6), 5
-#: The sample: documents with labels, in an order by hash, and their words, at most.
-TRAIN_DOCS, TRAIN_WORDS = 4_000, 3_000_000
+#: The sample: toxic and other documents with labels, in an order by hash, and words, at most.
+TOXIC_DOCS, OTHER_DOCS, TRAIN_WORDS = 2_000, 6_000, 6_000_000
 #: Passes over the sample with window labels and with document labels; step size.
 WINDOW_STEPS, DOCUMENT_STEPS, STEP = 25, 60, 0.08
 #: Words that a worker remembers before it starts afresh.
@@ -133,17 +133,17 @@ class ToxicityModel:
     intercept: float
 
     @classmethod
-    def fit(cls, sample: Iterable[tuple[list[str], int]], seed: int = 11) -> ToxicityModel:
-        """Vectors and softmax weights trained together on (words, label) pairs, which are read one by one."""
+    def fit(cls, sample: Iterable[tuple[list[str], int, float]], seed: int = 11) -> ToxicityModel:
+        """Vectors and softmax weights trained together on (words, label, weight), which are read one by one."""
         vocabulary: dict[str, int] = {}
-        docs, known, labels = [], [], []
-        for words, label in sample:
-            labels.append(label)
+        docs, known, totals = [], [], [0.0, 0.0]
+        for words, label, weight in sample:
+            totals[label] += weight
             if words:
                 docs.append(np.array([vocabulary.setdefault(w, len(vocabulary)) for w in words], np.int32))
-                known.append(label)
-        share = float(np.mean(labels)) if labels else 0.0
-        target = np.array(known, np.float64)
+                known.append((label, weight))
+        share = totals[1] / sum(totals) if sum(totals) else 0.0
+        target, counts = np.array(known, np.float64).reshape(-1, 2).T
         if not 0 < target.sum() < len(target):
             return cls(np.zeros(1 << BITS, np.float32), float(np.log(max(share, 1e-6) / max(1 - share, 1e-6))))
         bags = Bags.of(list(vocabulary))
@@ -170,7 +170,7 @@ class ToxicityModel:
                 chosen, importance = np.arange(len(at)), (even / n_windows)[owner]
             else:
                 chosen = _highest(scores, first)
-                importance = np.full(len(docs), 1 / len(docs))
+                importance = counts / counts.sum()
             doc = owner[chosen]
             chance = 1 / (1 + np.exp(-(scores[chosen] + bias[1] - bias[0])))
             error = (chance - target[doc]) * importance
@@ -225,27 +225,48 @@ def held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
 
 
-def training_sample(docs: DataFrame, labels: DataFrame) -> Iterator[tuple[list[str], int]]:
-    """Words and label of at most ``TRAIN_DOCS`` labelled documents outside the held-out part, one by one."""
-    labelled = labels.filter(F.col("toxic").isNotNull() & ~held_out())
-    chosen = (
-        labelled.groupBy("doc_id")
-        .agg(F.max("toxic").alias("toxic"))
+def training_sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Text, label and weight of at most ``TOXIC_DOCS`` toxic and ``OTHER_DOCS`` other documents outside the held-out part.
+
+    The rare class is taken at a higher rate; a weight is the number of labelled documents that one of the sample stands for.
+    """
+    labelled = labels.filter(F.col("toxic").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    totals = {bool(r["toxic"]): r["n"] for r in labelled.groupBy((F.col("toxic") > 0).alias("toxic")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    chosen = [
+        labelled.filter((F.col("toxic") > 0) == toxic)
         .orderBy(F.xxhash64("doc_id"), "doc_id")
-        .limit(TRAIN_DOCS)
-    )
-    rows = docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(chosen), "doc_id")
+        .limit(most)
+        .select("doc_id", F.lit(int(toxic)).alias("toxic"), F.lit(max(1.0, totals.get(toxic, 0) / most)).alias("weight"))
+        for toxic, most in ((True, TOXIC_DOCS), (False, OTHER_DOCS))
+    ]
+    rows = docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(chosen[0].unionByName(chosen[1])), "doc_id")
+    rows = rows.repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id", "text")
+    return rows.select("text", "toxic", "weight")
+
+
+def _words_and_labels(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[str], int, float]]:
     n = 0
-    for row in rows.select("text", "toxic").toLocalIterator():
-        words = words_of(row["text"])
-        yield words, int(row["toxic"])
-        n += len(words)
-        if n > TRAIN_WORDS:
-            return
+    for piece in slices(batches):
+        for text, label, weight in zip(*(piece.column(c).to_pylist() for c in ("text", "toxic", "weight"))):
+            words = words_of(text)
+            yield words, label, weight
+            n += len(words)
+            if n > TRAIN_WORDS:
+                return
+
+
+def _fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    model = ToxicityModel.fit(_words_and_labels(batches))
+    values = [pa.array([model.buckets.tobytes()], pa.binary()), pa.array([model.intercept], pa.float64())]
+    yield pa.RecordBatch.from_arrays(values, ["buckets", "intercept"])
 
 
 def train(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
-    return ToxicityModel.fit(training_sample(docs, labels))
+    """The model of the sample, trained in one task that reads no more than the sample; only the model goes to the driver."""
+    row = training_sample(docs, labels).mapInArrow(_fit, "buckets binary, intercept double").first()
+    if row is None:
+        return ToxicityModel.fit([])
+    return ToxicityModel(np.frombuffer(row["buckets"], np.float32), row["intercept"])
 
 
 def toxicity(docs: DataFrame, model: ToxicityModel, column: str = "text") -> Column:
