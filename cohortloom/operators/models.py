@@ -13,6 +13,7 @@ from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from cohortloom.session import materialize
 
 SEED = 17
 
@@ -39,6 +40,7 @@ def kmeans_cost(model: KMeansModel, df: DataFrame, features: str = "scaledFeatur
     sums = cells.groupBy(cluster, F.col("cell.position").alias("position")).agg(
         F.sum("cell.value").alias("total"), F.sum(F.col("cell.value") * F.col("cell.value")).alias("squares")
     )
+    sums = materialize(sums)  # read four times below, and no more than clusters times width
     crossed = sums.join(centres, [cluster, "position"], "left").select(
         cluster, (F.col("squares") - 2 * F.col("total") * F.coalesce("centre", F.lit(0.0))).alias("part")
     )
