@@ -36,7 +36,7 @@ def key_candidates(host: Column, path: Column, labels: int, segments: int) -> Co
     parts = F.split(host, r"\.")
     shortest = F.greatest(F.size(parts) - labels + 1, F.lit(1))
     domains = F.transform(F.sequence(shortest, F.size(parts)), lambda k: F.concat_ws(".", F.slice(parts, k, F.size(parts))))
-    steps = F.filter(F.slice(F.split(path, "/"), 1, segments + 1), lambda s: s != "")
+    steps = F.slice(F.filter(F.split(path, "/"), lambda s: s != ""), 1, segments)
     starts = F.transform(
         F.filter(F.sequence(F.lit(0), F.size(steps)), lambda k: k > 0),
         lambda k: F.concat(host, F.lit("/"), F.concat_ws("/", F.slice(steps, 1, k))),

@@ -83,3 +83,17 @@ def test_empty(spark):
     assert decide(*none).count() == 0
     assert not any(r["blocked"] for r in decide(frames(spark, CAPTURES, [])[0], none[1]).collect())
     assert decide(none[0], frames(spark, [], HISTORY)[1]).count() == 0
+
+
+def test_empty_parts_take_no_depth(spark):
+    url = spark.createDataFrame([("http://h.org//x///y/z",)], "url string")
+    for depth, starts in ((0, []), (1, ["h.org/x"]), (2, ["h.org/x", "h.org/x/y"])):
+        keys = url.select(key_candidates(host_of(F.col("url")), path_of(F.col("url")), 1, depth).alias("k")).first()["k"]
+        assert keys == ["org", *starts]
+    captures = [(1, "http://h.org//a/b", 9), (2, "http://h.org/a", 9), (3, "http://h.org//b/a", 9)]
+    rows = decide(*frames(spark, captures, [("h.org/a", 5, "block"), ("h.org", 1, "allow")])).collect()
+    assert {r["page_id"]: (r["n_active"], r["decided_by"], r["blocked"]) for r in rows} == {
+        1: (2, "h.org/a", True),
+        2: (2, "h.org/a", True),
+        3: (1, "h.org", False),
+    }
