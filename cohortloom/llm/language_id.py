@@ -1,6 +1,7 @@
 """Language identification by Bayesian evidence fusion.
 
-The text gives a likelihood by hashed byte trigrams, from tables trained on a bounded sample of labelled documents. Soft counts
+The text gives a likelihood by hashed byte trigrams, from tables trained on a bounded sample of the documents of each language.
+Every language that any document is labelled with can be the answer, however rare it is. Soft counts
 of the languages that texts show are summed up by host, domain, address suffix and over all rows (grouped aggregation with
 partial sums), and each level is smoothed towards the one above it: that is the prior of a host, less the row's own part. The
 language that the markup declares is held against how often rows of each language declare it, by soft counts too. The
@@ -13,9 +14,8 @@ labelled document to train on get no language and confidence 0; repeated rows ar
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -24,8 +24,10 @@ from pyspark.sql import functions as F
 
 from cohortloom.llm.common import SLICE_ROWS, slices, text_or_empty, written
 
-#: Buckets of trigrams (a power of two); documents of the training sample, about; most languages.
-BITS, SAMPLE_DOCS, MOST_LANGUAGES = 15, 6_000, 100
+#: Buckets of trigrams (a power of two); documents of the training sample, about, of each language (all, where it has fewer).
+BITS, SAMPLE_DOCS = 15, 6_000
+#: Languages whose trigrams a task counts before it passes the counts on.
+COUNTED = 64
 #: Pseudo-counts: of a trigram, of a level's parent, of the belief that a declaration is right; that belief.
 TRIGRAM, PARENT, DECLARED, RIGHT = 0.5, 8.0, 20.0, 0.9
 #: A trigram's weight: neighbours overlap and depend on each other.
@@ -55,38 +57,62 @@ class LanguageModel:
         return total * WEIGHT
 
 
+def training_sample(docs: DataFrame) -> tuple[list[str], DataFrame]:
+    """All languages of the labelled documents, by name, and ``lang, text`` of about ``SAMPLE_DOCS`` documents of each.
+
+    The languages come from a grouped count. A language's documents are taken up to a bound of their hash that follows from its
+    count, and never under its least hash, so none is without a document.
+    """
+    labelled = docs.filter("lang IS NOT NULL").withColumn("_hash", F.xxhash64("doc_id"))
+    sizes = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.min("_hash").alias("least")).collect()
+    bounds = [(r["lang"], max(r["least"], min((SAMPLE_DOCS << 64) // r["n"], 1 << 64) - (1 << 63) - 1)) for r in sizes]
+    upto = F.broadcast(docs.sparkSession.createDataFrame(bounds, "lang string, _bound bigint"))
+    sample = labelled.join(upto, "lang").filter("_hash <= _bound")
+    return sorted(r["lang"] for r in sizes), sample.select("lang", text_or_empty().alias("text"))
+
+
 def train(docs: DataFrame) -> LanguageModel:
-    """Tables from a hash sample of about ``SAMPLE_DOCS`` documents with a language.
+    """Tables from the training sample.
 
-    Trigrams are counted in each task and summed up by language and bucket; that table is bounded by both.
+    Trigrams are counted in each task and summed up by language and bucket; a language's sums, at most one for each bucket, are
+    made into its column, and the driver gets one column after the other.
     """
-    labelled = docs.filter("lang IS NOT NULL")
-    step = max(1, labelled.count() // SAMPLE_DOCS)
-    sample = labelled.filter(F.pmod(F.xxhash64("doc_id"), F.lit(step)) == 0)
-    largest = sample.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES)
-    languages = sorted(r["lang"] for r in largest.collect())
+    languages, sample = training_sample(docs)
     if not languages:
         return LanguageModel([], np.zeros((1 << BITS, 0), np.float32))
 
+    def passed_on(counts: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        for lang, own in counts.items():
+            used = np.flatnonzero(own)
+            columns = [pa.array([lang] * len(used), pa.string()), pa.array(used, pa.int32()), pa.array(own[used], pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["lang", "bucket", "n"])
+        counts.clear()
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, np.ndarray] = {}
         for piece in slices(batches):
             for lang, text in zip(piece.column("lang").to_pylist(), piece.column("text").to_pylist()):
+                if lang not in counts and len(counts) >= COUNTED:
+                    yield from passed_on(counts)
                 own = counts.setdefault(lang, np.zeros(1 << BITS, np.int64))
                 if text:
                     own += np.bincount(trigrams(text), minlength=1 << BITS)
-        for lang, own in counts.items():
-            used = np.flatnonzero(own)
-            columns = [pa.array([lang] * len(used), pa.string()), pa.array(used, pa.int32()), pa.array(own[used], pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, ["lang", "bucket", "n"])
+        yield from passed_on(counts)
+
+    def column(sums: pa.Table) -> pa.Table:
+        own = np.full(1 << BITS, TRIGRAM)
+        own[sums["bucket"].to_numpy()] += sums["n"].to_numpy()
+        logs = np.log(own / own.sum()).astype(np.float32)
+        return pa.table([sums["lang"].slice(0, 1), pa.array([logs.tobytes()], pa.binary())], ["lang", "logs"])
 
-    texts = sample.filter(F.col("lang").isin(languages)).select("lang", text_or_empty().alias("text"))
-    counted = texts.mapInArrow(count, "lang string, bucket int, n bigint")
-    rows = counted.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
-    table = np.full((1 << BITS, len(languages)), TRIGRAM)
-    column = np.searchsorted(languages, np.array(rows["lang"].to_pylist(), object)) if rows.num_rows else np.zeros(0, int)
-    np.add.at(table, (rows["bucket"].to_numpy(), column), rows["n"].to_numpy())
-    return LanguageModel(languages, np.log(table / table.sum(axis=0)).astype(np.float32))
+    counted = sample.mapInArrow(count, "lang string, bucket int, n bigint")
+    summed = counted.groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    columns = summed.groupBy("lang").applyInArrow(column, "lang string, logs binary")
+    table = np.full((1 << BITS, len(languages)), -np.log(1 << BITS), np.float32)
+    place = {lang: k for k, lang in enumerate(languages)}
+    for row in columns.toLocalIterator():
+        table[:, place[row["lang"]]] = np.frombuffer(row["logs"], np.float32)
+    return LanguageModel(languages, table)
 
 
 def likelihoods(rows: DataFrame, model: LanguageModel, column: str = "text") -> Column:
@@ -104,12 +130,15 @@ def likelihoods(rows: DataFrame, model: LanguageModel, column: str = "text") ->
     return score(text_or_empty(column))
 
 
+def _with(values: Column, one: Column, f: Callable[[Column, Column], Column]) -> Column:
+    """Each value with the one number, which is computed once; inside a lambda it would be for each value again."""
+    return F.zip_with(values, F.array_repeat(one, F.size(values)), f)
+
+
 def _shares(logs: Column) -> Column:
     """Probabilities in proportion to the exponentials."""
-    top = F.array_max(logs)
-    weights = F.transform(logs, lambda x: F.exp(x - top))
-    total = F.aggregate(weights, F.lit(0.0), lambda a, x: a + x)
-    return F.transform(weights, lambda x: x / total)
+    weights = _with(logs, F.array_max(logs), lambda x, top: F.exp(x - top))
+    return _with(weights, F.aggregate(weights, F.lit(0.0), lambda a, x: a + x), lambda x, total: x / total)
 
 
 def _sums(rows: DataFrame, keys: list[str], name: str, n: int) -> DataFrame:
@@ -122,7 +151,7 @@ def _smoothed(own: Column, less: Column, parent: Column) -> Column:
     """Shares of a level's counts without the row's own part, smoothed towards its parent's."""
     rest = F.zip_with(own, less, lambda a, b: F.greatest(a - b, F.lit(0.0)))
     total = F.aggregate(rest, F.lit(0.0), lambda a, x: a + x) + PARENT
-    return F.zip_with(rest, parent, lambda a, p: (a + PARENT * p) / total)
+    return _with(F.zip_with(rest, parent, lambda a, p: a + PARENT * p), total, lambda x, t: x / t)
 
 
 def identify(rows: DataFrame, model: LanguageModel) -> DataFrame:
@@ -146,7 +175,8 @@ def identify(rows: DataFrame, model: LanguageModel) -> DataFrame:
     world = by_host.agg(*[F.coalesce(F.sum(F.col("shown")[k]), F.lit(0.0)).alias(f"_{k}") for k in range(n)]).first()
     everywhere = F.array(*[F.lit(float(x + 1)) for x in world])
     declared = scored.filter("declared IS NOT NULL")
-    said = _sums(declared, ["declared"], "of_declared", n).filter(F.col("declared").isin(model.languages)).collect()
+    known = F.broadcast(rows.sparkSession.createDataFrame([(x,) for x in model.languages], "declared string"))
+    said = _sums(declared.join(known, "declared", "left_semi"), ["declared"], "of_declared", n).collect()
 
     fused = scored.join(hosts, list(LEVELS))
     prior = _smoothed(everywhere, F.col("shown"), F.array(*[F.lit(1 / n)] * n))
@@ -155,7 +185,9 @@ def identify(rows: DataFrame, model: LanguageModel) -> DataFrame:
     fused = fused.withColumn("prior", prior)
     evidence = F.zip_with("logs", "prior", lambda a, p: a + F.log(p))
     told = _told(model.languages, {r["declared"]: r["of_declared"] for r in said}, world)
-    evidence = F.when(told.isNotNull(), F.zip_with(evidence, told, lambda a, b: a + b)).otherwise(evidence)
+    told = rows.sparkSession.createDataFrame(told, "declared string, told array<double>")
+    fused = fused.join(F.broadcast(told), "declared", "left")
+    evidence = F.when(F.col("told").isNotNull(), F.zip_with(evidence, F.col("told"), lambda a, b: a + b)).otherwise(evidence)
     fused = fused.withColumn("posterior", _shares(evidence))
     names = F.array(*[F.lit(x) for x in model.languages])
 
@@ -167,16 +199,16 @@ def identify(rows: DataFrame, model: LanguageModel) -> DataFrame:
     )
 
 
-def _told(languages: list[str], counts: dict[str, list[float]], world: tuple) -> Column:
-    """The log-likelihood of the row's declaration in each language; null without one, or with one of no known language."""
-    n = len(languages)
-    choices = []
+def _told(languages: list[str], counts: dict[str, list[float]], world: tuple) -> list[tuple[str, list[float]]]:
+    """For each language that any row declares, the log-likelihood of that declaration in each language."""
+    n, total = len(languages), np.array(world) + DECLARED
+    told = []
     for k, name in enumerate(languages):
-        found = counts.get(name, [0.0] * n)
-        belief = [RIGHT if j == k else (1 - RIGHT) / max(n - 1, 1) for j in range(n)]
-        logs = [float(np.log((found[j] + DECLARED * belief[j]) / (world[j] + DECLARED))) for j in range(n)]
-        choices.append(F.when(F.col("declared") == name, F.array(*[F.lit(x) for x in logs])))
-    return reduce(lambda a, b: F.coalesce(a, b), choices)
+        if name in counts:
+            belief = np.full(n, (1 - RIGHT) / max(n - 1, 1))
+            belief[k] = RIGHT
+            told.append((name, np.log((np.array(counts[name]) + DECLARED * belief) / total).tolist()))
+    return told
 
 
 def page_rows(pages: DataFrame) -> DataFrame:

@@ -2,7 +2,8 @@ import random
 
 import numpy as np
 
-from cohortloom.llm.language_id import document_rows, identify, page_rows, train, trigrams
+from cohortloom.llm import language_id
+from cohortloom.llm.language_id import document_rows, identify, page_rows, train, training_sample, trigrams
 
 SYLLABLES = {"aa": ["ka", "ro", "ti", "mu"], "bb": ["sch", "pf", "ung", "äh"], "cc": ["eau", "ois", "çon", "ré"]}
 
@@ -76,3 +77,26 @@ def test_awkward_rows(spark, awkward, nothing):
     assert identify(document_rows(nothing), model).count() == 0
     untrained = identify(document_rows(awkward), train(nothing)).collect()
     assert len(untrained) == 9 and all(r["lang"] is None and r["confidence"] == 0 for r in untrained)
+
+
+def test_rare_languages_are_answers(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "SAMPLE_DOCS", 40)
+    rare = [(5000, "xoqu xiqua quoxa qixo " * 9, "dd", "rare"), (None, "bywy wyby ybyw wybwy " * 9, "ee", "rarer")]
+    docs = documents(spark, invented(1500, 1) + rare)
+    languages, sample = training_sample(docs)
+    sizes = {r["lang"]: r["count"] for r in sample.groupBy("lang").count().collect()}
+    assert languages == ["aa", "bb", "cc", "dd", "ee"] and sizes["dd"] == sizes["ee"] == 1
+    assert all(10 < sizes[x] < 90 for x in SYLLABLES)
+    model = train(docs)
+    assert np.allclose(np.exp(model.table.astype(float)).sum(axis=0), 1, atol=1e-3)
+    pages = [(1, "http://a.org/", "<html lang=dd>xiqua quoxa qixo xoqu xiqua"), (2, "http://b.org/", "<html lang=ee>"), (3, None, "wyby bywy ybyw wybwy")]
+    found = identify(page_rows(spark.createDataFrame(pages, "page_id bigint, url string, html string")), model)
+    assert {r["page_id"]: r["lang"] for r in found.collect()} == {1: "dd", 2: "ee", 3: "ee"}
+
+
+def test_more_than_a_hundred_languages(spark):
+    rows = [(k, f"{chr(0x4E00 + k) * 20} {chr(0x4E00 + k) * 20}", f"l{k:03}", f"host-{k}") for k in range(130)]
+    model = train(documents(spark, rows))
+    assert model.languages == [f"l{k:03}" for k in range(130)]
+    found = identify(document_rows(documents(spark, rows)), model)
+    assert {r["doc_id"]: r["lang"] for r in found.collect()} == {k: lang for k, _, lang, _ in rows}
