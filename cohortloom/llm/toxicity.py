@@ -30,7 +30,8 @@ from cohortloom.llm.common import SLICE_ROWS, slices, text_or_empty
 
 #: Buckets (as a power of two), vector length, n-gram lengths, words of a window.
 BITS, WIDTH, GRAMS, WINDOW = 18, 8, (3, 4, 5, 6), 5
-#: The sample: toxic and other documents with labels, in an order by hash, and words, at most.
+#: The sample: toxic and other documents with labels, in an order by hash, and words, at most. Where the documents have more
+#: words, the longest give a run of their words each, of the same length and at a place by hash, and the others all.
 TOXIC_DOCS, OTHER_DOCS, TRAIN_WORDS = 2_000, 6_000, 6_000_000
 #: Passes over the sample with window labels and with document labels; step size.
 WINDOW_STEPS, DOCUMENT_STEPS, STEP = 25, 60, 0.08
@@ -244,15 +245,50 @@ def training_sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return rows.select("text", "toxic", "weight")
 
 
+def _level(sizes: list[int], most: int) -> int:
+    """The largest number of words of a document by which all together have at most ``most`` (1 at least)."""
+    ordered = np.sort(np.array(sizes, np.int64))
+    before = np.concatenate([[0], np.cumsum(ordered)])
+    if before[-1] <= most:
+        return int(ordered[-1]) if len(ordered) else 1
+    left = np.arange(len(ordered), 0, -1)
+    k = int(np.argmax(before[:-1] + ordered * left > most))  # the first document that is cut
+    return max(1, int((most - before[k]) // left[k]))
+
+
+class _Run:
+    """A run of a document's words at a place by the text's hash; a shorter run is a part of every longer one."""
+
+    def __init__(self, text: str, label: int, weight: float) -> None:
+        self.words, self.label, self.weight = words_of(text), label, weight
+        self.size, self.start, self.place = len(self.words), 0, zlib.crc32(text.encode())
+
+    def cut(self, most: int) -> None:
+        if len(self.words) > most:
+            start = self.place * (self.size - most) >> 32
+            self.words = self.words[start - self.start : start - self.start + most]
+            self.start = start
+
+
 def _words_and_labels(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[str], int, float]]:
-    n = 0
+    """Every document of the sample, with all of its words or its share of ``TRAIN_WORDS``."""
+    runs, held, most, same = [], 0, None, {}
     for piece in slices(batches):
         for text, label, weight in zip(*(piece.column(c).to_pylist() for c in ("text", "toxic", "weight"))):
-            words = words_of(text)
-            yield words, label, weight
-            n += len(words)
-            if n > TRAIN_WORDS:
-                return
+            run = _Run(text, label, weight)
+            run.cut(most or TRAIN_WORDS)
+            run.words = [same.setdefault(w, w) for w in run.words]
+            runs.append(run)
+            held += len(run.words)
+            if held > TRAIN_WORDS + TRAIN_WORDS // 4:
+                most = _level([r.size for r in runs], TRAIN_WORDS)
+                for r in runs:
+                    r.cut(most)
+                held = sum(len(r.words) for r in runs)
+    most = _level([r.size for r in runs], TRAIN_WORDS)
+    for run in runs:
+        run.cut(most)
+        yield run.words, run.label, run.weight
 
 
 def _fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

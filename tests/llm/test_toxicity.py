@@ -2,6 +2,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from cohortloom.llm import toxicity
@@ -88,3 +89,21 @@ def test_held_out_labels_are_not_read(spark):
     turned = labels.withColumn("toxic", F.when(held_out(), 1 - F.col("toxic")).otherwise(F.col("toxic")))
     first, second = (sorted(map(tuple, score_toxicity(docs, x).select("doc_id", "predicted").collect())) for x in (labels, turned))
     assert first == second
+
+
+def test_a_long_document_leaves_words_to_the_others(monkeypatch):
+    monkeypatch.setattr(toxicity, "TRAIN_WORDS", 3000)
+    rows = [(-1, " ".join(f"long{k}" for k in range(50_000)), 0)] + invented(60, 1)
+    for order in (rows, rows[::-1]):
+        columns = [pa.array([r[1] for r in order]), pa.array([r[2] for r in order]), pa.array([1.0] * len(order))]
+        batch = pa.RecordBatch.from_arrays(columns, ["text", "toxic", "weight"])
+        kept = list(toxicity._words_and_labels(iter([batch])))
+        assert [label for _, label, _ in kept] == [r[2] for r in order] and {label for _, label, _ in kept} == {0, 1}
+        sizes, most = [len(words) for words, _, _ in kept], max(len(words) for words, _, _ in kept)
+        assert sum(sizes) <= 3000 < sum(min(len(words_of(r[1])), most + 1) for r in order)
+        assert sizes == [min(len(words_of(r[1])), most) for r in order]
+        assert all(" ".join(words) in r[1] for (words, _, _), r in zip(kept, order))
+        found = {r[0]: words for (words, _, _), r in zip(kept, order)}
+        assert order is rows or found == first
+        first = found
+    assert toxicity._level([], 5) == 1 and toxicity._level([3, 9], 12) == 9 and toxicity._level([9, 3, 9], 12) == 4
