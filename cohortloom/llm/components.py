@@ -10,12 +10,12 @@ from cohortloom.llm.common import written
 
 def _large_star(links: DataFrame) -> DataFrame:
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+    least = written(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")), "least")
     return both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
 
 
 def _small_star(links: DataFrame) -> DataFrame:
-    least = links.groupBy("a").agg(F.min("b").alias("m"))
+    least = written(links.groupBy("a").agg(F.min("b").alias("m")), "least")
     rest = links.join(least, "a").filter("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return least.select("a", F.col("m").alias("b")).unionByName(rest).distinct()
 
@@ -24,8 +24,9 @@ def components(links: DataFrame) -> DataFrame:
     """``node, root``: each node that isn't the smallest of its component, with that smallest one.
 
     ``links`` has two columns of whole numbers; direction, repeats and links to oneself don't matter. Each round is written to
-    the shared folder. A node's links are reduced to their least end before they meet it, and where a node has very many, the
-    join splits them; no component is gathered in one place.
+    the shared folder. A node's links are reduced to their least end, which is written too before they meet it: both sides of
+    the join then have a shuffle of their own, and where a node has very many links, the join splits them; no component is
+    gathered in one place.
     """
     a, b = (F.col(c) for c in links.columns[:2])
     links = links.filter(a != b).select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).distinct()
@@ -35,4 +36,4 @@ def components(links: DataFrame) -> DataFrame:
         if tuple(seen) == state or not seen[0]:
             return links.select(F.col("a").alias("node"), F.col("b").alias("root"))
         state = tuple(seen)
-        links = written(_small_star(_large_star(links)), "links")
+        links = written(_small_star(written(_large_star(links), "large-star")), "links")

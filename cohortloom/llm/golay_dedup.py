@@ -155,6 +155,7 @@ def fingerprint_classes(distinct: DataFrame) -> DataFrame:
     """``fp, root`` for each of the distinct fingerprints: the smallest fingerprint that links reach."""
     keys = written(key_table(distinct), "golay-keys")
     pivots = keys.groupBy(F.col("key").alias("met")).agg(F.min("fp").alias("low"), F.max("fp").alias("high")).filter("low < high")
+    pivots = written(pivots, "golay-pivots")  # for a shuffle on both sides of the join, which can then split a hot key
     ends = [(F.col("fp") != F.col(pivot)) & _near("fp", pivot) for pivot in ("low", "high")]
     near = keys.select("key", "fp").join(pivots, (F.col("key") == F.col("met")) & (ends[0] | ends[1]))
     near = near.select("fp", F.explode(F.array("low", "high")).alias("pivot")).filter(_near("fp", "pivot"))

@@ -4,8 +4,10 @@ from collections import defaultdict
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
-from cohortloom.llm.components import components
+from cohortloom.llm.common import written
+from cohortloom.llm.components import _large_star, components
 from cohortloom.llm.golay_dedup import (
     codeword_indices,
     drop_near_copies,
@@ -123,3 +125,25 @@ def test_awkward_rows(spark, awkward, nothing):
     assert named[1] == named[2] == {1} and named[3] == named[4] == named[5] == {3} and len(found) == 9
     assert drop_near_copies(awkward).columns == awkward.columns
     assert near_components(nothing).count() == 0 and drop_near_copies(nothing).count() == 0
+
+
+def test_a_hot_node_is_split(spark):
+    hot = spark.range(1, 200_001).select(F.col("id").alias("a"), F.lit(0).cast("bigint").alias("b"))
+    conf = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "64k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+    }
+    before = {k: spark.conf.get(k, None) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        star = _large_star(written(hot, "links"))
+        assert len(star.toArrow()) == 200_000
+        assert "skew=true" in star._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
