@@ -16,6 +16,7 @@ from cohortloom.llm import (
     mixing,
     piece_codec,
     piecewise_hash,
+    quality_rules,
     token_counts,
     toxicity,
     url_lists,
@@ -220,3 +221,12 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every whole text."""
     return token_counts.count_tokens(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@register
+def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole text judged by the base rules and by its divergence from its language."""
+    return quality_rules.judge(documents(spark, sf_dir))
+
+
+ORACLE["op11_quality_rules"] = quality_rules.judge_sql()
