@@ -16,7 +16,9 @@ from cohortloom.llm import (
     mixing,
     piece_codec,
     piecewise_hash,
+    prefix_trie,
     quality_rules,
+    target_resampling,
     token_counts,
     toxicity,
     url_lists,
@@ -230,3 +232,22 @@ def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE["op11_quality_rules"] = quality_rules.judge_sql()
+
+
+@register
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The trie of all rebuilt conversations."""
+    return prefix_trie.prefix_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+ORACLE["op12_prefix_trie"] = prefix_trie.prefix_trie_sql()
+
+
+@register
+def op13_target_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents weighed towards the benchmark's words, and the ranks of those drawn."""
+    drawn = target_resampling.resample(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+ORACLE["op13_target_resampling"] = target_resampling.resample_sql()

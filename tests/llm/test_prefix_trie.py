@@ -1,0 +1,93 @@
+import hashlib
+import random
+import re
+from collections import defaultdict
+from zlib import crc32
+
+from cohortloom.llm.prefix_trie import prefix_trie
+
+SCHEMA = "conv_id bigint, turn bigint, role string, text string, name string, depth int, len int"
+
+
+def key(role, text):
+    return hashlib.sha256(bytes([0]) + f"{len(role)}:{role}{text}".encode()).digest()[:16]
+
+
+def brute(rows):
+    """Each sequence read turn by turn, each node added to all its ancestors."""
+    own = defaultdict(list)
+    for conv, turn, role, text in rows:
+        if conv is not None:
+            own[conv].append((turn is not None, turn or 0, key(role or "", text or ""), role or "", text or ""))
+    own = {c: [x[3:] for x in sorted(v)] for c, v in own.items()}
+    built = {}
+    for c, v in own.items():
+        h = crc32(str(c).encode()) % 4
+        built[c] = tuple(own.get(c - (c % 20 if c >= 0 else -(-c % 20)), [])[:h] + v[h:])
+    members = defaultdict(list)
+    for c, v in built.items():
+        for d in range(len(v) + 1):
+            members[v[:d]].append(c)
+    children, leaves, saved = defaultdict(int), defaultdict(int), defaultdict(int)
+    for p in members:
+        if p:
+            children[p[:-1]] += 1
+    for p, m in members.items():
+        words = len(re.findall(r"[^\x20\x09-\x0D]+", p[-1][1])) if p else 0
+        for d in range(len(p) + 1):
+            leaves[p[:d]] += not children[p]
+            saved[p[:d]] += (len(m) - 1) * words
+    found = []
+    for p, m in members.items():
+        ends = ",".join(map(str, sorted(c for c in m if built[c] == p)))
+        parent = min(members[p[:-1]]) if p else None
+        found.append((min(m), len(p), parent, len(m), children[p], leaves[p], saved[p], hashlib.sha256(ends.encode()).hexdigest()))
+    return sorted(found, key=str)
+
+
+def check(spark, rows):
+    frame = spark.createDataFrame([(*r, "x", 1, 2) for r in rows], SCHEMA).repartition(3)
+    found = sorted(map(tuple, prefix_trie(frame).collect()), key=str)
+    assert found == brute(rows)
+    return found
+
+
+def test_random_conversations(spark):
+    draw = random.Random(2)
+    rows = []
+    for conv in draw.sample(range(-60, 200), 150):
+        for turn in range(draw.choice([1, 1, 2, 3, 4, 5, 9])):
+            rows.append((conv, turn, draw.choice(["user", "assistant", None]), draw.choice(["a b", "a  b", "c", "", None, "x y z"])))
+    check(spark, rows)
+
+
+def test_long_conversations_that_share_a_start(spark):
+    """Lengths around powers of two, and forks at and beside the cuts."""
+    rows = []
+    for conv, (length, fork) in enumerate([(1, 0), (2, 1), (3, 2), (4, 3), (7, 4), (8, 7), (9, 8), (16, 15), (17, 16), (33, 31), (40, 40)]):
+        for turn in range(length):
+            rows.append((20 * conv, turn, "user", f"turn {turn}" + (f" of {conv}" if turn >= fork else "")))
+    check(spark, rows)
+
+
+def test_conversations_without_turns(spark):
+    """One whose turns are all replaced by those of a family head that is absent is a member of the root only."""
+    short = [c for c in range(21, 40) if crc32(str(c).encode()) % 4 == 3][0]
+    found = check(spark, [(short, 0, "user", "one two"), (short, None, "user", "three")])
+    assert [f[:6] for f in found] == [(short, 0, None, 1, 0, 1)]
+
+
+def test_awkward_rows(spark):
+    long = "word " * 100_000
+    rows = [
+        (None, 0, "user", "nobody's"), (40, None, None, None), (40, None, "user", "first"), (40, 3, "user", long), (40, 3, "user", long),
+        (41, 1, "user", "É 日本"), (42, 1, "a", "bc"), (43, 1, "ab", "c"), (40, 2**40, "", ""), (-7, 1, "user", "x"), (-7, 1, "user", "x"),
+    ]
+    check(spark, rows)
+    assert prefix_trie(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_many_equal_conversations(spark):
+    """More members of one node than one chunk of ids holds."""
+    rows = [(20 * c, 0, "user", "hello") for c in range(9_000)] + [(7, 0, "user", "hello")]
+    check(spark, rows)

@@ -26,6 +26,8 @@ COLUMNS = {
     "op8_digest_index": "doc_id bigint, keep_id bigint, group_size bigint, kept boolean, text_sha256 string",
     "op9_toxicity": "doc_id bigint, held_out boolean, score double, predicted int",
     "op10_token_counts": "doc_id bigint, n_bytes bigint, n_tokens bigint, over_limit boolean",
+    "op11_quality_rules": "doc_id bigint, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, base_failed boolean, kept boolean",
+    "op13_target_resampling": "doc_id bigint, n_features bigint, weight bigint, score bigint, rank bigint",
 }
 
 
@@ -49,7 +51,7 @@ def test_columns(spark, texts, name):
 
 def test_every_number_has_one_query():
     names = [q for q in driver.queries() if q.startswith("op")]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11)) and "pipeline" in driver.queries()
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14)) and "pipeline" in driver.queries()
 
 
 def test_whole_texts_as_the_libraries_have_them(spark, texts):
