@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortloom.functions import (
@@ -20,6 +20,7 @@ from cohortloom.operators.counts import count_matrix, distinct_values, distinct_
 from cohortloom.operators.features import assembler, code_vectors, positions
 from cohortloom.operators.filters import codes_in_set, flagged_any, title_search
 from cohortloom.operators.joins import attach_matrix, diagnoses_by_title, patient_admissions, whitelist
+from cohortloom.session import materialize
 
 #: Columns that describe an admission and are no model features. The age at death is known of the dead only, so it would give
 #: the label away; the age at admission is the feature.
@@ -125,6 +126,38 @@ def hospital_training_rows(
     return with_age(training_rows(facts, admitted, codes, vocabulary, genders, categories))
 
 
+def _cell_counts(
+    patients: DataFrame,
+    admissions: DataFrame,
+    codes: DataFrame,
+    patient_categories: Sequence[str],
+    admission_categories: Sequence[str],
+    on: str,
+) -> DataFrame:
+    """``on, XCODE, n``: codes of each subject, and categories of its admissions and, as often as it was admitted, of its own.
+
+    Each table is counted by subject first, so what is joined has a row per subject and value. Categories are those of known
+    patients with codes.
+    """
+    plain = codes.select(on, F.col("XCODE").cast("string").alias("XCODE")).groupBy(on, "XCODE").agg(F.count(F.lit(1)).alias("n"))
+    if not (patient_categories or admission_categories):
+        return plain
+
+    def marked(columns: Sequence[str]) -> list[Column]:
+        return [F.concat(F.lit(f"{c}:"), F.col(c).cast("string")) for c in columns]
+
+    # the empty mark stands for the admission itself
+    marks = F.explode(F.array_compact(F.array(F.lit(""), *marked(admission_categories)))).alias("XCODE")
+    visits = admissions.select(on, marks).groupBy(on, "XCODE").agg(F.count(F.lit(1)).alias("n"))
+    with_codes = codes.select(on).distinct()
+    own = F.array_compact(F.array(*marked(patient_categories))) if patient_categories else F.array().cast("array<string>")
+    known = patients.join(with_codes, on, "left_semi").select(on, own.alias("_own"))
+    cells = visits.join(known, on)
+    # an admission's mark stays as it is, the empty one becomes the patient's marks
+    shown = F.when(F.col("XCODE") == "", F.col("_own")).otherwise(F.array("XCODE"))
+    return plain.unionByName(cells.select(on, F.explode(shown).alias("XCODE"), "n"))
+
+
 def training_vectors(
     patients: DataFrame,
     admissions: DataFrame,
@@ -143,17 +176,11 @@ def training_vectors(
     free. ``numbers`` are columns of the patient or the admission that follow the counts; nulls in them become ``fill``, or NaN
     without one. Subjects without codes drop out.
     """
-    known = patients.select(on, *patient_categories)
-    visits = admissions.select(on, *admission_categories).join(known, on)
-    marked = [
-        F.concat(F.lit(f"{c}:"), F.col(c).cast("string")) for c in [*admission_categories, *patient_categories]
-    ]
-    one_hot = visits.select(on, F.explode(F.array_compact(F.array(*marked))).alias("XCODE")) if marked else None
-    plain = codes.select(on, F.col("XCODE").cast("string").alias("XCODE"))
-    cells = plain if one_hot is None else plain.unionByName(one_hot.join(plain.select(on).distinct(), on, "left_semi"))
-    vectors = code_vectors(cells, on, "XCODE", vocabulary if vocabulary is not None else positions(cells, "XCODE"), "counts")
-    rows = attach_matrix(admissions, vectors, on)
-    rows = rows.join(patients.select(on, *[c for c in patients.columns if c not in rows.columns]), on)
+    counted = materialize(_cell_counts(patients, admissions, codes, patient_categories, admission_categories, on))
+    listed = vocabulary if vocabulary is not None else positions(counted, "XCODE")
+    known = patients.select(on, *[c for c in patients.columns if c not in admissions.columns])
+    # all that there is per subject is written together, so that the join with the admissions can split a heavy subject
+    rows = admissions.join(code_vectors(counted, on, "XCODE", listed, "counts", counted="n", beside=known), on)
     if numbers:
         rows = rows if fill is None else rows.na.fill(fill, list(numbers))
         rows = assembler(list(numbers), "_numbers", invalid="keep").transform(rows)
