@@ -24,7 +24,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from cohortloom.llm.common import text_or_empty, written
-from cohortloom.llm.license_join import SEPARATORS
 from cohortloom.session import BROADCAST_BYTES, BROADCAST_ROWS
 
 #: White space between words, and the characters counted as symbols.
@@ -36,8 +35,8 @@ CLASSES = ("[a-z]", r"[\x20\x09-\x0D]", r"[^\x00-\x7F]", "[A-Z]", r"[.,;:!?'\x22
 #: Common words of a language, the weight of a document in whole numbers.
 COMMON, UNIT = 25, 1_000_000
 #: Characters and words from which shares are held against the reference, and the divergence above which a document goes.
-LEAST_CHARS, LEAST_TERMS = 200, 100
-MOST_CLASS_DIVERGENCE, MOST_WORD_DIVERGENCE = 0.11, 0.125
+LEAST_CHARS, LEAST_COMPARED = 200, 100
+MOST_CLASS_DIVERGENCE, MOST_WORD_DIVERGENCE = 0.11, 0.11
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -45,21 +44,27 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def _split(text: Column) -> Column:
+    """Words between white space; one empty word, if there are none."""
+    return F.split(F.btrim(text, F.lit(BLANKS)), r"[\x20\x09-\x0D]+")
+
+
 def blank_words(text: Column) -> Column:
     """Words between white space."""
-    parts = F.split(F.btrim(text, F.lit(BLANKS)), r"[\x20\x09-\x0D]+")
-    return F.filter(parts, lambda w: w != "")
+    return _let(_split(text), lambda w: F.when(F.get(w, F.lit(0)) != "", w).otherwise(F.array().cast("array<string>")))
 
 
 def packed_windows(words: Column) -> Column:
     """Hash and start of each window of words in one number, sorted: the low bits, as many as the count of words has, are the start."""
-    starts = F.sequence(F.lit(0), F.greatest(F.size(words) - WINDOW, F.lit(0)))
 
-    def pack(at: Column, bits: Column) -> Column:
-        hashed = F.xxhash64(*[F.get(words, at + k) for k in range(WINDOW)])
-        return F.call_function("shiftleft", hashed, bits).bitwiseOR(at.cast("bigint"))
+    def pack(own: Column, bits: Column) -> Column:
+        def one(word: Column, at: Column) -> Column:
+            hashed = F.xxhash64(word, *[F.get(own, at + k) for k in range(1, WINDOW)])
+            return F.call_function("shiftleft", hashed, bits).bitwiseOR(at.cast("bigint"))
 
-    packed = _let(_bits(words), lambda bits: F.sort_array(F.transform(starts, lambda at: pack(at, bits))))
+        return F.sort_array(F.transform(F.slice(own, 1, F.size(own) - WINDOW + 1), one))
+
+    packed = _let(words, lambda own: _let(_bits(own), lambda bits: pack(own, bits)))
     return F.when(F.size(words) >= WINDOW, packed).otherwise(F.array().cast("array<bigint>"))
 
 
@@ -73,40 +78,53 @@ def _repeated(rows: DataFrame) -> DataFrame:
     mask = F.call_function("shiftleft", F.lit(1).cast("bigint"), _bits(words)) - 1
     rows = rows.withColumn("packed", packed_windows(words)).withColumn("mask", mask)
 
-    def beside(x: Column, k: Column, high: Column) -> Column:
-        same = [x.bitwiseXOR(F.get("packed", k + step)).bitwiseAND(high) == 0 for step in (-1, 1)]
-        return same[0] | same[1]
+    def second(packed: Column, high: Column) -> Column:
+        """Places in the sorted numbers whose hash is that of the one before."""
+        same = lambda i: F.get(packed, i).bitwiseXOR(F.get(packed, i - 1)).bitwiseAND(high) == 0
+        return F.filter(F.sequence(F.lit(1), F.size(packed) - 1), same)
+
+    found = _let(F.col("packed"), lambda packed: _let(F.bitwise_not("mask"), lambda high: second(packed, high)))
+    rows = rows.withColumn("second", F.when(F.size("packed") > 1, found).otherwise(F.array().cast("array<int>")))
 
-    hashed = _let(F.bitwise_not("mask"), lambda high: F.filter("packed", lambda x, k: beside(x, k, high)))
-    rows = rows.withColumn("alike", F.when(F.size("packed") > 1, hashed).otherwise(empty))
+    def spelled(own: Column, packed: Column, mask: Column) -> Column:
+        def one(i: Column) -> Column:
+            at = F.get(packed, i).bitwiseAND(mask).cast("int")
+            return F.struct(F.concat_ws(" ", *[F.get(own, at + k) for k in range(WINDOW)]).alias("window"), at.cast("bigint").alias("at"))
 
-    def spelled(x: Column) -> Column:
-        at = x.bitwiseAND(F.col("mask")).cast("int")
-        return F.struct(F.concat_ws(" ", *[F.get(words, at + k) for k in range(WINDOW)]).alias("window"), at.cast("bigint").alias("at"))
+        places = F.array_distinct(F.flatten(F.transform("second", lambda i: F.array(i - 1, i))))
+        return F.sort_array(F.transform(places, one))
 
-    rows = rows.withColumn("spelled", F.sort_array(F.transform("alike", spelled)))
+    candidates = _let(
+        words, lambda own: _let(F.col("packed"), lambda packed: _let(F.col("mask"), lambda mask: spelled(own, packed, mask)))
+    )
+    rows = rows.withColumn("spelled", F.when(F.size("second") > 0, candidates))
+
+    def covered(spelled: Column) -> Column:
+        def twice(s: Column, k: Column) -> Column:
+            same = [s["window"] == F.get(spelled, k + step)["window"] for step in (-1, 1)]
+            return same[0] | same[1]
 
-    def twice(s: Column, k: Column) -> Column:
-        same = [s["window"] == F.get("spelled", k + step)["window"] for step in (-1, 1)]
-        return same[0] | same[1]
+        starts = F.sort_array(F.transform(F.filter(spelled, twice), lambda s: s["at"]))
+        fresh = lambda found: F.transform(
+            found, lambda at, k: F.least(F.coalesce(F.get(found, k + 1) - at, F.lit(WINDOW)), F.lit(WINDOW))
+        )
+        return F.aggregate(_let(starts, fresh), F.lit(0).cast("bigint"), lambda a, x: a + x)
 
-    found = F.sort_array(F.transform(F.filter("spelled", twice), lambda s: s["at"]))
-    rows = rows.withColumn("found", F.when(F.size("alike") > 1, found).otherwise(empty))
-    fresh = F.transform("found", lambda at, k: F.least(F.coalesce(F.get("found", k + 1) - at, F.lit(WINDOW)), F.lit(WINDOW)))
-    total = F.aggregate(fresh, F.lit(0).cast("bigint"), lambda a, x: a + x)
-    return rows.withColumn("n_repeat_words", total).drop("packed", "mask", "alike", "spelled", "found")
+    total = F.coalesce(_let(F.col("spelled"), covered), F.lit(0))
+    return rows.withColumn("n_repeat_words", total).drop("packed", "mask", "second", "spelled")
 
 
 def with_class_counts(rows: DataFrame) -> DataFrame:
-    """Adds ``classes``, the characters of each class; each class is cut out of what the ones before have left, column by column, so
-    that nothing is computed twice."""
+    """Adds ``classes``, the characters of each class, and ``n_symbols``, of which all are in the last class. Each class is cut out of
+    what the ones before have left, column by column, so that nothing is computed twice."""
     left = ["text"]
     for k, pattern in enumerate(CLASSES):
         rows = rows.withColumn(f"left{k}", F.regexp_replace(left[-1], pattern + "+", ""))
         left.append(f"left{k}")
     sizes = [F.char_length(c).cast("bigint") for c in left]
     counts = F.array(*[a - b for a, b in zip(sizes, sizes[1:])], sizes[-1])
-    return rows.withColumn("classes", counts).drop(*left[1:])
+    symbols = F.char_length(F.regexp_replace(left[-1], f"[^{SYMBOLS}]+", "")).cast("bigint")
+    return rows.withColumns({"classes": counts, "n_symbols": symbols}).drop(*left[1:])
 
 
 def _total(counts: Column) -> Column:
@@ -114,7 +132,7 @@ def _total(counts: Column) -> Column:
 
 
 def measured(docs: DataFrame, language: str) -> DataFrame:
-    """Each document's counts: words, symbols, lines, repeats, classes of characters and terms (letters and digits)."""
+    """Each document's counts of words, symbols, lines, repeats and classes of characters, and its words."""
     text = F.col("text")
     rows = docs.select("doc_id", F.col(language).cast("string").alias("lang"), text_or_empty().alias("text"))
     rows = rows.withColumns({"words": blank_words(text), "lines": F.filter(F.split(text, "\n"), lambda s: F.btrim(s, F.lit(BLANKS)) != "")})
@@ -124,30 +142,23 @@ def measured(docs: DataFrame, language: str) -> DataFrame:
         "lang",
         F.size("words").cast("bigint").alias("n_words"),
         F.char_length(F.array_join("words", "")).cast("bigint").alias("word_chars"),
-        F.char_length(F.regexp_replace(text, f"[^{SYMBOLS}]+", "")).cast("bigint").alias("n_symbols"),
+        "n_symbols",
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("bigint").alias("n_dup_lines"),
         "n_repeat_words",
         "classes",
-        terms_of(text).alias("terms"),
+        "words",
     )
 
 
-def terms_of(text: Column) -> Column:
-    """Words of letters and digits, as they are written."""
-    return F.filter(F.split(text, SEPARATORS), lambda w: w != "")
-
-
-def _term_weights(rows: DataFrame) -> DataFrame:
-    """``lang, word, weight``: each document deals its weight out to its terms."""
-    terms = rows.select("lang", F.split("text", SEPARATORS).alias("terms"))
-    edges = [(F.get("terms", at) == "").cast("int") for at in (F.lit(0), F.size("terms") - 1)]
-    terms = terms.withColumn("n", F.size("terms") - edges[0] - edges[1]).filter("n > 0")
-    terms = terms.select("lang", F.expr(f"{UNIT} div n").alias("part"), F.explode("terms").alias("word"))
-    return terms.groupBy("lang", "word").agg(F.sum("part").alias("weight")).filter("word <> ''")
+def _word_weights(rows: DataFrame) -> DataFrame:
+    """``lang, word, weight``: each document deals its weight out to its words."""
+    words = rows.select("lang", _split(F.col("text")).alias("words")).filter(F.get("words", F.lit(0)) != "")
+    words = words.select("lang", F.expr(f"{UNIT} div size(words)").alias("part"), F.explode("words").alias("word"))
+    return words.groupBy("lang", "word").agg(F.sum("part").alias("weight"))
 
 
 def language_references(docs: DataFrame, language: str = "lang", common: int = COMMON) -> DataFrame:
-    """``lang, class_shares, common_words, common_shares``; the first of the common shares is that of all other words."""
+    """``lang, class_shares, common_words, longest, common_shares``; the first of the common shares is that of all other words."""
     rows = docs.select(F.col(language).cast("string").alias("lang"), text_or_empty().alias("text"))
     total = F.char_length("text").cast("bigint")
     shapes = with_class_counts(rows.filter("text <> ''")).select("lang", "classes", total.alias("total"))
@@ -157,7 +168,7 @@ def language_references(docs: DataFrame, language: str = "lang", common: int = C
     by_class = shapes.groupBy("lang").agg(*shares).select(
         "lang", F.array(*[F.col(f"s{k}") / whole for k in range(width)]).alias("class_shares")
     )
-    weighed = written(_term_weights(rows), "term-weights")
+    weighed = written(_word_weights(rows), "word-weights")
     totals = weighed.groupBy("lang").agg(F.sum("weight").alias("total"))
     best = Window.partitionBy("lang").orderBy(F.desc("weight"), "word")
     top = weighed.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= common)
@@ -165,6 +176,7 @@ def language_references(docs: DataFrame, language: str = "lang", common: int = C
     by_word = top.withColumnRenamed("lang", "_lang").join(totals, F.col("_lang").eqNullSafe(F.col("lang"))).select(
         "_lang",
         F.col("top.word").alias("common_words"),
+        F.array_max(F.transform("top", lambda x: F.octet_length(x["word"]))).alias("longest"),
         F.concat(
             F.array((F.col("total") - F.col("known")) / F.col("total")),
             _let(F.col("total"), lambda t: F.transform("top", lambda x: x["weight"] / t)),
@@ -187,20 +199,35 @@ def class_divergence(counts: Column, shares: Column) -> Column:
 
 
 def _with_word_divergence(rows: DataFrame) -> DataFrame:
-    """Adds ``word_divergence``. The terms' bins are sorted, so a bin is a run; bins without a term add half their share."""
-    bins = _let(F.col("common_words"), lambda known: F.transform("terms", lambda w: F.array_position(known, w)))
-    rows = rows.withColumn("bins", F.sort_array(bins))
-    places = F.filter(F.sequence(F.lit(0), F.size("bins") - 1), lambda i: ~F.get("bins", i).eqNullSafe(F.get("bins", i + 1)))
-    rows = rows.withColumn("ends", F.when(F.size("bins") > 0, places))
+    """Adds ``word_divergence``. The places of a text's common words are sorted, so a bin is a run; bins without a word add half
+    their share."""
+
+    def place(known: Column, longest: Column) -> Callable[[Column], Column]:
+        return lambda w: F.when(F.octet_length(w) <= longest, F.array_position(known, w)).otherwise(F.lit(0).cast("bigint"))
+
+    met = _let(
+        F.col("common_words"), lambda known: _let(F.col("longest"), lambda longest: F.transform("words", place(known, longest)))
+    )
+    rows = rows.withColumn("met", F.sort_array(F.filter(met, lambda k: k > 0)))
+
+    def run_ends(places: Column) -> Column:
+        return F.filter(
+            F.sequence(F.lit(0), F.size(places) - 1), lambda i: ~F.get(places, i).eqNullSafe(F.get(places, i + 1))
+        )
+
+    rows = rows.withColumn("ends", F.when(F.size("met") > 0, _let(F.col("met"), run_ends)).otherwise(F.array().cast("array<int>")))
 
     def run(end: Column, k: Column) -> Column:
         n = end - F.coalesce(F.get("ends", k - 1), F.lit(-1))
-        return F.struct((n / F.size("terms")).alias("p"), F.get("common_shares", F.get("bins", end).cast("int")).alias("q"))
+        return F.struct((n / F.size("words")).alias("p"), F.get("common_shares", F.get("met", end).cast("int")).alias("q"))
 
-    rows = rows.withColumn("runs", F.transform("ends", run))
+    other = F.struct(
+        ((F.size("words") - F.size("met")) / F.size("words")).alias("p"), F.get("common_shares", F.lit(0)).alias("q")
+    )
+    rows = rows.withColumn("runs", F.when(F.size("words") > 0, F.concat(F.array(other), F.transform("ends", run))))
     parts = F.aggregate("runs", F.lit(0.0), lambda a, r: a + _part(r["p"], r["q"]))
-    met = F.aggregate("runs", F.lit(0.0), lambda a, r: a + r["q"])
-    return rows.withColumn("word_divergence", parts + (1 - met) / 2).drop("bins", "ends", "runs")
+    shown = F.aggregate("runs", F.lit(0.0), lambda a, r: a + r["q"])
+    return rows.withColumn("word_divergence", parts + (1 - shown) / 2).drop("met", "ends", "runs")
 
 
 def _small(references: DataFrame) -> DataFrame:
@@ -216,8 +243,8 @@ def judge(docs: DataFrame, language: str = "lang") -> DataFrame:
     rows = measured(docs, language).join(references, F.col("lang").eqNullSafe(F.col("_lang")), "left")
     rows = _with_word_divergence(rows)
     classes = F.when(_total(F.col("classes")) >= LEAST_CHARS, class_divergence(F.col("classes"), F.col("class_shares")))
-    terms = F.when((F.size("terms") >= LEAST_TERMS) & F.col("common_words").isNotNull(), F.col("word_divergence"))
-    rows = rows.withColumns({"class_divergence": F.round(classes, 6), "word_divergence": F.round(terms, 6)})
+    words = F.when((F.size("words") >= LEAST_COMPARED) & F.col("common_words").isNotNull(), F.col("word_divergence"))
+    rows = rows.withColumns({"class_divergence": F.round(classes, 6), "word_divergence": F.round(words, 6)})
     few = F.col("n_words") < LEAST_WORDS
     base = few | (100 * F.col("n_repeat_words") > REPEATED_PERCENT * F.col("n_words"))
     far = F.coalesce(F.col("class_divergence") > MOST_CLASS_DIVERGENCE, F.lit(False)) | F.coalesce(
@@ -254,7 +281,6 @@ def judge_sql() -> str:
 WITH docs AS (
   SELECT row_number() OVER () AS r, doc_id, lang, coalesce(text, '') AS text,
     regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words,
-    regexp_extract_all(coalesce(text, ''), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS terms,
     list_filter(string_split(coalesce(text, ''), chr(10)), lambda s: regexp_matches(s, '[^\x20\x09-\x0D]')) AS lines
   FROM documents
 ), windows AS (
@@ -272,7 +298,7 @@ WITH docs AS (
   SELECT lang, {refs} FROM (SELECT lang, {shares} FROM shapes WHERE total > 0 GROUP BY lang)
 ), weights AS (
   SELECT lang, word, sum(part) AS weight FROM (
-    SELECT lang, {UNIT} // len(terms) AS part, unnest(terms) AS word FROM docs WHERE len(terms) > 0) GROUP BY ALL
+    SELECT lang, {UNIT} // len(words) AS part, unnest(words) AS word FROM docs WHERE len(words) > 0) GROUP BY ALL
 ), ranked AS (
   SELECT *, row_number() OVER (PARTITION BY lang ORDER BY weight DESC, word) AS place, sum(weight) OVER (PARTITION BY lang) AS total
   FROM weights
@@ -281,10 +307,10 @@ WITH docs AS (
   UNION ALL SELECT lang, NULL, 0, (max(total) - sum(weight)) / max(total) FROM ranked WHERE place <= {COMMON} GROUP BY lang
 ), counts AS (
   SELECT t.r, coalesce(b.place, 0) AS place, count(*) AS n, t.lang
-  FROM (SELECT r, lang, unnest(terms) AS word FROM docs) t LEFT JOIN bins b ON b.word = t.word AND b.lang IS NOT DISTINCT FROM t.lang
+  FROM (SELECT r, lang, unnest(words) AS word FROM docs) t LEFT JOIN bins b ON b.word = t.word AND b.lang IS NOT DISTINCT FROM t.lang
   GROUP BY t.r, t.lang, coalesce(b.place, 0)
 ), word_far AS (
-  SELECT r, sum({part("p", "q")}) + (1 - sum(q)) / 2 AS far, sum(n) AS n_terms
+  SELECT r, sum({part("p", "q")}) + (1 - sum(q)) / 2 AS far, sum(n) AS n_compared
   FROM (SELECT c.r, c.n, c.n / sum(c.n) OVER (PARTITION BY c.r) AS p, b.q
     FROM counts c JOIN bins b ON c.place = b.place AND c.lang IS NOT DISTINCT FROM b.lang) GROUP BY r
 ), class_far AS (
@@ -295,7 +321,7 @@ WITH docs AS (
     length(regexp_replace(text, '[^{SYMBOLS}]+', '', 'g')) AS n_symbols,
     (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(p.n_repeat_words, 0) AS n_repeat_words,
     CASE WHEN c.total >= {LEAST_CHARS} THEN round(c.far, 6) END AS class_divergence,
-    CASE WHEN w.n_terms >= {LEAST_TERMS} THEN round(w.far, 6) END AS word_divergence
+    CASE WHEN w.n_compared >= {LEAST_COMPARED} THEN round(w.far, 6) END AS word_divergence
   FROM docs d LEFT JOIN repeats p USING (r) LEFT JOIN class_far c USING (r) LEFT JOIN word_far w USING (r)
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,

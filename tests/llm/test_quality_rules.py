@@ -28,8 +28,8 @@ def classes(text):
     return counts
 
 
-def terms(text):
-    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text or "")
+def words_of(text):
+    return re.findall(r"[^\x20\x09-\x0D]+", text or "")
 
 
 def divergence(p, q):
@@ -50,7 +50,7 @@ def references(docs):
             shape = [s + c * rules.UNIT // len(t) for s, c in zip(shape, classes(t))]
         weights = Counter()
         for t in texts:
-            for w, n in Counter(own := terms(t)).items():
+            for w, n in Counter(own := words_of(t)).items():
                 weights[w] += n * (rules.UNIT // len(own))
         top = sorted(weights.items(), key=lambda x: (-x[1], x[0].encode()))[: rules.COMMON]
         total = sum(weights.values())
@@ -67,7 +67,7 @@ def brute(docs):
         far, word_far = None, None
         if len(text) >= rules.LEAST_CHARS:
             far = divergence([c / len(text) for c in classes(text)], shape)
-        if len(own := terms(text)) >= rules.LEAST_TERMS and shares:
+        if len(own := words_of(text)) >= rules.LEAST_COMPARED and shares:
             n = Counter()
             for w, times in Counter(own).items():
                 n[common.index(w) + 1 if w in common else 0] += times
