@@ -233,13 +233,15 @@ def split_thresholds(subjects: DataFrame, share: float, by: Sequence[str] = ())
     wanted = F.floor(F.count(F.lit(1)) * F.lit(share)).alias("n_train")
     state = subjects.groupBy(*by).agg(wanted).withColumns({"_bound": F.lit(0).cast("bigint"), "_rest": F.col("n_train")})
     for shift in range(_HASH_BITS - _ROUND_BITS, -1, -_ROUND_BITS):
-        known = materialize(state.where("_rest > 0"))
-        same = [subjects[c].eqNullSafe(known[c]) for c in by]
-        agrees = F.shiftright(subjects["_hash"], shift + _ROUND_BITS) == known["_bound"]
-        met = subjects.join(F.broadcast(known) if not by else known, [*same, agrees] if same else agrees)
-        next_bits = F.shiftright(subjects["_hash"], shift).alias("_next")
-        counts = met.groupBy(*[known[c] for c in by], known["n_train"], known["_rest"], next_bits).agg(F.count(F.lit(1)).alias("_n"))
-        upto = Window.partitionBy(*by, "n_train").orderBy("_next").rowsBetween(Window.unboundedPreceding, 0)
+        # names of their own: the search meets the same subjects in each round
+        known = materialize(state.where("_rest > 0").select(*[F.col(c).alias(f"{c}_of") for c in by], "n_train", "_bound", "_rest"))
+        agrees = F.shiftright("_hash", shift + _ROUND_BITS) == F.col("_bound")
+        for c in by:
+            agrees = agrees & F.col(c).eqNullSafe(F.col(f"{c}_of"))
+        met = subjects.select(*by, "_hash").join(broadcast_rows(known, known.count()), agrees)
+        groups = [*by, "n_train", "_rest"]
+        counts = met.groupBy(*groups, F.shiftright("_hash", shift).alias("_next")).agg(F.count(F.lit(1)).alias("_n"))
+        upto = Window.partitionBy(*groups).orderBy("_next").rowsBetween(Window.unboundedPreceding, 0)
         counts = counts.withColumn("_upto", F.sum("_n").over(upto))
         state = counts.where((F.col("_upto") >= F.col("_rest")) & (F.col("_upto") - F.col("_n") < F.col("_rest"))).select(
             *by, "n_train", F.col("_next").alias("_bound"), (F.col("_rest") - F.col("_upto") + F.col("_n")).alias("_rest")

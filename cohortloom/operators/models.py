@@ -11,8 +11,10 @@ from pyspark.ml.classification import LogisticRegression, LogisticRegressionMode
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+
+from cohortloom.operators.ranking import running_totals
 from cohortloom.session import materialize
 
 SEED = 17
@@ -105,3 +107,42 @@ def area_under_roc(scored: DataFrame, label: str = "LABEL", by: str = "rawPredic
 def fit_stages(df: DataFrame, stages: Sequence) -> PipelineModel:
     """Fit a chain of feature and model stages as one model."""
     return Pipeline(stages=list(stages)).fit(df)
+
+
+def _roc_points(scored: DataFrame, label: str, by: str) -> DataFrame:
+    """Rows of each distinct score, positive and negative, and those of at least that score."""
+    known = scored.where(F.col(label).isNotNull() & F.col(by).isNotNull())
+    positive = F.count_if(F.col(label) == 1)
+    points = known.groupBy(F.col(by).alias("threshold")).agg(positive.alias("pos"), (F.count(F.lit(1)) - positive).alias("neg"))
+    return running_totals(points, [F.desc("threshold")], {"tp": "pos", "fp": "neg"})
+
+
+def roc_curve(scored: DataFrame, label: str = "LABEL", by: str = "probability") -> DataFrame:
+    """``threshold, tpr, fpr``: one point of the ROC curve for each distinct score, of any number.
+
+    The totals run over ranges of scores; no task sees them all. Rows without a label or a score are left out; a rate of a class
+    without rows is null.
+    """
+    points = _roc_points(scored, label, by)
+    all_pos, all_neg = points.agg(F.sum("pos"), F.sum("neg")).first()
+    rate = lambda n, total: F.col(n) / F.nullif(F.lit(float(total or 0)), F.lit(0.0))
+    return points.select("threshold", rate("tp", all_pos).alias("tpr"), rate("fp", all_neg).alias("fpr"))
+
+
+def roc_area(scored: DataFrame, label: str = "LABEL", by: str = "probability", name: str = "area_under_roc") -> DataFrame:
+    """The area under the ROC curve in one row, from whole numbers until the last division; null if a class has no rows."""
+    points = _roc_points(scored, label, by)
+    # twice the pairs of a positive and a negative in which the positive has the higher score; a tie counts once
+    doubled = F.sum(F.col("neg").cast("decimal(18,0)") * (2 * F.col("tp") - F.col("pos")).cast("decimal(19,0)"))
+    pairs = F.nullif(F.sum("pos").cast("double") * F.sum("neg").cast("double"), F.lit(0.0))
+    return points.agg((doubled.cast("double") / 2 / pairs).alias(name))
+
+
+def save_stages(model: PipelineModel, path: str) -> None:
+    """Write a fitted chain to storage that every session reaches."""
+    model.write().save(path)
+
+
+def load_stages(spark: SparkSession, path: str) -> PipelineModel:
+    """A fitted chain as it was saved, for tables of this session."""
+    return PipelineModel.read().session(spark).load(path)

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cohortloom.functions.names import exactly
 from cohortloom.sources.schemas import ENTITIES, entity_schema
 
 
@@ -44,6 +46,41 @@ def read_entity(spark: SparkSession, entity: str, path: str, header: bool = True
     return read_csv(spark, path, entity_schema(entity), header).select(*named)
 
 
+def ingest_entity(
+    spark: SparkSession, entity: str, path: str, out: str, header: bool = True
+) -> tuple[DataFrame, DataFrame, dict[str, int]]:
+    """Read one hospital table from CSV once, write it typed, and account for what did not fit.
+
+    Returns the typed rows, read from ``out``, with the columns ``source_file`` and ``rejected`` (names of the columns whose text did
+    not fit their type and is null); the account ``source_file, column_name, n_rejected``, from these two columns only; and the totals
+    that were observed while the files were read: rows, rows with a rejected value, and rejected values by column.
+    """
+    columns = ENTITIES[entity]
+    texts = T.StructType([T.StructField(f.name, T.StringType()) for f in entity_schema(entity)])
+    # a session of its own: models fitted in a session that has observed something hold it, and can't be sent to executors
+    apart = spark.newSession()
+    apart.conf.set("spark.sql.session.timeZone", spark.conf.get("spark.sql.session.timeZone"))
+    lines = read_csv(apart, path, texts, header).select(
+        *[name for name, _ in columns.values()], F.col("_metadata.file_path").alias("source_file")
+    )
+    typed = {name: F.col(name).try_cast(kind) for name, kind in columns.values()}
+    misfits = [
+        F.when(F.col(name).isNotNull() & typed[name].isNull(), F.lit(name))
+        for name, kind in columns.values()
+        if kind != T.StringType()
+    ]
+    misfit = F.array_compact(F.array(*misfits)) if misfits else F.array().cast("array<string>")
+    rows = lines.select(*[c.alias(name) for name, c in typed.items()], "source_file", misfit.alias("rejected"))
+    seen = Observation()
+    totals = {"n_rows": F.count(F.lit(1)), "n_rejected_rows": F.count_if(F.size("rejected") > 0)}
+    totals |= {name: F.count_if(F.array_contains("rejected", name)) for name, kind in columns.values() if kind != T.StringType()}
+    rows.observe(seen, *[c.alias(name) for name, c in totals.items()]).write.parquet(out)
+    stored = spark.read.schema(rows.schema).parquet(out)
+    account = stored.select("source_file", F.explode("rejected").alias("column_name"))
+    account = account.groupBy("source_file", "column_name").agg(F.count(F.lit(1)).alias("n_rejected"))
+    return stored, account, seen.get
+
+
 def by_position(df: DataFrame, names: Mapping[int, str]) -> DataFrame:
     """Name the columns of a header-less table: ``{1: "SUBJECT_ID"}`` selects ``_c1 AS SUBJECT_ID``."""
     return df.select(*[F.col(f"_c{position}").alias(name) for position, name in names.items()])
@@ -74,3 +111,38 @@ def read_parquet(spark: SparkSession, path: str, schema: T.StructType | None = N
 
 def write_parquet(df: DataFrame, path: str, mode: str = "errorifexists", compression: str = "snappy") -> None:
     df.write.mode(mode).option("compression", compression).parquet(path)
+
+
+def footer_session(spark: SparkSession) -> SparkSession:
+    """A session of the same application that answers counts and extremes of Parquet tables from the footers of their files."""
+    session = spark.newSession()
+    session.conf.set("spark.sql.session.timeZone", spark.conf.get("spark.sql.session.timeZone"))
+    kept = [s for s in spark.conf.get("spark.sql.sources.useV1SourceList").split(",") if s != "parquet"]
+    session.conf.set("spark.sql.sources.useV1SourceList", ",".join(kept))
+    session.conf.set("spark.sql.parquet.aggregatePushdown", "true")
+    return session
+
+
+def footer_counts(spark: SparkSession, paths: Mapping[str, str]) -> DataFrame:
+    """``table_name, n`` of Parquet tables; no row is read."""
+    session = footer_session(spark)
+    counted = [
+        session.read.parquet(path).agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("table_name"), "n")
+        for name, path in paths.items()
+    ]
+    return reduce(DataFrame.unionByName, counted)
+
+
+def footer_extremes(spark: SparkSession, path: str, columns: Sequence[str]) -> DataFrame:
+    """``column_name, n, min, max`` (as numbers) of whole-number and floating columns of a Parquet table; no row is read.
+
+    ``n`` counts what is not null. Footers keep no extremes of texts and times that could be relied on.
+    """
+    table = footer_session(spark).read.parquet(path)
+    stats = {"n": F.count, "min": F.min, "max": F.max}
+    wide = table.agg(*[f(exactly(c)).alias(f"{s}_{k}") for k, c in enumerate(columns) for s, f in stats.items()])
+    rows = [
+        F.struct(F.lit(c).alias("column_name"), *[F.col(f"{s}_{k}").cast("bigint" if s == "n" else "double").alias(s) for s in stats])
+        for k, c in enumerate(columns)
+    ]
+    return wide.select(F.inline(F.array(*rows)))
