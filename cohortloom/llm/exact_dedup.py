@@ -1,6 +1,7 @@
 """Exact deduplication against a persistent digest index.
 
-The index is a Parquet table of one row per distinct text, bucketed and sorted by SHA-256 digest. A batch of documents is
+The index is a Parquet table of one row per distinct text, bucketed and sorted by SHA-256 digest; its count of buckets is kept with
+it, so it is opened by its path alone, whatever the settings of the session. A batch of documents is
 reduced to one row per digest (partial aggregation before the shuffle), sort-merge anti-joined with the index, and what is
 new is appended. The decisions follow from the index after the append, so a batch that is run again under the same name
 (after a crash) gives the same decisions and appends nothing twice.
@@ -19,7 +20,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cohortloom.functions.names import exactly, free_name
 from cohortloom.llm.common import text_or_empty, written
+from cohortloom.session import broadcast_rows
+from cohortloom.sources.buckets import exists, read_layout, write_layout
 
 #: A digest that at least one in so many rows share is matched by broadcast; there are at most so many of them.
 HOT_PARTS = 1000
@@ -32,11 +36,15 @@ def digest(column: str = "text") -> Column:
 
 @dataclass(frozen=True)
 class DigestIndex:
-    """The digests of all texts seen so far; ``path`` is in storage that every executor reaches."""
+    """The digests of all texts seen so far; ``path`` is in storage that every executor reaches.
+
+    ``new_buckets`` is the count of buckets of an index that is not there yet (by default the session's shuffle partitions); one that
+    is there keeps its own.
+    """
 
     spark: SparkSession
     path: str
-    buckets: int
+    new_buckets: int | None = None
 
     @property
     def table(self) -> str:
@@ -44,7 +52,15 @@ class DigestIndex:
 
     @property
     def location(self) -> str:
-        return f"{self.path}/{self.buckets}-buckets"
+        return f"{self.path}/buckets"
+
+    @property
+    def buckets(self) -> int:
+        layout = f"{self.path}/layout"
+        if not exists(self.spark, layout):
+            wanted = self.new_buckets or int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+            write_layout(self.spark, layout, buckets=wanted)
+        return read_layout(self.spark, layout)["buckets"]
 
     def read(self) -> DataFrame:
         """Columns digest, keep_id, batch; registered with its buckets, so that joins on the digest don't shuffle it."""
@@ -53,14 +69,16 @@ class DigestIndex:
             f"CREATE TABLE IF NOT EXISTS {self.table} (digest BINARY, keep_id BIGINT, batch STRING) USING parquet "
             f"CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS LOCATION '{quoted}'"
         )
+        self.spark.catalog.refreshTable(self.table)
         return self.spark.table(self.table)
 
     def _append(self, rows: DataFrame) -> None:
+        buckets = self.buckets
         (
-            rows.repartition(self.buckets, "digest")
+            rows.repartition(buckets, "digest")
             .write.format("parquet")
             .mode("append")
-            .bucketBy(self.buckets, "digest")
+            .bucketBy(buckets, "digest")
             .sortBy("digest")
             .option("path", self.location)
             .saveAsTable(self.table)
@@ -105,8 +123,21 @@ class DigestIndex:
 
 
 def drop_exact_copies(docs: DataFrame, index: DigestIndex, batch: str | None = None) -> DataFrame:
-    """The documents that stay, with all their columns; of repeated rows with the same doc_id and text, one."""
-    kept = index.add(docs, batch).filter("kept").select(F.col("doc_id").alias("_kept_id"), F.col("digest").alias("_kept_digest"))
-    rows = docs.withColumn("_digest", digest())
-    same = F.col("doc_id").cast("bigint").eqNullSafe(F.col("_kept_id")) & (F.col("_digest") == F.col("_kept_digest"))
-    return rows.join(kept, same, "left_semi").dropDuplicates(["doc_id", "_digest"]).drop("_digest")
+    """The documents that stay, with all their columns; of repeated rows with the same doc_id and text, one.
+
+    Texts are shuffled once, to meet what stays of them. Rows that are repeated with their doc_id are known from the digests; only those
+    few are looked at again to leave one of each.
+    """
+    own, mark, of = (free_name(docs.columns, n) for n in ("digest", "kept_digest", "kept_id"))
+    kept = written(index.add(docs, batch).select(F.col("doc_id").alias(of), F.col("digest").alias(mark), "kept"), "decided")
+    counted = kept.groupBy(of, mark).agg(F.count(F.lit(1)).alias("n"), F.max("kept").alias("kept")).filter("kept")
+    counted = written(counted, "kept")
+    rows = docs.withColumn(own, digest())
+    same = exactly("doc_id").cast("bigint").eqNullSafe(F.col(of)) & (F.col(own) == F.col(mark))
+    once = rows.join(counted.filter("n = 1").select(of, mark), same, "left_semi")
+    repeated = counted.filter("n > 1").select(of, mark)
+    n = repeated.count()
+    if n:
+        again = rows.join(broadcast_rows(repeated, n, cell_bytes=64), same, "left_semi")
+        once = once.unionByName(again.dropDuplicates(["doc_id", own]))
+    return once.drop(own)

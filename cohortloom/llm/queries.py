@@ -200,8 +200,7 @@ def op7_golay_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register
 def op8_digest_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents added to a new digest index."""
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    index = exact_dedup.DigestIndex(spark, scratch_path(spark, "digest-index"), buckets)
+    index = exact_dedup.DigestIndex(spark, scratch_path(spark, "digest-index"))
     decided = index.add(documents(spark, sf_dir))
     return decided.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 

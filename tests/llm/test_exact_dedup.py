@@ -1,6 +1,8 @@
 import hashlib
 from collections import defaultdict
 
+from pyspark.sql import functions as F
+
 from cohortloom.llm.exact_dedup import DigestIndex, drop_exact_copies
 
 
@@ -66,3 +68,29 @@ def test_stage_keeps_one_row_of_each_text(spark, awkward, tmp_path):
 def test_empty(spark, nothing, tmp_path):
     assert index(spark, tmp_path).add(nothing).count() == 0
     assert drop_exact_copies(nothing, index(spark, tmp_path)).count() == 0
+
+
+def test_the_count_of_buckets_belongs_to_the_index(spark, tmp_path):
+    """A batch that comes under another setting meets the texts that are there."""
+    path, key = f"file://{tmp_path}/kept", "spark.sql.shuffle.partitions"
+    docs = spark.createDataFrame([(1, "one"), (2, "two")], "doc_id bigint, text string")
+    kept = spark.conf.get(key)
+    try:
+        for setting, expected in (("4", [True, True]), ("8", [False, False]), ("3", [False, False])):
+            spark.conf.set(key, setting)
+            index = DigestIndex(spark, path, None if setting != "3" else 5)
+            assert index.buckets == 4
+            assert [r["kept"] for r in index.add(docs).collect()] == expected
+        other = spark.newSession()
+        assert DigestIndex(other, path).read().count() == 2
+    finally:
+        spark.conf.set(key, kept)
+
+
+def test_texts_are_shuffled_once(spark, tmp_path):
+    """The table of documents is dealt out for one join only; repeated rows are looked at apart."""
+    docs = spark.range(500).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), F.col("id") % 300).alias("text"))
+    docs.write.parquet(f"{tmp_path}/docs")
+    kept = drop_exact_copies(spark.read.parquet(f"{tmp_path}/docs"), DigestIndex(spark, f"file://{tmp_path}/once"))
+    plan = kept._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan and plan.count("Join LeftSemi") == 1 and kept.count() == 300
