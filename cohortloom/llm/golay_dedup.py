@@ -28,6 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cohortloom.functions.names import free_name
 from cohortloom.llm.common import map_texts, written
 from cohortloom.llm.components import components
 
@@ -213,12 +214,14 @@ def near_components(docs: DataFrame) -> DataFrame:
     marked = written(fingerprints(docs), "fingerprints")
     distinct = written(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct-fingerprints")
     classes = written(fingerprint_classes(distinct).join(distinct, "fp"), "fingerprint-classes")
-    named = classes.groupBy("root").agg(F.min("first").alias("component_id"))
+    # written, so that the join has a shuffle on both sides and can split a root with very many fingerprints
+    named = written(classes.groupBy("root").agg(F.min("first").alias("component_id")), "component-names")
     return marked.join(classes.join(named, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
     """The documents that name their component, with all their columns; rows with the same doc_id stay or go together."""
     kept = near_components(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    kept = kept.select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept_id")), "left_semi")
+    of = free_name(docs.columns, "kept_id")
+    kept = written(kept.select(F.col("doc_id").alias(of)).distinct(), "kept-ids")
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col(of)), "left_semi")
