@@ -9,7 +9,8 @@ posterior is the product.
 
 Defined results: a null or empty text, or one under three bytes, tells nothing, so the other evidence decides; a missing
 declaration tells nothing; rows without a host share one; equal posteriors go to the first language by name; rows without any
-labelled document to train on get no language and confidence 0; repeated rows are rows of their own; other columns are ignored.
+labelled document to train on get no language and confidence 0; repeated rows are rows of their own; other columns come back as
+they are, whatever their names, but for ones named like a result.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cohortloom.functions.names import exactly
 from cohortloom.llm.common import SLICE_ROWS, slices, text_or_empty, written
 
 #: Buckets of trigrams (a power of two); documents of the training sample, about, of each language (all, where it has fewer).
@@ -33,6 +35,7 @@ TRIGRAM, PARENT, DECLARED, RIGHT = 0.5, 8.0, 20.0, 0.9
 #: A trigram's weight: neighbours overlap and depend on each other.
 WEIGHT = 1 / 6
 LEVELS = ("suffix", "domain", "host")
+ADDED = ("lang", "confidence", "text_lang")
 _PART = 1 << 18
 
 
@@ -63,7 +66,7 @@ def training_sample(docs: DataFrame) -> tuple[list[str], DataFrame]:
     The languages come from a grouped count. A language's documents are taken up to a bound of their hash that follows from its
     count, and never under its least hash, so none is without a document.
     """
-    labelled = docs.filter("lang IS NOT NULL").withColumn("_hash", F.xxhash64("doc_id"))
+    labelled = docs.filter("lang IS NOT NULL").select("lang", "text", F.xxhash64("doc_id").alias("_hash"))
     sizes = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.min("_hash").alias("least")).collect()
     bounds = [(r["lang"], max(r["least"], min((SAMPLE_DOCS << 64) // r["n"], 1 << 64) - (1 << 63) - 1)) for r in sizes]
     upto = F.broadcast(docs.sparkSession.createDataFrame(bounds, "lang string, _bound bigint"))
@@ -155,23 +158,27 @@ def _smoothed(own: Column, less: Column, parent: Column) -> Column:
 
 
 def identify(rows: DataFrame, model: LanguageModel) -> DataFrame:
-    """All columns but the text, with ``lang, confidence, text_lang``.
+    """All columns but the text, with ``lang, confidence, text_lang`` (in place of columns of these names).
 
-    ``rows`` has ``text, declared, suffix, domain, host`` (the last three from wide to narrow).
+    ``rows`` has ``text, declared, suffix, domain, host`` (the last three from wide to narrow; null ones count as empty).
     """
     n = len(model.languages)
-    kept = [c for c in rows.columns if c != "text"]
+    kept = [c for c in rows.columns if c not in ("text", *ADDED)]
     if not n:
         none = F.lit(None).cast("string")
-        return rows.select(*kept, none.alias("lang"), F.lit(0.0).alias("confidence"), none.alias("text_lang"))
-    filled = rows.withColumns({c: F.coalesce(c, F.lit("")) for c in LEVELS})
-    scored = filled.withColumn("logs", likelihoods(rows, model)).drop("text")
+        return rows.select(*[exactly(c) for c in kept], none.alias("lang"), F.lit(0.0).alias("confidence"), none.alias("text_lang"))
+    # the caller's columns are one struct on the way, so that none of them meets a name used here
+    own = F.struct(*[exactly(c) for c in kept]).alias("own")
+    filled = rows.select(own, "text", "declared", *[F.coalesce(c, F.lit("")).alias(c) for c in LEVELS])
+    scored = filled.withColumn("logs", likelihoods(filled, model)).drop("text")
     scored = written(scored.withColumn("shown", _shares(F.col("logs"))), "language-evidence")
 
     by_host = written(_sums(scored, list(LEVELS), "of_host", n).withColumnRenamed("of_host", "shown"), "language-hosts")
     hosts = by_host.withColumnRenamed("shown", "of_host")
-    hosts = hosts.join(_sums(by_host, ["suffix", "domain"], "of_domain", n), ["suffix", "domain"])
-    hosts = hosts.join(_sums(by_host, ["suffix"], "of_suffix", n), "suffix")
+    # sums are written, so that these joins have a shuffle on both sides and can split a domain or suffix with very many hosts
+    hosts = hosts.join(written(_sums(by_host, ["suffix", "domain"], "of_domain", n), "language-domains"), ["suffix", "domain"])
+    hosts = hosts.join(written(_sums(by_host, ["suffix"], "of_suffix", n), "language-suffixes"), "suffix")
+    hosts = written(hosts, "language-levels")
     world = by_host.agg(*[F.coalesce(F.sum(F.col("shown")[k]), F.lit(0.0)).alias(f"_{k}") for k in range(n)]).first()
     everywhere = F.array(*[F.lit(float(x + 1)) for x in world])
     declared = scored.filter("declared IS NOT NULL")
@@ -195,7 +202,7 @@ def identify(rows: DataFrame, model: LanguageModel) -> DataFrame:
         return F.element_at(names, F.array_position(shares, F.array_max(shares)).cast("int"))
 
     return fused.select(
-        *kept, best("posterior").alias("lang"), F.array_max("posterior").alias("confidence"), best("shown").alias("text_lang")
+        "own.*", best("posterior").alias("lang"), F.array_max("posterior").alias("confidence"), best("shown").alias("text_lang")
     )
 
 
