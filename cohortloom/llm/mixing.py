@@ -7,7 +7,7 @@ whole mix in one exchange, evenly spread whatever the sources look like.
 
 Defined results: a null source is a source of its own; an empty or null text counts as one character; sources without a
 positive weight leave the mix; repeated rows get the same number of copies each; an empty table gives an empty mix. Columns of
-``docs`` named like an added one (copy, copies, shuffle_key) are replaced.
+``docs`` named like an added one (copy, copies, shuffle_key) are replaced, all others come back as they are.
 """
 
 from __future__ import annotations
@@ -16,8 +16,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from cohortloom.functions.names import exactly, free_name
 from cohortloom.llm.common import text_or_empty, written
-from cohortloom.session import broadcast_rows
+from cohortloom.session import BROADCAST_BYTES, BROADCAST_ROWS
 
 ADDED = ("copy", "copies", "shuffle_key")
 
@@ -63,21 +64,34 @@ def poisson_steps(rates: DataFrame) -> DataFrame:
     )
 
 
-def poisson_mix(docs: DataFrame, weights: DataFrame | None = None, total: float | None = None, seed: int = 7) -> DataFrame:
+def _few(steps: DataFrame) -> DataFrame:
+    """The table of steps, for a broadcast where its counted rows and the summed length of its arrays are small."""
+    rows, numbers = steps.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("steps").cast("bigint")), F.lit(0))).first()
+    return F.broadcast(steps) if rows <= BROADCAST_ROWS and 8 * numbers + 64 * rows <= BROADCAST_BYTES else steps
+
+
+def poisson_mix(
+    docs: DataFrame,
+    weights: DataFrame | None = None,
+    total: float | None = None,
+    seed: int = 7,
+    added: tuple[str, str, str] = ADDED,
+) -> DataFrame:
     """The mix: all columns of ``docs`` plus ``copy`` (from 1), ``copies`` and ``shuffle_key``, globally shuffled.
 
-    ``weights`` has ``source, weight``; without it, sizes to the power of a half. Its table of rates is broadcast where its
-    counted rows are few; beyond that Spark joins, and splits hot sources, by itself.
+    ``weights`` has ``source, weight``; without it, sizes to the power of a half. Its table of rates is broadcast where it is small,
+    arrays included; beyond that Spark joins, and splits hot sources, by itself. ``added`` renames the added columns.
     """
+    copy, copies, shuffle_key = added
     sizes = written(source_sizes(docs), "source-sizes")
     steps = written(poisson_steps(repetition_rates(sizes, tempered_weights(sizes) if weights is None else weights, total)), "poisson")
-    steps = broadcast_rows(steps.withColumnRenamed("source", "_source"), steps.count())
-    kept = docs.drop(*ADDED)
-    level = _hashed(F.lit(seed), F.col("doc_id"), digits=13) / F.lit(float(1 << 52))
-    counted = kept.withColumn("_level", level).join(steps, F.col("source").eqNullSafe(F.col("_source")))
-    copies = F.size(F.filter("steps", lambda s: s <= F.col("_level")))
-    counted = counted.withColumn("copies", copies).drop("_source", "steps", "_level").filter("copies > 0")
-    mixed = counted.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    key = _hashed(F.lit(seed), F.col("doc_id"), F.col("copy"), F.lit("order"), digits=15)
-    mixed = mixed.select(*kept.columns, "copy", "copies", key.alias("shuffle_key"))
-    return mixed.repartition("shuffle_key").sortWithinPartitions("shuffle_key")
+    kept = [c for c in docs.columns if c not in added]
+    of, held, level = (free_name([*kept, *added], n) for n in ("of_source", "steps", "level"))
+    steps = _few(steps).select(F.col("source").alias(of), F.col("steps").alias(held))
+    number = _hashed(F.lit(seed), F.col("doc_id"), digits=13) / F.lit(float(1 << 52))
+    counted = docs.select(*[exactly(c) for c in kept], number.alias(level)).join(steps, F.col("source").eqNullSafe(F.col(of)))
+    counted = counted.withColumn(copies, F.size(F.filter(held, lambda s: s <= F.col(level)))).filter(exactly(copies) > 0)
+    mixed = counted.withColumn(copy, F.explode(F.sequence(F.lit(1), exactly(copies))))
+    key = _hashed(F.lit(seed), F.col("doc_id"), exactly(copy), F.lit("order"), digits=15)
+    mixed = mixed.select(*[exactly(c) for c in kept], exactly(copy), exactly(copies), key.alias(shuffle_key))
+    return mixed.repartition(exactly(shuffle_key)).sortWithinPartitions(exactly(shuffle_key))

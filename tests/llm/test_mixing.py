@@ -2,6 +2,9 @@ import hashlib
 import math
 from collections import Counter
 
+from pyspark.sql import functions as F
+
+from cohortloom.llm import mixing
 from cohortloom.llm.mixing import poisson_mix, repetition_rates, source_sizes
 
 
@@ -61,3 +64,18 @@ def test_copies_are_spread_evenly(spark):
         assert part.shuffle_key.is_monotonic_increasing
     rates = repetition_rates(source_sizes(docs), spark.createDataFrame([("hot", 1.0)], "source string, weight double")).collect()
     assert [r["source"] for r in rates] == ["hot"]
+
+
+def test_a_wide_table_of_rates_is_not_broadcast(spark):
+    """What counts is the length of the arrays, not the number of sources."""
+    rates = spark.createDataFrame([(f"s{k}", 40_000.0) for k in range(300)], "source string, rate double")
+    steps = mixing.poisson_steps(rates)
+    assert "ResolvedHint" not in mixing._few(steps)._jdf.queryExecution().analyzed().toString()
+    assert "ResolvedHint" in mixing._few(steps.limit(3))._jdf.queryExecution().analyzed().toString()
+
+
+def test_thousands_of_tiny_sources(spark):
+    docs = spark.range(10_000).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"), F.concat(F.lit("s"), F.col("id")).alias("source"))
+    big = spark.range(50).select((F.col("id") + 20_000).alias("doc_id"), F.repeat(F.lit("long "), F.lit(20_000)).alias("text"), F.lit("big").alias("source"))
+    out = mixing.poisson_mix(docs.unionByName(big))
+    assert abs(out.agg(F.sum(F.length("text"))).first()[0] / 5_010_000 - 1) < 0.05
