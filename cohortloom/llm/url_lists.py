@@ -5,7 +5,8 @@ Each entry is valid until the next one of its key. A capture is held against the
 fetch, under each domain that its host is in and each start of its path; the most specific (longest) key decides.
 
 The as-of join is an equality on key and period (a number of days), into which validity intervals are cut: a hot host's
-captures are spread over the periods, and each meets at most one entry a day of its key. No list is broadcast.
+captures are spread over the periods, and each meets at most one entry a day of its key. Only periods in which something was fetched
+count, so a wrong date of a capture or an entry, however far off, makes no more rows than any other. No list is broadcast.
 
 Defined results: of several actions for a key on a day the last by name counts (remove, block, allow); an entry is valid from
 its day on; a null or malformed URL has host '' and meets no entry; a capture without fetch day meets none; repeated captures
@@ -31,11 +32,12 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, _URL, 2), F.lit(""))
 
 
-def key_candidates(host: Column, path: Column, labels: int, segments: int) -> Column:
-    """The domains of a host with at most so many labels, and the starts of the path with at most so many segments."""
+def key_candidates(host: Column, path: Column, labels: int, segments: int, least: int = 1) -> Column:
+    """The domains of a host with at least and at most so many labels, and the starts of the path with at most so many segments."""
     parts = F.split(host, r"\.")
-    shortest = F.greatest(F.size(parts) - labels + 1, F.lit(1))
-    domains = F.transform(F.sequence(shortest, F.size(parts)), lambda k: F.concat_ws(".", F.slice(parts, k, F.size(parts))))
+    longest = F.greatest(F.size(parts) - labels + 1, F.lit(1))
+    begins = F.filter(F.sequence(longest, F.size(parts)), lambda k: k <= F.size(parts) - least + 1)
+    domains = F.transform(begins, lambda k: F.concat_ws(".", F.slice(parts, k, F.size(parts))))
     steps = F.slice(F.filter(F.split(path, "/"), lambda s: s != ""), 1, segments)
     starts = F.transform(
         F.filter(F.sequence(F.lit(0), F.size(steps)), lambda k: k > 0),
@@ -56,27 +58,34 @@ def _period(day: Column) -> Column:
     return F.floor(F.unix_date(day) / PERIOD).cast("int")
 
 
+def _periods(captures: DataFrame) -> Column:
+    """The periods in which anything was fetched, as one literal array; the calendar bounds them (about 114,000 in 10,000 years)."""
+    found = captures.select(_period(F.col("fetched_on").cast("date")).alias("p")).filter("p IS NOT NULL").distinct().collect()
+    texts = ",".join(str(r[0]) for r in sorted(found))
+    return F.filter(F.split(F.lit(texts), ",").try_cast("array<int>"), lambda p: p.isNotNull()) if found else F.array().cast("array<int>")
+
+
 def decide(captures: DataFrame, history: DataFrame) -> DataFrame:
     """``page_id, url, fetched_on, host, n_active, decided_by, valid_from, action, blocked`` for each capture.
 
     ``captures`` has ``page_id, url, fetched_on``, ``history`` has ``key, listed_on, action``.
     """
     ranges = validity(history)
-    bounds = captures.agg(F.min("fetched_on").alias("low"), F.max("fetched_on").alias("high")).first()
+    labels = F.size(F.split(F.split("key", "/")[0], r"\."))
     deepest = ranges.agg(
-        F.max(F.size(F.split(F.split("key", "/")[0], r"\."))).alias("labels"),
+        F.max(labels).alias("labels"),
+        F.min(F.when(~F.contains("key", F.lit("/")), labels)).alias("least"),
         F.max(F.size(F.split("key", "/")) - 1).alias("segments"),
     ).first()
-    low, high = (F.lit(bounds[k]).cast("date") for k in ("low", "high"))
-    begin = F.greatest(F.col("valid_from"), low)
-    end = F.least(F.date_sub(F.coalesce("valid_until", F.date_add(high, 1)), 1), high)
-    cut = ranges.filter(begin <= end).withColumn("period", F.explode(F.sequence(_period(begin), _period(end))))
+    begin, end = _period(F.col("valid_from")), _period(F.date_sub(F.col("valid_until"), 1))
+    inside = F.filter(_periods(captures), lambda p: (p >= begin) & (F.col("valid_until").isNull() | (p <= end)))
+    cut = ranges.withColumn("period", F.explode(inside))
     cut = cut.withColumnRenamed("key", "_key").withColumnRenamed("period", "_period")
 
     rows = captures.select("page_id", "url", F.col("fetched_on").cast("date").alias("fetched_on"))
     rows = rows.groupBy("page_id", "url", "fetched_on").agg(F.count(F.lit(1)).alias("n_rows"))
     rows = rows.withColumn("host", host_of(F.col("url")))
-    keys = key_candidates(F.col("host"), path_of(F.col("url")), deepest["labels"] or 0, deepest["segments"] or 0)
+    keys = key_candidates(F.col("host"), path_of(F.col("url")), deepest["labels"] or 0, deepest["segments"] or 0, deepest["least"] or 1)
     rows = rows.withColumn("key", F.explode_outer(keys)).withColumn("period", _period(F.col("fetched_on")))
     active = (
         (F.col("key") == F.col("_key"))

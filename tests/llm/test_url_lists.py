@@ -1,5 +1,6 @@
 import datetime
 
+from cohortloom.llm import url_lists
 from cohortloom.llm.url_lists import decide, host_of, key_candidates, path_of, validity
 from pyspark.sql import functions as F
 
@@ -97,3 +98,21 @@ def test_empty_parts_take_no_depth(spark):
         2: (2, "h.org/a", True),
         3: (1, "h.org", False),
     }
+
+
+def test_dates_far_off_make_no_rows(spark):
+    """One wrong date of a capture, or of an entry, is a period like others."""
+    days = ["0001-01-01", "9999-12-31", "2020-03-01", "2020-03-02", None]
+    captures = spark.createDataFrame([(k, "http://a.b.com/x", d) for k, d in enumerate(days)], "page_id bigint, url string, d string")
+    captures = captures.select("page_id", "url", F.col("d").cast("date").alias("fetched_on"))
+    history = [("b.com", "2020-03-02", "block"), ("com", "0001-01-01", "allow"), ("b.com", "9999-12-31", "remove")]
+    history = spark.createDataFrame(history, "key string, d string, action string").select("key", F.col("d").cast("date").alias("listed_on"), "action")
+    found = {r["page_id"]: (r["n_active"], r["action"]) for r in url_lists.decide(captures, history).collect()}
+    assert found == {0: (1, "allow"), 1: (1, "allow"), 2: (1, "allow"), 3: (2, "block"), 4: (0, None)}
+    assert len(url_lists._periods(captures)._jc.toString()) < 300
+
+
+def test_keys_shorter_than_any_listed_are_not_made(spark):
+    row = spark.createDataFrame([("x.a.b.com", "/p/q")], "h string, p string")
+    found = row.select(url_lists.key_candidates(F.col("h"), F.col("p"), 3, 1, 2)).first()[0]
+    assert found == ["a.b.com", "b.com", "x.a.b.com/p"]
