@@ -1,0 +1,89 @@
+"""No column of the caller meets a name that an operator uses inside, dots included."""
+
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from cohortloom.functions.names import exactly
+from cohortloom.llm import exact_dedup, golay_dedup, language_id, mixing, toxicity
+from cohortloom.session import scratch_path
+
+NAMES = [
+    "a.b", "back`quote", "_digest", "digest", "_kept_id", "kept_id", "_kept_digest", "kept_digest", "kept", "n", "row_no", "steps", "_source",
+    "of_source", "_level", "level", "rate", "size", "fp", "root", "label", "key", "component_id", "logs", "shown", "of_host", "of_domain",
+    "of_suffix", "prior", "posterior", "told", "own", "score", "held_out", "keep_id", "group_size", "_hash", "_bound",
+]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    words = "it is what the cat of a neighbour would say to the mouse in its own house if asked".split()
+    rows = [(k, " ".join(words[(k + j) % len(words)] + str(k % 9) for j in range(30)), "en", f"s{k % 3}") for k in range(40)]
+    rows += [(7, rows[7][1], "en", "s1")] * 2 + [(90, rows[3][1], "fr", "s2"), (91, None, None, None), (92, "", "en", "s0")]
+    plain = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")
+    values = [F.concat(F.lit(f"{k}:"), F.coalesce("source", F.lit("")), F.col("doc_id").cast("string")).alias(n) for k, n in enumerate(NAMES)]
+    # written, as the pipeline's tables are, so that every operator reads the same rows
+    path = scratch_path(spark, "clashing")
+    plain.select("*", *values).write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def whole(df, names):
+    return sorted(tuple(r) for r in df.select(*[F.coalesce(exactly(c).cast("string"), F.lit("null")) for c in names]).collect())
+
+
+def kept_of(docs, ids):
+    """The rows of documents, by their own columns."""
+    return [r for r in whole(docs, docs.columns) if r[0] in ids]
+
+
+def test_exact_dedup(spark, docs):
+    index = exact_dedup.DigestIndex(spark, scratch_path(spark, "index"))
+    out = exact_dedup.drop_exact_copies(docs, index)
+    assert out.columns == docs.columns
+    # the copies 90 of 3 and 92 of 91 (no text, and an empty one) stay, and one of the rows of 7
+    wanted = sorted({r for r in whole(docs, docs.columns) if r[0] not in ("3", "91", "7")} | set(kept_of(docs, ("7",))[-1:]))
+    found = whole(out, docs.columns)
+    assert [r for r in found if r[0] != "7"] == [r for r in wanted if r[0] != "7"]
+    assert sum(r[0] == "7" for r in found) == 1 and set(found) <= set(whole(docs, docs.columns))
+
+
+def test_near_dedup(docs):
+    out = golay_dedup.drop_near_copies(docs)
+    ids = {r[0] for r in whole(out, ["doc_id"])}
+    assert out.columns == docs.columns and whole(out, docs.columns) == kept_of(docs, ids) and "3" in ids and "90" not in ids
+
+
+def test_mixing(docs):
+    out = mixing.poisson_mix(docs)
+    assert out.columns == [*docs.columns, *mixing.ADDED]
+    plain = mixing.poisson_mix(docs.select("doc_id", "text", "lang", "source"))
+    assert whole(out, ["doc_id", "text", "copy", "copies", "shuffle_key"]) == whole(plain, ["doc_id", "text", "copy", "copies", "shuffle_key"])
+    assert set(whole(out, docs.columns)) <= set(whole(docs, docs.columns))
+
+
+def test_languages(docs):
+    rows = docs.drop("lang").withColumns({c: F.lit(None).cast("string") for c in ("declared", "suffix", "domain", "host")})
+    out = language_id.identify(rows, language_id.train(docs))
+    assert out.columns == [c for c in rows.columns if c != "text"] + ["lang", "confidence", "text_lang"]
+    kept = [c for c in rows.columns if c != "text"]
+    assert whole(out, kept) == whole(rows, kept)
+
+
+def test_toxicity(spark, docs):
+    labels = spark.createDataFrame([(k, 1, int(k % 5 == 0)) for k in range(40)], "doc_id bigint, quality int, toxic int")
+    out = toxicity.drop_toxic(docs, labels)
+    assert out.columns == docs.columns and set(whole(out, docs.columns)) <= set(whole(docs, docs.columns))
+
+
+def test_the_mixing_stage_keeps_columns_named_like_its_own(spark, docs):
+    named = docs.withColumns({c: F.lit(f"the caller's {c}") for c in mixing.ADDED})
+    out = corpus_pipeline.mixed_sources(spark, named, "")
+    assert out.columns == named.columns and set(whole(out, named.columns)) <= set(whole(named, named.columns))
+
+
+def test_stages_on_an_empty_table(spark, docs):
+    none = docs.filter("false")
+    for stage in (corpus_pipeline.exact_copies, corpus_pipeline.near_copies, corpus_pipeline.mixed_sources):
+        assert stage(spark, none, "").columns == docs.columns and stage(spark, none, "").count() == 0
+    assert corpus_pipeline.encoded(spark, none, "").count() == 0
