@@ -1,10 +1,16 @@
-"""The corpus pipeline: each stage works on all that the one before it kept."""
+"""The corpus pipeline: each stage works on all that the one before it kept.
+
+Defined results: a null text counts as empty in every stage; of rows that are repeated with their doc_id and text one stays, and rows
+that share only a doc_id stay or go together as near copies; an empty table goes through to an empty result; further columns of the
+documents, whatever their names, come out of every stage but the last, which returns the doc_id and the encoding.
+"""
 
 from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from cohortloom.functions.names import exactly, free_name
 from cohortloom.llm import exact_dedup, golay_dedup, mixing, piece_codec, toxicity
 from cohortloom.session import scratch_path
 
@@ -16,8 +22,7 @@ def toxic_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each text stays."""
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return exact_dedup.drop_exact_copies(docs, exact_dedup.DigestIndex(spark, scratch_path(spark, "digest-index"), buckets))
+    return exact_dedup.drop_exact_copies(docs, exact_dedup.DigestIndex(spark, scratch_path(spark, "digest-index")))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,7 +32,8 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents repeated or left out so that sources have their target weights, in random order."""
-    return mixing.poisson_mix(docs).select(*docs.columns)
+    added = tuple(free_name(docs.columns, name) for name in mixing.ADDED)
+    return mixing.poisson_mix(docs, added=added).select(*[exactly(c) for c in docs.columns])
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
