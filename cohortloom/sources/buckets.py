@@ -67,7 +67,7 @@ def append_buckets(df: DataFrame, path: str, key: str, buckets: int) -> None:
 
 
 def write_layout(spark: SparkSession, path: str, **layout) -> None:
-    spark.createDataFrame([(json.dumps(layout),)], "value string").coalesce(1).write.text(path)
+    spark.range(1).coalesce(1).select(F.lit(json.dumps(layout)).alias("value")).write.text(path)
 
 
 def read_layout(spark: SparkSession, path: str) -> dict:
