@@ -5,8 +5,8 @@ prefix is set; for every byte of the result the place in the original is kept. P
 up to places in the normalised text, and those are projected to spans of the original bytes.
 
 The merges of a piece model without pieces that run from a non-blank into a blank never cross the start of a blank run, so
-each blank-led chunk is encoded on its own, by the library, and remembered in a bounded cache of the worker, with the places
-of its pieces. A model that has such pieces, that maps characters or strips blanks, or that isn't BPE is encoded text by text,
+each blank-led chunk is encoded on its own, by the library, and remembered in a bounded cache of the worker, with the spans of
+its pieces, which come from the normalised chunks and the places of their sources like those of a whole text. A model that has such pieces, that maps characters or strips blanks, or that isn't BPE is encoded text by text,
 and so is a text that holds the blank's mark itself.
 
 Defined results: a null text counts as empty and has no ids; spans are half-open byte ranges of the UTF-8 text, in order, and
@@ -152,8 +152,6 @@ class PieceCodec:
         self.surfaces = [
             bytes([int(p.piece[3:5], 16)]) if p.type == byte_type else p.piece.replace(BLANK, " ").encode() for p in pieces
         ]
-        # bytes of the original that a piece takes: an escaped blank stands for one byte
-        self.taken = np.array([len(x) for x in self.surfaces], np.int64)
         self.own_surfaces = kinds <= {1, 2, 3, 6}  # normal, unknown, control, byte
         self.blank_id = self.library.piece_to_id(BLANK)
         self.chunks: dict[str, tuple[str, bytes, int, int]] = {}
@@ -170,19 +168,32 @@ class PieceCodec:
 
     def _encode_chunks(self, chunks: list[str]) -> None:
         """Remember joined ids, ends of the pieces, bytes and number of pieces of chunks, by their text after the first blank."""
+        if not chunks:
+            return
         all_ids = [ids or [self.blank_id] for ids in self.library.encode(chunks, num_threads=1)]
         stops = list(accumulate([len(ids) for ids in all_ids], initial=0))
-        taken = self.taken[np.fromiter(chain.from_iterable(all_ids), np.int64, stops[-1])]
-        upto = np.concatenate([[0], np.cumsum(taken)])
-        starts = upto[stops]
-        sizes = np.diff(starts).tolist()
-        ends = (upto[1:] - np.repeat(starts[:-1], np.diff(stops))).astype(np.int32).tobytes()
+        ends, sizes = self._chunk_ends(chunks, all_ids, stops)
         for k, (chunk, ids) in enumerate(zip(chunks, all_ids)):
             self.chunks[chunk] = ",".join(map(str, ids)), ends[4 * stops[k] : 4 * stops[k + 1]], sizes[k], len(ids)
             surface = self._decode(ids)
             if surface != " " + chunk:
                 self.odd[chunk] = surface
 
+    def _chunk_ends(self, chunks: list[str], all_ids: list[list[int]], stops: list[int]) -> tuple[bytes, list[int]]:
+        """Ends of the pieces of each chunk in its bytes (its first blank included), as 4-byte numbers, and these bytes' count.
+
+        The chunks, joined by their blanks, are normalised together; the pieces' places in the result are projected to their sources.
+        """
+        sizes = [len(c.encode()) + 1 for c in chunks]
+        normal, _, sources = self.normalize(" ".join(chunks))
+        places = np.cumsum(self.lengths[np.fromiter(chain.from_iterable(all_ids), np.int64, stops[-1])])
+        if places[-1] != len(normal):  # a lone blank, or unknown characters, which aren't as long as the piece of their id
+            parts = [self.spans(c, np.array(ids, np.int64)) + 1 if c else np.ones(1, np.int64) for c, ids in zip(chunks, all_ids)]
+            return np.concatenate(parts).astype(np.int32).tobytes(), sizes
+        starts = np.cumsum([0, *sizes[:-1]])
+        ends = sources[places - 1] + 1 - np.repeat(starts, np.diff(stops))
+        return ends.astype(np.int32).tobytes(), sizes
+
     def encode(self, texts: list[str]) -> list[tuple[str, np.ndarray, str]]:
         """Of each text: ids joined by commas, ends of the pieces in its bytes, text decoded from the ids."""
         if len(self.chunks) > self.CACHED:
