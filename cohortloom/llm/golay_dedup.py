@@ -18,6 +18,7 @@ an empty table gives an empty result; columns other than doc_id and text are ign
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 from itertools import combinations
@@ -37,28 +38,60 @@ SHINGLE, SEED, MOST_BITS = 4, 42, 4
 #: Width and first bit of the segments, generator polynomial of the code.
 SEGMENTS = ((22, 0), (21, 22), (21, 43))
 GENERATOR = 0b110001110101
-#: Shingles whose bits are counted at a time.
-_PART = 1 << 14
+#: Shingles whose bits are counted at a time; bytes of a text that are words at a time.
+_PART, _BLOCK = 1 << 14, 1 << 19
+_BLANK = re.compile(rb"[\x20\x09-\x0D]")
 
 
-def simhash(text: str) -> int:
-    """64 bits, each set if it is set in over half of the hashes of the text's shingles."""
-    words = text.encode().lower().split()
-    if not words:
-        return 0
+def _word_blocks(raw: bytes) -> Iterator[list[bytes]]:
+    """The words of a text in lists of about ``_BLOCK`` bytes, cut at white space."""
+    at = 0
+    while at < len(raw):
+        cut = _BLANK.search(raw, min(at + _BLOCK, len(raw)))
+        stop = cut.start() if cut else len(raw)
+        yield raw[at:stop].lower().split()
+        at = stop
+
+
+def _hashes(words: list[bytes], width: int) -> np.ndarray:
+    """Hashes of all runs of so many words."""
     joined = b" ".join(words)
     sizes = np.fromiter(map(len, words), np.int64, len(words))
     stops = np.cumsum(sizes + 1) - 1
-    width = min(SHINGLE, len(words))
     begins = (stops - sizes)[: len(words) - width + 1].tolist()
     ends = stops[width - 1 :].tolist()
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(joined[a:b], SEED) for a, b in zip(begins, ends)), np.uint64, len(begins))
+    return np.fromiter((digest(joined[a:b], SEED) for a, b in zip(begins, ends)), np.uint64, len(begins))
+
+
+def simhash(text: str) -> int:
+    """64 bits, each set if it is set in over half of the hashes of the text's shingles.
+
+    A long text is hashed block by block; the last words of a block go before the first of the next.
+    """
+    counts, total, words = np.zeros(64, np.int64), 0, []
+    for block in _word_blocks(text.encode()):
+        words = words[1 - SHINGLE :] + block if total else words + block
+        if len(words) < SHINGLE:
+            continue
+        hashes = _hashes(words, SHINGLE)
+        total += len(hashes)
+        counts += _bit_counts(hashes)
+    if not total:
+        if not words:
+            return 0
+        hashes = _hashes(words, len(words))
+        total, counts = 1, _bit_counts(hashes)
+    return int.from_bytes(np.packbits(2 * counts > total, bitorder="little").tobytes(), "little")
+
+
+def _bit_counts(hashes: np.ndarray) -> np.ndarray:
+    """How many of the hashes have each bit."""
     counts = np.zeros(64, np.int64)
     for at in range(0, len(hashes), _PART):
         octets = hashes[at : at + _PART].astype("<u8").view(np.uint8).reshape(-1, 8)
         counts += np.unpackbits(octets, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * counts > len(hashes), bitorder="little").tobytes(), "little")
+    return counts
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:

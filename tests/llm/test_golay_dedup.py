@@ -6,6 +6,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+from cohortloom.llm import golay_dedup
 from cohortloom.llm.common import written
 from cohortloom.llm.components import _large_star, components
 from cohortloom.llm.golay_dedup import (
@@ -147,3 +148,25 @@ def test_a_hot_node_is_split(spark):
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_blocks_as_the_whole(monkeypatch):
+    """A long text, hashed block by block, has the fingerprint that it has in one piece."""
+    draw = random.Random(12)
+    texts = [" ".join("w" * draw.randint(1, 9) + str(draw.randint(0, 50)) for _ in range(draw.choice([1, 2, 3, 4, 5, 40, 400]))) for _ in range(80)]
+    texts += ["  \n", "", "x" * 500, "a " * 300, "\t".join("AbCdE") + " " * 200]
+    whole = [golay_dedup.simhash(t) for t in texts]
+    for size in (1, 7, 64):
+        monkeypatch.setattr(golay_dedup, "_BLOCK", size)
+        assert [golay_dedup.simhash(t) for t in texts] == whole
+
+
+def test_memory_of_a_very_long_text():
+    import tracemalloc
+
+    text = " ".join(str(k) for k in range(3_000_000))
+    tracemalloc.start()
+    golay_dedup.simhash(text)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < len(text) + (200 << 20)
