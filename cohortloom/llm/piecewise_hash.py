@@ -7,7 +7,7 @@ text, halved while the signature has under 32 characters. Two fingerprints are c
 sizes are equal or one is twice the other.
 
 Defined results: a null text counts as empty and has the fingerprint ``3::``; equal fingerprints have likeness 1, incompatible
-block sizes 0; very long texts are hashed whole; repeated rows are rows of their own, next to each other in the order (ties
+block sizes 0; very long texts are hashed whole, part by part; repeated rows are rows of their own, next to each other in the order (ties
 are ordered by text); of one row the next is itself; an empty table gives an empty result; columns other than doc_id and text
 are ignored.
 """
@@ -30,6 +30,8 @@ LETTERS = np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _powers: list[np.ndarray] = []
+#: Bytes of a text that are hashed at a time.
+_PART = 1 << 18
 
 
 def _power(base: int, n: int) -> np.ndarray:
@@ -58,11 +60,63 @@ def rolling(codes: np.ndarray) -> np.ndarray:
     return total + shifted
 
 
+def _ends_by_parts(codes: np.ndarray, sizes: list[int]) -> dict[int, tuple[list[int], int]]:
+    """For each block size, the first ``LENGTH`` ends of chunks and the count of all; sizes are doubles of each other, smallest first.
+
+    The rolling hash of a part starts from the last bytes of the part before. An end at a size is one at half of it.
+    """
+    found = {s: ([], 0) for s in sizes}
+    for at in range(0, len(codes), _PART):
+        before = min(at, WINDOW - 1)
+        marks = rolling(codes[at - before : at + _PART])[before:]
+        ends = np.arange(len(marks))
+        for s in sizes:
+            ends = ends[marks[ends] % np.uint32(s) == s - 1]
+            first, count = found[s]
+            first.extend((ends[: LENGTH - len(first)] + at + 1).tolist())
+            found[s] = first, count + len(ends)
+    return found
+
+
+def _hash_by_parts(codes: np.ndarray) -> int:
+    """The polynomial hash of a chunk: its byte k counts with the k-th power of the base."""
+    powers, total = _powers_up_to(_PART)[0][:_PART], 0
+    for at in range(0, len(codes), _PART):
+        part = codes[at : at + _PART].astype(np.uint64) + np.uint64(1)
+        total += int((part * powers[: len(part)]).sum(dtype=np.uint64)) * pow(_BASE, at, 1 << 64)
+    return total & ((1 << 64) - 1)
+
+
+def _by_parts(codes: np.ndarray, block: int) -> str:
+    """The fingerprint of a very long text, with memory for one part of it at a time."""
+    n = len(codes)
+
+    def signature(ends: list[int], length: int) -> str:
+        ends = ends[: length - 1]
+        if not ends or ends[-1] != n:
+            ends = [*ends, n]
+        hashes = [_hash_by_parts(codes[a:b]) for a, b in zip([0, *ends], ends)]
+        return "".join(chr(LETTERS[(h * 0xD6E8FEB86659FD93 & (1 << 64) - 1) >> 58]) for h in hashes)
+
+    while True:
+        sizes = [s for s in (block // 4, block // 2, block, 2 * block) if s >= LEAST_BLOCK]
+        found = _ends_by_parts(codes, sizes)
+        for size in reversed(sizes[:-1]):
+            if size == LEAST_BLOCK or found[size][1] >= LENGTH // 2:
+                return f"{size}:{signature(found[size][0], LENGTH)}:{signature(found[2 * size][0], LENGTH)}"
+        block = sizes[0]
+
+
 def fingerprint(text: str) -> str:
     codes = np.frombuffer(text.encode(), np.uint8)
     n = len(codes)
     if not n:
         return f"{LEAST_BLOCK}::"
+    if n > _PART:
+        block = LEAST_BLOCK
+        while block * LENGTH < n:
+            block *= 2
+        return _by_parts(codes, block)
     block = LEAST_BLOCK
     while block * LENGTH < n:
         block *= 2

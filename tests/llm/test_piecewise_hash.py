@@ -115,3 +115,25 @@ def test_awkward_rows(spark, awkward, nothing):
     assert row["near_next"] == 1.0
     assert compare_with_next(nothing).count() == 0
     assert compare_with_next(awkward.withColumn("doc_id", F.col("doc_id").cast("string"))).count() == 9
+
+
+def test_parts_as_the_whole(monkeypatch):
+    """A long text, hashed part by part, has the fingerprint that it has in one piece."""
+    draw = random.Random(9)
+    texts = ["".join(draw.choice("abcdefgh é\n") for _ in range(draw.randint(900, 9000))) for _ in range(40)]
+    texts += ["a" * 5000, "ab" * 3000, "x" * 1000 + "".join(draw.choice("abc") for _ in range(3000))]
+    whole = [fingerprint(t) for t in texts]
+    monkeypatch.setattr(piecewise_hash, "_PART", 128)
+    assert [fingerprint(t) for t in texts] == whole
+
+
+def test_memory_of_a_very_long_text():
+    """Memory follows the part, not the text."""
+    import tracemalloc
+
+    text = "some words of a long text " * 1_000_000
+    tracemalloc.start()
+    fingerprint(text)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 3 * len(text) + (64 << 20)
