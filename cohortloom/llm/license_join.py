@@ -3,8 +3,9 @@
 A template is the set of words of a license notice. A block is a window of twice the template's words, at multiples of its
 words, so every passage as long as the template lies in one. A block meets a template where it contains at least a given share
 of the template's words. The join is the usual one for sets: words are ordered by their frequency in the corpus, rarest first;
-a block that meets a template shares one of the rarest words of it (prefix filter), has enough words itself (length filter),
-and enough of them from the first shared one on (positional filter); what is left is counted. Words that are in no template
+a block that meets a template shares one of the rarest words of it (prefix filter), has enough words itself (length filter), and
+may still share enough by the place in the order where its words of a longer prefix end: those seen and all that are left in the
+template are enough (positional filter). Of what is left, only the words of the candidate blocks are counted. Words that are in no template
 are rarer than all others in that order, as they never match.
 
 The templates are a parameter and small: their words and prefixes are the only things broadcast or made literal. Texts are
@@ -25,6 +26,8 @@ from pyspark.sql import functions as F
 from cohortloom.llm.common import text_or_empty, written
 
 THRESHOLD = 0.8
+#: Words by which prefixes are longer than they must be for one shared word; so many more must be shared in them.
+MORE = 3
 #: What separates words, the phrases and their labels.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -75,6 +78,36 @@ TEMPLATES = (
     ),
     Template("cc-by-nc", "licensed under a creative commons attribution noncommercial international license"),
     Template("cc-by", "licensed under a creative commons attribution international license"),
+    Template(
+        "isc",
+        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted "
+        "provided that the above copyright notice and this permission notice appear in all copies",
+    ),
+    Template(
+        "lgpl",
+        "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public "
+        "license as published by the free software foundation",
+    ),
+    Template(
+        "agpl",
+        "it under the terms of the gnu affero general public license as published by the free software foundation",
+    ),
+    Template(
+        "bsd",
+        "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products "
+        "derived from this software without specific prior written permission",
+    ),
+    Template(
+        "zlib",
+        "this software is provided as is without any express or implied warranty in no event will the authors be held liable for "
+        "any damages arising from the use of this software",
+    ),
+    Template("unlicense", "this is free and unencumbered software released into the public domain"),
+    Template(
+        "cc0",
+        "to the extent possible under law the author has dedicated all copyright and related and neighboring rights to this "
+        "software to the public domain worldwide",
+    ),
 )
 
 
@@ -123,6 +156,11 @@ def word_ranks(rows: DataFrame, templates: tuple[Template, ...]) -> dict[str, in
     return {w: k for k, w in enumerate(order)}
 
 
+def least_shared(words: int, threshold: float) -> int:
+    """The least number of so many words whose share reaches the threshold."""
+    return next(n for n in range(words + 1) if n / words >= threshold)
+
+
 def matches(rows: DataFrame, templates: tuple[Template, ...], threshold: float) -> DataFrame:
     """``row_no, template, block, containment`` of the blocks that contain the wanted share of a template's words."""
     ranks = word_ranks(rows, templates)
@@ -130,11 +168,12 @@ def matches(rows: DataFrame, templates: tuple[Template, ...], threshold: float)
     shapes, prefixes = [], []
     for number, template in enumerate(templates):
         ordered = sorted({ranks[w] for w in template.words})
-        least = -int(-threshold * len(ordered) // 1)
-        shapes.append((number, len(template.words), least, ordered))
-        prefixes += [(rank, number) for rank in ordered[: len(ordered) - least + 1]]
-    shape = F.broadcast(spark.createDataFrame(shapes, "template int, stride int, least int, ranks array<int>"))
-    prefix = F.broadcast(spark.createDataFrame(prefixes, "rank int, template int").join(shape, "template"))
+        least = least_shared(len(ordered), threshold)
+        more = max(min(MORE, least - 1), 0)
+        shapes.append((number, len(template.words), least, 1 + more, ordered))
+        prefixes += [(rank, number) for rank in ordered[: len(ordered) - least + 1 + more]]
+    shape = F.broadcast(spark.createDataFrame(shapes, "template int, stride int, least int, early int, ranks array<int>"))
+    prefix = F.broadcast(spark.createDataFrame(prefixes, "rank int, template int").join(shape.drop("ranks"), "template"))
     rank = F.create_map(*[F.lit(x) for pair in ranks.items() for x in pair])
 
     rare = sorted({w for w, k in ranks.items() if k in {p[0] for p in prefixes}})
@@ -146,27 +185,25 @@ def matches(rows: DataFrame, templates: tuple[Template, ...], threshold: float)
         return places.withColumn("block", F.explode(F.when(k > 0, F.array(k - 1, k)).otherwise(F.array(k))))
 
     candidates = in_blocks(hit.join(prefix, "rank")).groupBy("row_no", "template", "block").agg(
-        F.min("rank").alias("first"),
-        F.any_value("n_words").alias("n_words"),
-        F.any_value("stride").alias("stride"),
-        F.any_value("least").alias("least"),
-        F.any_value("ranks").alias("ranks"),
+        F.size(F.collect_set("rank")).alias("seen"),
+        *[F.any_value(c).alias(c) for c in ("n_words", "stride", "least", "early")],
     )
     long_enough = F.least(2 * F.col("stride"), F.col("n_words") - F.col("block") * F.col("stride")) >= F.col("least")
-    candidates = written(candidates.filter(long_enough), "license-candidates")
+    candidates = candidates.filter((F.col("seen") >= F.col("early")) & long_enough)
+    candidates = written(candidates.select("row_no", "template", "block", "stride"), "license-candidates")
 
+    # of a candidate document, those words of its candidate blocks that are in the block's template
     wanted = candidates.select("row_no", "template", "stride").distinct()
     places = rows.join(candidates.select("row_no").distinct(), "row_no", "left_semi")
     places = places.select("row_no", F.explode("hits").alias("h"))
     places = places.select("row_no", F.col("h.at").alias("at"), rank[F.col("h.word")].alias("rank"))
-    inside = in_blocks(places.join(wanted, "row_no")).select("row_no", "template", "block", "rank")
-    blocks = inside.groupBy("row_no", "template", "block").agg(F.collect_set("rank").alias("found"))
-    blocks = blocks.join(candidates, ["row_no", "template", "block"])
-    from_first = F.size(F.filter("found", lambda r: r >= F.col("first")))
-    blocks = blocks.filter(F.size("found") >= F.col("least")).filter(from_first >= F.col("least"))
-    shared = F.size(F.array_intersect("found", "ranks"))
-    return blocks.filter(shared >= F.col("least")).select(
-        "row_no", "template", "block", (shared / F.size("ranks")).alias("containment")
+    own = F.broadcast(spark.createDataFrame([(n, r) for n, *_, ordered in shapes for r in ordered], "template int, rank int"))
+    inside = in_blocks(places.join(wanted, "row_no").join(own, ["template", "rank"])).join(
+        candidates.drop("stride"), ["row_no", "template", "block"], "left_semi"
+    )
+    shared = inside.groupBy("row_no", "template", "block").agg(F.size(F.collect_set("rank")).alias("shared"))
+    return shared.join(shape, "template").filter(F.col("shared") >= F.col("least")).select(
+        "row_no", "template", "block", (F.col("shared") / F.size("ranks")).alias("containment")
     )
 
 

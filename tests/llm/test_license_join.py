@@ -81,3 +81,18 @@ def test_awkward_rows(spark, awkward, nothing):
     rows = scan_licenses(awkward).collect()
     assert sorted((str(r["doc_id"]), r["n_words"]) for r in rows) == sorted((str(r["doc_id"]), brute(r["text"])[0]) for r in awkward.collect())
     assert scan_licenses(nothing).count() == 0
+
+
+@pytest.mark.parametrize("threshold", [0.55, 0.7, 0.8, 1.0])
+def test_exact_at_every_threshold(spark, threshold):
+    """Templates of a hundred words, and texts that share just enough of them, just too few, and in any order."""
+    draw = random.Random(11)
+    words = [f"t{k}" for k in range(100)]
+    templates = (Template("long", " ".join(words)), Template("half", " ".join(words[::2] + ["x"] * 3)), Template("one", "solo"))
+    texts = ["solo", "", None, "t1 " * 300]
+    for shared in (54, 55, 56, 69, 70, 71, 79, 80, 81, 99, 100):
+        for _ in range(3):
+            own = draw.sample(words, shared) + [f"o{k}" for k in range(draw.randint(0, 60))]
+            draw.shuffle(own)
+            texts.append(" ".join([f"p{k}" for k in range(draw.randint(0, 130))] + own))
+    check(spark, texts, templates=templates, threshold=threshold)
