@@ -100,3 +100,57 @@ def test_more_than_a_hundred_languages(spark):
     assert model.languages == [f"l{k:03}" for k in range(130)]
     found = identify(document_rows(documents(spark, rows)), model)
     assert {r["doc_id"]: r["lang"] for r in found.collect()} == {k: lang for k, _, lang, _ in rows}
+
+
+def fused_by_hand(rows, model):
+    """Language, confidence and language of the text of each row, with plain loops over all rows for each level."""
+    n = len(model.languages)
+    logs = [model.likelihoods(r["text"] or "") for r in rows]
+    shown = [np.exp(x - x.max()) / np.exp(x - x.max()).sum() for x in logs]
+    keys = [[tuple(r[c] or "" for c in language_id.LEVELS[: k + 1]) for k in range(3)] for r in rows]
+    world = sum(shown)
+
+    def smoothed(own, less, parent):
+        rest = np.maximum(own - less, 0)
+        return (rest + language_id.PARENT * parent) / (rest.sum() + language_id.PARENT)
+
+    found = []
+    for i, row in enumerate(rows):
+        prior = smoothed(world + 1, shown[i], np.full(n, 1 / n))
+        for k in range(3):
+            prior = smoothed(sum(s for s, key in zip(shown, keys) if key[k] == keys[i][k]), shown[i], prior)
+        evidence = logs[i] + np.log(prior)
+        if row["declared"] in model.languages:
+            said = sum(s for s, r in zip(shown, rows) if r["declared"] == row["declared"])
+            belief = np.full(n, (1 - language_id.RIGHT) / (n - 1))
+            belief[model.languages.index(row["declared"])] = language_id.RIGHT
+            evidence = evidence + np.log((said + language_id.DECLARED * belief) / (world + language_id.DECLARED))
+        posterior = np.exp(evidence - evidence.max()) / np.exp(evidence - evidence.max()).sum()
+        found.append((model.languages[int(posterior.argmax())], posterior.max(), model.languages[int(shown[i].argmax())]))
+    return found
+
+
+def test_fusion_by_hand(spark):
+    """Levels, smoothing, the row's own part, declarations and the posterior."""
+    model = train(documents(spark, invented(200, 1)))
+    draw, rows = np.random.default_rng(6), []
+    for k, text, lang, _ in invented(150, 8):
+        words = text.split()
+        text = [" ".join(words[: draw.integers(0, 4)]), text, None][draw.integers(0, 3)]
+        host = [None, "", *(f"h{j}.{lang}.org" for j in range(4))][draw.integers(0, 6)]
+        declared = [None, lang, "aa", "zz"][draw.integers(0, 4)]
+        rows.append({"id": k, "text": text, "declared": declared, "suffix": [None, "org", "net"][k % 3], "domain": f"d{k % 5}", "host": host})
+    frame = spark.createDataFrame([tuple(r.values()) for r in rows], "id bigint, text string, declared string, suffix string, domain string, host string")
+    found = {r["id"]: r for r in identify(frame.repartition(3), model).collect()}
+    for row, (lang, confidence, text_lang) in zip(rows, fused_by_hand(rows, model)):
+        got = found[row["id"]]
+        assert np.isclose(got["confidence"], confidence, rtol=1e-6)
+        assert got["text_lang"] == text_lang and (got["lang"] == lang or confidence < 0.51)
+
+
+def test_a_hot_domain_is_split(spark):
+    """No sum by level stands in the plan under the join with its hosts: both sides have a shuffle of their own."""
+    model = train(documents(spark, invented(30, 1)))
+    rows = documents(spark, invented(30, 2)).selectExpr("doc_id", "text", "null declared", "'o' suffix", "'d' domain", "cast(doc_id as string) host")
+    plan = identify(rows.withColumn("declared", rows.declared.cast("string")), model)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan

@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from cohortloom.llm import toxicity
@@ -107,3 +108,45 @@ def test_a_long_document_leaves_words_to_the_others(monkeypatch):
         assert order is rows or found == first
         first = found
     assert toxicity._level([], 5) == 1 and toxicity._level([3, 9], 12) == 9 and toxicity._level([9, 3, 9], 12) == 4
+
+
+@pytest.mark.parametrize("steps", [(1, 0), (0, 1)])
+def test_the_gradient_is_that_of_the_loss(monkeypatch, steps):
+    """Vectors, softmax weights and bias move by the slopes of the weighted loss, over all windows and over the highest ones."""
+    seen = []
+    monkeypatch.setattr(toxicity, "WINDOW_STEPS", steps[0])
+    monkeypatch.setattr(toxicity, "DOCUMENT_STEPS", steps[1])
+    monkeypatch.setattr(toxicity._Adam, "step", lambda self, gradient: seen.append((self.parameter.astype(float), gradient.astype(float))))
+    sample = [(words_of(t)[:20] if k else ["one", "two"], y, 1.0 + k % 3) for k, (_, t, y) in enumerate(invented(12, 4))]
+    ToxicityModel.fit(sample)
+    (vectors, by_vector), (weights, by_weight), (bias, by_bias) = seen
+    bags = {w: np.flatnonzero(Bags.of([w]).spread(np.ones(1))) for s, _, _ in sample for w in s}
+    shares = {w: Bags.of([w]).spread(np.ones(1))[at] for w, at in bags.items()}
+    n = [sum(y == label for _, y, _ in sample) for label in (0, 1)]
+
+    def loss(vectors, weights, bias):
+        total = 0.0
+        for words, label, weight in sample:
+            by_word = [shares[w] @ (vectors[bags[w]] @ (weights[1] - weights[0])) for w in words]
+            width = min(len(words), toxicity.WINDOW)
+            scores = [np.mean(by_word[k : k + width]) for k in range(len(words) - width + 1)]
+            scores, importance = (scores, 0.5 / n[label] / len(scores)) if steps[0] else ([max(scores)], weight / sum(s[2] for s in sample))
+            for s in scores:
+                chance = 1 / (1 + np.exp(-(s + bias[1] - bias[0])))
+                total -= importance * np.log(chance if label else 1 - chance)
+        return total
+
+    def slope(parameter, at, step=1e-5):
+        sides = []
+        for sign in (1, -1):
+            moved = [p.copy() for p in (vectors, weights, bias)]
+            moved[parameter][at] += sign * step
+            sides.append(loss(*moved))
+        return (sides[0] - sides[1]) / (2 * step)
+
+    for place in np.argsort(-np.abs(by_vector[:, 0]))[:4]:
+        assert np.isclose(slope(0, (place, 0)), by_vector[place, 0] / len(sample), rtol=1e-3, atol=1e-7)
+    for place in ((0, 0), (1, 0), (1, weights.shape[1] - 1)):
+        assert np.isclose(slope(1, place), by_weight[place], rtol=1e-3, atol=1e-6)
+    for place in (0, 1):
+        assert np.isclose(slope(2, place), by_bias[place], rtol=1e-3, atol=1e-6)
