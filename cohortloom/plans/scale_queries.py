@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortloom.functions import columns
-from cohortloom.operators import cohorts, counts, features, filters, models
+from cohortloom.operators import cohorts, counts, features, filters, joins, models
 from cohortloom.plans import queries, roles
 from cohortloom.plans.oracle import COHORT, MARKERS, ORACLE, OUTCOME, TITLED, _xxhash64
 from cohortloom.plans.queries import query
@@ -321,3 +321,33 @@ def score_conditions(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE["score_conditions"] = f"""SELECT "HADM_ID", "LABEL", true AS by_formula, true AS likelier_class
     FROM ({ORACLE["training_rows"]}) dense JOIN ({_xxhash64("o_custkey", "(SELECT DISTINCT o_custkey FROM orders)")}) hashed
     ON key = "SUBJECT_ID" WHERE tenth >= 7"""
+
+
+@query
+def admission_grain_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Admissions with the counts of their own diagnoses by chapter: the matrix is built and attached on the admission key."""
+    coded = roles.admission_diagnoses(spark, sf_dir).join(roles.lookup(spark, sf_dir).select("ICD9_CODE", "CHAPTER"), "ICD9_CODE")
+    matrix = counts.count_matrix(coded, "HADM_ID", "CHAPTER", roles.CHAPTERS)
+    return joins.attach_matrix(roles.admissions(spark, sf_dir).select("SUBJECT_ID", "HADM_ID"), matrix, "HADM_ID")
+
+
+ORACLE["admission_grain_matrix"] = f"""SELECT any_value(o_custkey) AS "SUBJECT_ID", o_orderkey AS "HADM_ID",
+    {", ".join(f"count(*) FILTER (WHERE p_type = '{c}') AS " + f'"{c}"' for c in roles.CHAPTERS)}
+    FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey GROUP BY o_orderkey"""
+
+
+@query
+def random_split_conditions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each admission is in one part of a seeded random split, and the parts are near their shares."""
+    rows = materialize(roles.admissions(spark, sf_dir).select("HADM_ID"))
+    train, test = features.random_split(rows)
+    parts = train.withColumn("in_train", F.lit(1)).unionByName(test.withColumn("in_train", F.lit(0)))
+    total = F.count(F.lit(1))
+    return parts.agg(
+        total.alias("n"),
+        (F.count_distinct("HADM_ID") == total).alias("disjoint"),
+        F.avg("in_train").between(0.65, 0.75).alias("near_share"),
+    )
+
+
+ORACLE["random_split_conditions"] = "SELECT count(*) AS n, true AS disjoint, true AS near_share FROM orders"
