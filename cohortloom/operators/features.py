@@ -223,28 +223,27 @@ def random_split(df: DataFrame, train: float = 0.7, seed: int = 1) -> tuple[Data
 _HASH_BITS, _ROUND_BITS = 60, 12
 
 
-def split_thresholds(subjects: DataFrame, share: float, by: Sequence[str] = ()) -> DataFrame:
-    """``by, n_train, _bound, _rest``: for each group, how many of its subjects are wanted, and the hash up to which they are taken
-    (with so many of those that have this very hash).
+def split_thresholds(subjects: DataFrame, share: float) -> DataFrame:
+    """``_label_of, n_train, _bound, _rest``: for each label, how many of its subjects are wanted, and the hash up to which they are
+    taken (with so many of those that have this very hash). A label of which none are wanted has no row.
 
-    ``subjects`` has ``by`` and ``_hash``. The bound is found from its high bits down: each round counts, of the subjects that agree
-    with it so far, how many have which next bits. A group is never sorted; what a round brings together per group is a histogram.
+    ``subjects`` has ``_label`` and ``_hash``. The bound is found from its high bits down: each round counts, of the subjects that
+    agree with it so far, how many have which next bits. A label's subjects are never sorted; what a round brings together for a label is a
+    histogram.
     """
     wanted = F.floor(F.count(F.lit(1)) * F.lit(share)).alias("n_train")
-    state = subjects.groupBy(*by).agg(wanted).withColumns({"_bound": F.lit(0).cast("bigint"), "_rest": F.col("n_train")})
+    state = subjects.groupBy(F.col("_label").alias("_label_of")).agg(wanted)
+    state = state.withColumns({"_bound": F.lit(0).cast("bigint"), "_rest": F.col("n_train")}).where("_rest > 0")
     for shift in range(_HASH_BITS - _ROUND_BITS, -1, -_ROUND_BITS):
-        # names of their own: the search meets the same subjects in each round
-        known = materialize(state.where("_rest > 0").select(*[F.col(c).alias(f"{c}_of") for c in by], "n_train", "_bound", "_rest"))
-        agrees = F.shiftright("_hash", shift + _ROUND_BITS) == F.col("_bound")
-        for c in by:
-            agrees = agrees & F.col(c).eqNullSafe(F.col(f"{c}_of"))
-        met = subjects.select(*by, "_hash").join(broadcast_rows(known, known.count()), agrees)
-        groups = [*by, "n_train", "_rest"]
+        known = materialize(state)
+        agrees = F.col("_label").eqNullSafe(F.col("_label_of")) & (F.shiftright("_hash", shift + _ROUND_BITS) == F.col("_bound"))
+        met = subjects.select("_label", "_hash").join(broadcast_rows(known, known.count()), agrees)
+        groups = ["_label_of", "n_train", "_rest"]
         counts = met.groupBy(*groups, F.shiftright("_hash", shift).alias("_next")).agg(F.count(F.lit(1)).alias("_n"))
         upto = Window.partitionBy(*groups).orderBy("_next").rowsBetween(Window.unboundedPreceding, 0)
         counts = counts.withColumn("_upto", F.sum("_n").over(upto))
         state = counts.where((F.col("_upto") >= F.col("_rest")) & (F.col("_upto") - F.col("_n") < F.col("_rest"))).select(
-            *by, "n_train", F.col("_next").alias("_bound"), (F.col("_rest") - F.col("_upto") + F.col("_n")).alias("_rest")
+            "_label_of", "n_train", F.col("_next").alias("_bound"), (F.col("_rest") - F.col("_upto") + F.col("_n")).alias("_rest")
         )
     return materialize(state)
 
@@ -255,19 +254,13 @@ def exact_split(df: DataFrame, key: str, share: float = 0.7, label: str | None =
 
     Keys go by a hash, equal hashes by the key, so the split doesn't depend on the partitioning. A null key is a key like others.
     """
-    by = [] if label is None else ["_label"]
-    strata = [] if label is None else [F.max(label).alias("_label")]
-    keys = df.groupBy(F.col(key).alias("_key")).agg(F.count(F.lit(1)).alias("_rows"), *strata)
+    stratum = F.lit("") if label is None else F.max(label)
+    keys = df.groupBy(F.col(key).alias("_key")).agg(F.count(F.lit(1)).alias("_rows"), stratum.alias("_label"))
     keys = materialize(keys.withColumn("_hash", F.coalesce(_hash_of(F.col("_key")), F.lit(0))))
-    bounds = split_thresholds(keys, share, by).select(*[F.col(c).alias(f"{c}_of") for c in by], "_bound", "_rest")
-    same = F.lit(True)
-    for c in by:
-        same = same & F.col(c).eqNullSafe(F.col(f"{c}_of"))
-    few = broadcast_rows(bounds, bounds.count())
-    marked = keys.join(few, same, "left") if by else keys.join(F.broadcast(bounds), F.col("_hash") <= F.col("_bound"), "left")
-    tied = marked.where(F.col("_hash") == F.col("_bound"))
-    place = F.row_number().over(Window.partitionBy(*by, "_hash").orderBy("_key"))
-    tied = tied.withColumn("_place", place).where(F.col("_place") <= F.col("_rest"))
+    bounds = split_thresholds(keys, share)
+    marked = keys.join(broadcast_rows(bounds, bounds.count()), F.col("_label").eqNullSafe(F.col("_label_of")))
+    place = F.row_number().over(Window.partitionBy("_label_of", "_hash").orderBy("_key"))
+    tied = marked.where(F.col("_hash") == F.col("_bound")).withColumn("_place", place).where(F.col("_place") <= F.col("_rest"))
     taken = marked.where(F.col("_hash") < F.col("_bound")).select("_key").unionByName(tied.select("_key"))
     own, mark = free_name(df.columns, "_key"), free_name(df.columns, "_chosen")
     chosen = materialize(taken.select(F.col("_key").alias(own), F.lit(True).alias(mark)))

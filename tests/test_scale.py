@@ -132,3 +132,10 @@ def test_scan_with_an_account(spark, tmp_path):
     assert totals == {"n_rows": 4, "n_rejected_rows": 3, "ROW_ID": 1, "CHARTTIME": 2, "VALUENUM": 1}
     typed = {r["SUBJECT_ID"]: r for r in rows.where("SUBJECT_ID <> '10'").collect()}
     assert typed["12"]["VALUENUM"] == -3.0 and typed["12"]["CHARTTIME"] is None and typed["11"]["rejected"] == ["ROW_ID"]
+
+
+def test_a_split_never_sorts_its_subjects(spark):
+    """What is ordered in a window is a histogram, or keys of one hash."""
+    keys = spark.range(5000).select(F.lit("all").alias("_label"), features._hash_of(F.col("id")).alias("_hash"))
+    bound = features.split_thresholds(keys, 0.7).first()
+    assert bound["n_train"] == 3500 and keys.where(F.col("_hash") <= bound["_bound"]).count() == 3500
