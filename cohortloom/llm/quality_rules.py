@@ -34,6 +34,8 @@ LEAST_WORDS, REPEATED_PERCENT, WINDOW = 50, 50, 3
 CLASSES = ("[a-z]", r"[\x20\x09-\x0D]", r"[^\x00-\x7F]", "[A-Z]", r"[.,;:!?'\x22()\x2D]", "[0-9]")
 #: Common words of a language, the weight of a document in whole numbers.
 COMMON, UNIT = 25, 1_000_000
+#: Values of the short hash that tells most other words from the common ones, a power of two.
+SLOTS = 1024
 #: Characters and words from which shares are held against the reference, and the divergence above which a document goes.
 LEAST_CHARS, LEAST_COMPARED = 200, 100
 MOST_CLASS_DIVERGENCE, MOST_WORD_DIVERGENCE = 0.11, 0.11
@@ -157,8 +159,17 @@ def _word_weights(rows: DataFrame) -> DataFrame:
     return words.groupBy("lang", "word").agg(F.sum("part").alias("weight"))
 
 
+def _slot(word: Column) -> Column:
+    return F.xxhash64(word).bitwiseAND(F.lit(SLOTS - 1)).cast("int")
+
+
+def _slots(words: Column) -> Column:
+    """For each value of a short hash, whether one of the words has it."""
+    return _let(F.transform(words, _slot), lambda taken: F.transform(F.sequence(F.lit(0), F.lit(SLOTS - 1)), lambda k: F.array_contains(taken, k)))
+
+
 def language_references(docs: DataFrame, language: str = "lang", common: int = COMMON) -> DataFrame:
-    """``lang, class_shares, common_words, longest, common_shares``; the first of the common shares is that of all other words."""
+    """``lang, class_shares, common_words, slots, common_shares``; the first of the common shares is that of all other words."""
     rows = docs.select(F.col(language).cast("string").alias("lang"), text_or_empty().alias("text"))
     total = F.char_length("text").cast("bigint")
     shapes = with_class_counts(rows.filter("text <> ''")).select("lang", "classes", total.alias("total"))
@@ -176,7 +187,7 @@ def language_references(docs: DataFrame, language: str = "lang", common: int = C
     by_word = top.withColumnRenamed("lang", "_lang").join(totals, F.col("_lang").eqNullSafe(F.col("lang"))).select(
         "_lang",
         F.col("top.word").alias("common_words"),
-        F.array_max(F.transform("top", lambda x: F.octet_length(x["word"]))).alias("longest"),
+        _slots(F.col("top.word")).alias("slots"),
         F.concat(
             F.array((F.col("total") - F.col("known")) / F.col("total")),
             _let(F.col("total"), lambda t: F.transform("top", lambda x: x["weight"] / t)),
@@ -202,12 +213,11 @@ def _with_word_divergence(rows: DataFrame) -> DataFrame:
     """Adds ``word_divergence``. The places of a text's common words are sorted, so a bin is a run; bins without a word add half
     their share."""
 
-    def place(known: Column, longest: Column) -> Callable[[Column], Column]:
-        return lambda w: F.when(F.octet_length(w) <= longest, F.array_position(known, w)).otherwise(F.lit(0).cast("bigint"))
+    def place(known: Column, slots: Column) -> Callable[[Column], Column]:
+        # most words aren't common, and most of those fall into an empty slot
+        return lambda w: F.when(F.get(slots, _slot(w)), F.array_position(known, w)).otherwise(F.lit(0).cast("bigint"))
 
-    met = _let(
-        F.col("common_words"), lambda known: _let(F.col("longest"), lambda longest: F.transform("words", place(known, longest)))
-    )
+    met = _let(F.col("common_words"), lambda known: _let(F.col("slots"), lambda slots: F.transform("words", place(known, slots))))
     rows = rows.withColumn("met", F.sort_array(F.filter(met, lambda k: k > 0)))
 
     def run_ends(places: Column) -> Column:
@@ -232,7 +242,7 @@ def _with_word_divergence(rows: DataFrame) -> DataFrame:
 
 def _small(references: DataFrame) -> DataFrame:
     """The references, for a broadcast where their counted rows and measured bytes are few."""
-    width = F.coalesce(F.octet_length(F.array_join("common_words", "")), F.lit(0)) + 16 * COMMON + 200
+    width = F.coalesce(F.octet_length(F.array_join("common_words", "")), F.lit(0)) + 16 * COMMON + SLOTS + 200
     rows, size = references.agg(F.count(F.lit(1)), F.coalesce(F.sum(width.cast("bigint")), F.lit(0))).first()
     return F.broadcast(references) if rows <= BROADCAST_ROWS and size <= BROADCAST_BYTES else references
 
