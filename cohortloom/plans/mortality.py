@@ -137,11 +137,11 @@ def _cell_counts(
     """``on, XCODE, n``: codes of each subject, and categories of its admissions and, as often as it was admitted, of its own.
 
     Each table is counted by subject first, so what is joined has a row per subject and value. Categories are those of known
-    patients with codes.
+    patients with codes. The counts are written out.
     """
     plain = codes.select(on, F.col("XCODE").cast("string").alias("XCODE")).groupBy(on, "XCODE").agg(F.count(F.lit(1)).alias("n"))
     if not (patient_categories or admission_categories):
-        return plain
+        return materialize(plain)
 
     def marked(columns: Sequence[str]) -> list[Column]:
         return [F.concat(F.lit(f"{c}:"), F.col(c).cast("string")) for c in columns]
@@ -149,13 +149,15 @@ def _cell_counts(
     # the empty mark stands for the admission itself
     marks = F.explode(F.array_compact(F.array(F.lit(""), *marked(admission_categories)))).alias("XCODE")
     visits = admissions.select(on, marks).groupBy(on, "XCODE").agg(F.count(F.lit(1)).alias("n"))
-    with_codes = codes.select(on).distinct()
     own = F.array_compact(F.array(*marked(patient_categories))) if patient_categories else F.array().cast("array<string>")
-    known = patients.join(with_codes, on, "left_semi").select(on, own.alias("_own"))
-    cells = visits.join(known, on)
+    cells = visits.join(patients.select(on, own.alias("_own")), on)
     # an admission's mark stays as it is, the empty one becomes the patient's marks
     shown = F.when(F.col("XCODE") == "", F.col("_own")).otherwise(F.array("XCODE"))
-    return plain.unionByName(cells.select(on, F.explode(shown).alias("XCODE"), "n"))
+    cells = cells.select(on, F.explode(shown).alias("XCODE"), "n", F.lit(False).alias("_coded"))
+    # written before it is known who has codes, so that the events behind the codes are read once
+    counted = materialize(plain.withColumn("_coded", F.lit(True)).unionByName(cells))
+    with_codes = counted.where("_coded").select(on).distinct()
+    return counted.join(with_codes, on, "left_semi").drop("_coded")
 
 
 def training_vectors(
@@ -176,7 +178,7 @@ def training_vectors(
     free. ``numbers`` are columns of the patient or the admission that follow the counts; nulls in them become ``fill``, or NaN
     without one. Subjects without codes drop out.
     """
-    counted = materialize(_cell_counts(patients, admissions, codes, patient_categories, admission_categories, on))
+    counted = _cell_counts(patients, admissions, codes, patient_categories, admission_categories, on)
     listed = vocabulary if vocabulary is not None else positions(counted, "XCODE")
     known = patients.select(on, *[c for c in patients.columns if c not in admissions.columns])
     # all that there is per subject is written together, so that the join with the admissions can split a heavy subject
