@@ -84,3 +84,20 @@ def test_imports_without_the_corpus_folders(tmp_path):
     done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path / "repo", env={**os.environ, "PYTHONPATH": ""}, capture_output=True, text=True)
     assert done.returncode == 0, done.stderr
     assert done.stdout.split() == [str(len(queries.REGISTRY)), str(len(driver.ORACLE)), "0"]
+
+
+def test_imports_without_a_library_of_the_corpus_part():
+    """Where a library is absent that only corpus operators need, the other queries are there, with a warning."""
+    root = os.path.dirname(os.path.abspath(driver.__file__))
+    code = "import sys; sys.modules['sentencepiece'] = None; import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"
+    done = subprocess.run([sys.executable, "-c", code], cwd=root, env={**os.environ, "PYTHONPATH": ""}, capture_output=True, text=True)
+    assert done.returncode == 0, done.stderr
+    if os.path.isdir(os.path.join(root, "cohortloom", "llm")):
+        assert "no corpus queries" in done.stderr
+    assert done.stdout.split() == [str(len(queries.REGISTRY)), str(len(driver.ORACLE))]
+
+
+def test_models_score_after_a_scan_with_an_account(spark, duck):
+    """Observing a scan leaves the session able to send fitted models to executors."""
+    driver.queries()["scan_account"](spark, SMALL).collect()
+    assert driver.queries()["score_rows"](spark, SMALL).count() > 0
