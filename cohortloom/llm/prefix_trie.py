@@ -193,8 +193,8 @@ def prefix_trie(conversations: DataFrame) -> DataFrame:
     paths = written(paths.withColumn("parent", F.coalesce("parent", F.lit(_ROOT))), "paths")
     members = members.join(paths.select("conv", F.col("pos").alias("depth"), "name", "parent"), ["conv", "depth", "name"])
     members = written(members, "members")
-    children = members.groupBy("parent").agg(F.count(F.lit(1)).alias("n_children"), F.min("depth").alias("_d"))
-    nodes = members.join(children.select(F.col("parent").alias("name"), "n_children"), "name", "left")
+    children = members.groupBy(F.col("parent").alias("name")).agg(F.count(F.lit(1)).alias("n_children"))
+    nodes = members.join(written(children, "children"), "name", "left")
     nodes = nodes.withColumn("n_children", F.coalesce("n_children", F.lit(0)))
     nodes = nodes.withColumns(
         {"leaf": (F.col("n_children") == 0).cast("bigint"), "saved": (F.col("n_convs") - 1) * F.col("w")}
