@@ -38,6 +38,8 @@ WINDOW_STEPS, DOCUMENT_STEPS, STEP = 25, 60, 0.08
 #: Words that a worker remembers before it starts afresh.
 CACHED = 300_000
 THRESHOLD = 0.3
+#: Words whose subwords are made at a time.
+_WORDS_AT_ONCE = 1 << 16
 
 _WORDS = re.compile(r"\w+(?:[@*$!#]\w+)*")
 
@@ -56,6 +58,17 @@ class Bags:
 
     @classmethod
     def of(cls, words: list[str]) -> Bags:
+        """The bags of all words, made part by part."""
+        parts = [cls._of(words[at : at + _WORDS_AT_ONCE]) for at in range(0, max(len(words), 1), _WORDS_AT_ONCE)]
+        if len(parts) == 1:
+            return parts[0]
+        starts = np.cumsum([0, *(len(p.sizes) for p in parts[:-1])])
+        buckets = [np.concatenate([p.buckets[k] for p in parts]) for k in range(len(GRAMS) + 1)]
+        owners = [np.concatenate([p.words[k] + np.int32(s) for p, s in zip(parts, starts)]) for k in range(len(GRAMS) + 1)]
+        return cls(buckets, owners, np.concatenate([p.sizes for p in parts]))
+
+    @classmethod
+    def _of(cls, words: list[str]) -> Bags:
         marked = ["<" + w + ">" for w in words]
         codes = np.frombuffer("".join(marked).encode("utf-32-le"), np.uint32).astype(np.uint64)
         lengths = np.array([len(m) for m in marked], np.int64)
@@ -67,7 +80,10 @@ class Bags:
         rolling = np.zeros(len(codes), np.uint64)
         for n in range(1, max(GRAMS) + 1):
             if n > len(codes):
-                break
+                if n in GRAMS:
+                    buckets.append(np.zeros(0, np.int32))
+                    owners.append(np.zeros(0, np.int32))
+                continue
             rolling = rolling[: len(codes) - n + 1] * np.uint64(1_000_003) + codes[n - 1 :] + np.uint64(n)
             if n in GRAMS:
                 inside = left[: len(rolling)] >= n
@@ -147,42 +163,46 @@ class ToxicityModel:
         target, counts = np.array(known, np.float64).reshape(-1, 2).T
         if not 0 < target.sum() < len(target):
             return cls(np.zeros(1 << BITS, np.float32), float(np.log(max(share, 1e-6) / max(1 - share, 1e-6))))
-        bags = Bags.of(list(vocabulary))
+        n_vocabulary, bags = len(vocabulary), Bags.of(list(vocabulary))
+        vocabulary.clear()
         n_windows = np.array([max(1, len(d) - WINDOW + 1) for d in docs])
         first = np.concatenate([[0], np.cumsum(n_windows)])
         width = np.minimum([len(d) for d in docs], WINDOW)
         flat = np.concatenate(docs)
         begins = np.concatenate([[0], np.cumsum([len(d) for d in docs])])[:-1]
+        n_docs = len(docs)
+        docs.clear()
         # the start of each window in the concatenated words
-        at = np.concatenate([b + np.arange(n) for b, n in zip(begins, n_windows)])
-        owner = np.repeat(np.arange(len(docs)), n_windows)
+        at = np.concatenate([np.arange(b, b + n, dtype=np.int32) for b, n in zip(begins, n_windows)])
+        owner = np.repeat(np.arange(n_docs, dtype=np.int32), n_windows)
+        widths = width.astype(np.int32)[owner]
         rng = np.random.default_rng(seed)
         vectors = rng.normal(0, 0.1, (1 << BITS, WIDTH)).astype(np.float32)
         weights = rng.normal(0, 0.5, (2, WIDTH)).astype(np.float32)
         bias = np.array([0.0, np.log(share / (1 - share))], np.float32)
         steps = _Adam(vectors), _Adam(weights), _Adam(bias)
         gradient = np.empty_like(vectors)
-        even = np.where(target == 1, 0.5 / target.sum(), 0.5 / (len(docs) - target.sum()))
+        even = np.where(target == 1, 0.5 / target.sum(), 0.5 / (n_docs - target.sum()))
         for k in range(WINDOW_STEPS + DOCUMENT_STEPS):
             margin = weights[1] - weights[0]
             by_word = bags.mean(vectors @ margin)
-            scores = _window_scores(by_word[flat], at, width[owner])
+            shown = _window_scores(by_word[flat], at, widths)
             if k < WINDOW_STEPS:
-                chosen, importance = np.arange(len(at)), (even / n_windows)[owner]
+                doc, starts, wide, importance = owner, at, widths, (even / n_windows)[owner]
             else:
-                chosen = _highest(scores, first)
-                importance = counts / counts.sum()
-            doc = owner[chosen]
-            chance = 1 / (1 + np.exp(-(scores[chosen] + bias[1] - bias[0])))
-            error = (chance - target[doc]) * importance
-            each = error / width[doc]
-            opened = np.bincount(at[chosen], weights=each, minlength=len(flat) + 1)
-            closed = np.bincount(at[chosen] + width[doc], weights=each, minlength=len(flat) + 1)
+                chosen = _highest(shown, first)
+                doc, starts, wide, shown, importance = owner[chosen], at[chosen], widths[chosen], shown[chosen], counts / counts.sum()
+            error = 1 / (1 + np.exp(-(shown + bias[1] - bias[0])))
+            error -= target[doc]
+            error *= importance
+            each = error / wide
+            opened = np.bincount(starts, weights=each, minlength=len(flat) + 1)
+            closed = np.bincount(starts + wide, weights=each, minlength=len(flat) + 1)
             by_place = np.cumsum(opened - closed)[:-1]
-            by_vocabulary = np.bincount(flat, weights=by_place, minlength=len(vocabulary))
+            by_vocabulary = np.bincount(flat, weights=by_place, minlength=n_vocabulary)
             dealt = bags.spread(by_vocabulary).astype(np.float32)
             slope = dealt @ vectors  # of the margin
-            np.multiply(dealt[:, None] * np.float32(len(docs)), margin, out=gradient)
+            np.multiply(dealt[:, None] * np.float32(n_docs), margin, out=gradient)
             steps[0].step(gradient)
             steps[1].step(np.stack([-slope, slope]))
             steps[2].step(np.array([-error.sum(), error.sum()], np.float32))

@@ -150,3 +150,13 @@ def test_the_gradient_is_that_of_the_loss(monkeypatch, steps):
         assert np.isclose(slope(1, place), by_weight[place], rtol=1e-3, atol=1e-6)
     for place in (0, 1):
         assert np.isclose(slope(2, place), by_bias[place], rtol=1e-3, atol=1e-6)
+
+
+def test_bags_by_parts_as_the_whole(monkeypatch):
+    draw = random.Random(3)
+    words = ["".join(draw.choices("abcé", k=draw.randint(1, 9))) for _ in range(203)] + ["", "a"]
+    whole = Bags.of(words)
+    monkeypatch.setattr(toxicity, "_WORDS_AT_ONCE", 17)
+    parts = Bags.of(words)
+    for a, b in zip([*whole.buckets, *whole.words, whole.sizes], [*parts.buckets, *parts.words, parts.sizes]):
+        assert np.array_equal(a, b)
