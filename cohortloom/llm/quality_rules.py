@@ -1,7 +1,7 @@
 r"""Quality rules: counts over words and lines, and the divergence of a document from its language.
 
-A language's reference is what its documents look like on average: the shares of the classes of characters, and of its most
-common words with one bin for all others. Every document has the same weight in it, whatever its length, in whole numbers, so the
+A language's reference is what its documents look like on average: the shares of the classes of characters in words, and of its
+most common words with one bin for all others. Every document has the same weight in it, whatever its length, in whole numbers, so the
 sums don't depend on their order. The common words come from counts of all words of all documents, summed up in parts before the
 shuffle; the best of a language are picked in parts too. A document is held against the reference of its language by the
 Jensen-Shannon divergence (0 to 1, in bits), where it is long enough for its own shares to mean something.
@@ -30,8 +30,8 @@ from cohortloom.session import BROADCAST_BYTES, BROADCAST_ROWS
 BLANKS, SYMBOLS = " \t\n\u000b\f\r", "#*$%&|<>"
 #: Least words of a document, most words in repeated windows of three (in percent).
 LEAST_WORDS, REPEATED_PERCENT, WINDOW = 50, 50, 3
-#: Classes of characters, one taken out after the other; what is left is the last class.
-CLASSES = ("[a-z]", r"[\x20\x09-\x0D]", r"[^\x00-\x7F]", "[A-Z]", r"[.,;:!?'\x22()\x2D]", "[0-9]")
+#: Classes of characters in words, one taken out after the other; what is left is the last class.
+CLASSES = ("[a-z]", r"[^\x00-\x7F]", "[A-Z]", r"[.,;:!?'\x22()\x2D]", "[0-9]")
 #: Common words of a language, the weight of a document in whole numbers.
 COMMON, UNIT = 25, 1_000_000
 #: Values of the short hash that tells most other words from the common ones, a power of two.
@@ -135,21 +135,14 @@ def _total(counts: Column) -> Column:
 
 def measured(docs: DataFrame, language: str) -> DataFrame:
     """Each document's counts of words, symbols, lines, repeats and classes of characters, and its words."""
-    text = F.col("text")
-    rows = docs.select("doc_id", F.col(language).cast("string").alias("lang"), text_or_empty().alias("text"))
-    rows = rows.withColumns({"words": blank_words(text), "lines": F.filter(F.split(text, "\n"), lambda s: F.btrim(s, F.lit(BLANKS)) != "")})
-    rows = with_class_counts(_repeated(rows))
-    return rows.select(
-        "doc_id",
-        "lang",
-        F.size("words").cast("bigint").alias("n_words"),
-        F.char_length(F.array_join("words", "")).cast("bigint").alias("word_chars"),
-        "n_symbols",
-        (F.size("lines") - F.size(F.array_distinct("lines"))).cast("bigint").alias("n_dup_lines"),
-        "n_repeat_words",
-        "classes",
-        "words",
-    )
+    rows = docs.select("doc_id", F.col(language).cast("string").alias("lang"), text_or_empty().alias("whole"))
+    lines = F.filter(F.split("whole", "\n"), lambda s: F.btrim(s, F.lit(BLANKS)) != "")
+    equal = _let(lines, lambda found: F.size(found) - F.size(F.array_distinct(found)))
+    # the text goes as soon as it is words, and the words' characters as soon as they are counted: each step copies its rows
+    rows = rows.select("doc_id", "lang", blank_words(F.col("whole")).alias("words"), equal.cast("bigint").alias("n_dup_lines"))
+    rows = with_class_counts(rows.withColumn("text", F.array_join("words", "")))
+    rows = _repeated(rows.withColumn("word_chars", F.char_length("text").cast("bigint")).drop("text"))
+    return rows.withColumn("n_words", F.size("words").cast("bigint"))
 
 
 def _word_weights(rows: DataFrame) -> DataFrame:
@@ -171,15 +164,15 @@ def _slots(words: Column) -> Column:
 def language_references(docs: DataFrame, language: str = "lang", common: int = COMMON) -> DataFrame:
     """``lang, class_shares, common_words, slots, common_shares``; the first of the common shares is that of all other words."""
     rows = docs.select(F.col(language).cast("string").alias("lang"), text_or_empty().alias("text"))
-    total = F.char_length("text").cast("bigint")
-    shapes = with_class_counts(rows.filter("text <> ''")).select("lang", "classes", total.alias("total"))
+    weighed = written(_word_weights(rows), "word-weights")
     width = len(CLASSES) + 1
-    shares = [F.sum(F.expr(f"classes[{k}] * {UNIT} div total")).alias(f"s{k}") for k in range(width)]
+    # characters are counted in the different words, of which there are far fewer than places
+    shapes = with_class_counts(weighed.select("lang", "weight", F.col("word").alias("text")))
+    sums = [F.sum(F.col("weight") * F.get("classes", F.lit(k))).alias(f"s{k}") for k in range(width)]
     whole = F.aggregate(F.array(*[f"s{k}" for k in range(width)]), F.lit(0).cast("bigint"), lambda a, x: a + x)
-    by_class = shapes.groupBy("lang").agg(*shares).select(
+    by_class = shapes.groupBy("lang").agg(*sums).select(
         "lang", F.array(*[F.col(f"s{k}") / whole for k in range(width)]).alias("class_shares")
     )
-    weighed = written(_word_weights(rows), "word-weights")
     totals = weighed.groupBy("lang").agg(F.sum("weight").alias("total"))
     best = Window.partitionBy("lang").orderBy(F.desc("weight"), "word")
     top = weighed.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= common)
@@ -193,7 +186,7 @@ def language_references(docs: DataFrame, language: str = "lang", common: int = C
             _let(F.col("total"), lambda t: F.transform("top", lambda x: x["weight"] / t)),
         ).alias("common_shares"),
     )
-    return by_class.join(by_word, F.col("lang").eqNullSafe(F.col("_lang")), "left").drop("_lang")
+    return by_class.join(by_word, F.col("lang").eqNullSafe(F.col("_lang"))).drop("_lang")
 
 
 def _part(p: Column, q: Column) -> Column:
@@ -268,15 +261,18 @@ def judge(docs: DataFrame, language: str = "lang") -> DataFrame:
 
 def judge_sql() -> str:
     """DuckDB SQL for the rows of ``judge`` on the table documents."""
-    rest, cuts = "text", []
-    for k, pattern in enumerate(CLASSES):
-        after = f"regexp_replace({rest}, '{pattern.replace(chr(39), chr(39) * 2)}+', '', 'g')"
-        cuts.append((rest, after))
-        rest = after
-    sizes = [f"length({left}) - length({after})" for left, after in cuts] + [f"length({rest})"]
-    classes = ",\n    ".join(f"{size} AS c{k}" for k, size in enumerate(sizes))
+
+    def classes(text: str) -> str:
+        rest, cuts = text, []
+        for pattern in CLASSES:
+            after = f"regexp_replace({rest}, '{pattern.replace(chr(39), chr(39) * 2)}+', '', 'g')"
+            cuts.append((rest, after))
+            rest = after
+        sizes = [f"length({left}) - length({after})" for left, after in cuts] + [f"length({rest})"]
+        return ",\n    ".join(f"{size} AS c{k}" for k, size in enumerate(sizes))
+
     n = len(CLASSES) + 1
-    shares = ", ".join(f"sum(c{k} * {UNIT} // total) AS s{k}" for k in range(n))
+    shares = ", ".join(f"sum(weight * c{k}) AS s{k}" for k in range(n))
     whole = " + ".join(f"s{k}" for k in range(n))
     refs = ", ".join(f"s{k} / ({whole}) AS q{k}" for k in range(n))
 
@@ -301,14 +297,14 @@ WITH docs AS (
 ), repeats AS (
   SELECT r, count(DISTINCT pos + d) AS n_repeat_words FROM twice, range({WINDOW}) AS t(d) GROUP BY r
 ), shapes AS (
-  SELECT r, lang, length(text) AS total,
-    {classes}
-  FROM docs
-), class_refs AS (
-  SELECT lang, {refs} FROM (SELECT lang, {shares} FROM shapes WHERE total > 0 GROUP BY lang)
+  SELECT r, lang, length(joined) AS total,
+    {classes("joined")}
+  FROM (SELECT r, lang, coalesce(array_to_string(words, ''), '') AS joined FROM docs)
 ), weights AS (
   SELECT lang, word, sum(part) AS weight FROM (
     SELECT lang, {UNIT} // len(words) AS part, unnest(words) AS word FROM docs WHERE len(words) > 0) GROUP BY ALL
+), class_refs AS (
+  SELECT lang, {refs} FROM (SELECT lang, {shares} FROM (SELECT lang, weight, {classes("word")} FROM weights) GROUP BY lang)
 ), ranked AS (
   SELECT *, row_number() OVER (PARTITION BY lang ORDER BY weight DESC, word) AS place, sum(weight) OVER (PARTITION BY lang) AS total
   FROM weights

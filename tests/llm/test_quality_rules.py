@@ -45,9 +45,6 @@ def references(docs):
     found = {}
     for lang in {d[2] for d in docs}:
         texts = [d[1] or "" for d in docs if d[2] == lang]
-        shape = [0] * (len(rules.CLASSES) + 1)
-        for t in filter(None, texts):
-            shape = [s + c * rules.UNIT // len(t) for s, c in zip(shape, classes(t))]
         weights = Counter()
         for t in texts:
             for w, n in Counter(own := words_of(t)).items():
@@ -55,6 +52,7 @@ def references(docs):
         top = sorted(weights.items(), key=lambda x: (-x[1], x[0].encode()))[: rules.COMMON]
         total = sum(weights.values())
         shares = [(total - sum(n for _, n in top)) / total, *[n / total for _, n in top]] if total else None
+        shape = [sum(n * c for n, c in zip(weights.values(), column)) for column in zip(*map(classes, weights))]
         found[lang] = ([s / sum(shape) for s in shape] if sum(shape) else None, [w for w, _ in top], shares)
     return found
 
@@ -63,11 +61,11 @@ def brute(docs):
     known = references(docs)
     for doc_id, text, lang in docs:
         counts, (shape, common, shares) = base(text), known[lang]
-        text = text or ""
         far, word_far = None, None
-        if len(text) >= rules.LEAST_CHARS:
-            far = divergence([c / len(text) for c in classes(text)], shape)
-        if len(own := words_of(text)) >= rules.LEAST_COMPARED and shares:
+        joined = "".join(own := words_of(text))
+        if len(joined) >= rules.LEAST_CHARS:
+            far = divergence([c / len(joined) for c in classes(joined)], shape)
+        if len(own) >= rules.LEAST_COMPARED and shares:
             n = Counter()
             for w, times in Counter(own).items():
                 n[common.index(w) + 1 if w in common else 0] += times
