@@ -186,26 +186,25 @@ def _near(a: str, b: str) -> Column:
 
 
 def fingerprint_classes(distinct: DataFrame) -> DataFrame:
-    """``fp, root`` for each of the distinct fingerprints: the smallest fingerprint that links reach."""
+    """The distinct fingerprints with their columns and ``root``: the smallest fingerprint that links reach."""
     keys = written(key_table(distinct), "golay-keys")
     pivots = keys.groupBy(F.col("key").alias("met")).agg(F.min("fp").alias("low"), F.max("fp").alias("high")).filter("low < high")
     pivots = written(pivots, "golay-pivots")  # for a shuffle on both sides of the join, which can then split a hot key
     ends = [(F.col("fp") != F.col(pivot)) & _near("fp", pivot) for pivot in ("low", "high")]
     near = keys.select("key", "fp").join(pivots, (F.col("key") == F.col("met")) & (ends[0] | ends[1]))
     near = near.select("fp", F.explode(F.array("low", "high")).alias("pivot")).filter(_near("fp", "pivot"))
-    stars = written(components(near.filter(F.col("fp") != F.col("pivot")).distinct()), "stars")
+    stars = components(near)
     labelled = keys.join(stars, F.col("fp") == F.col("node"), "left")
     labelled = written(labelled.select("key", "side", "fp", F.coalesce("root", "fp").alias("label")), "golay-labels")
-    across = _links_across(labelled)
-    joined = written(components(across), "joined-stars")
-    rooted = distinct.select("fp").join(stars, F.col("fp") == F.col("node"), "left")
-    rooted = rooted.select("fp", F.coalesce("root", "fp").alias("label"))
+    joined = components(_links_across(labelled))
+    rooted = distinct.join(stars, F.col("fp") == F.col("node"), "left")
+    rooted = rooted.select(*distinct.columns, F.coalesce("root", "fp").alias("label"))
     rooted = rooted.join(joined, F.col("label") == F.col("node"), "left")
-    return rooted.select("fp", F.coalesce("root", "label").alias("root"))
+    return rooted.select(*distinct.columns, F.coalesce("root", "label").alias("root"))
 
 
 def _links_across(labelled: DataFrame) -> DataFrame:
-    """``a, b``: labels of which some fingerprints that share a key are linked.
+    """``a, b``: labels of which some fingerprints that share a key are linked, once for each such pair of them.
 
     A label's fingerprints in a key are first reduced to their common bits. Two labels are looked at where those differ in few
     enough bits, by the fingerprints of the smaller one against those of the other.
@@ -239,14 +238,14 @@ def _links_across(labelled: DataFrame) -> DataFrame:
     linked = few.join(
         labelled, (F.col("key") == F.col("met")) & (F.col("label") == F.col("large")) & _near("fp", "fp_small")
     )
-    return linked.select(F.col("small").alias("a"), F.col("large").alias("b")).distinct()
+    return linked.select(F.col("small").alias("a"), F.col("large").alias("b"))
 
 
 def near_components(docs: DataFrame) -> DataFrame:
     """``doc_id, fp, component_id`` of each document: the smallest doc_id that links reach."""
     marked = written(fingerprints(docs), "fingerprints")
     distinct = written(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct-fingerprints")
-    classes = written(fingerprint_classes(distinct).join(distinct, "fp"), "fingerprint-classes")
+    classes = written(fingerprint_classes(distinct), "fingerprint-classes")
     # written, so that the join has a shuffle on both sides and can split a root with very many fingerprints
     named = written(classes.groupBy("root").agg(F.min("first").alias("component_id")), "component-names")
     return marked.join(classes.join(named, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")

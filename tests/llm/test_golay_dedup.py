@@ -93,6 +93,35 @@ def test_components_of_links(spark):
     assert components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
 
 
+SHAPES = {
+    "a star": [(n, 0) for n in range(1, 60)] * 2,
+    "stars turned round": [(-n, n % 7) for n in range(1, 60)],
+    "a path": [(n, n + 1) for n in range(64)],
+    "a path out of order": [(n * 29 % 64, (n + 1) * 29 % 64) for n in range(63)],
+    "two ends in many": [(n, m) for n in (-5, 3) for m in range(10, 40)],
+    "repeats and loops": [(1, 2), (2, 1), (2, 2), (1, 2), (9, 9), (3, 2)],
+}
+
+
+@pytest.mark.parametrize("shape", SHAPES)
+def test_components_of_shapes(spark, shape):
+    links = SHAPES[shape]
+    expected = {n: r for n, r in roots({n for pair in links for n in pair}, links).items() if n != r}
+    found = components(spark.createDataFrame(links, "a bigint, b bigint").repartition(3)).collect()
+    assert sorted((r["node"], r["root"]) for r in found) == sorted(expected.items())
+
+
+@pytest.mark.parametrize("links, most", [([(n, n % 5) for n in range(5, 300)], 2), ([(n, n // 2) for n in range(1, 300)], 17)])
+def test_few_tables_are_written_for_components(spark, monkeypatch, links, most):
+    """Stars are done once they have been looked at, and no round is run only to see that it changes nothing."""
+    from cohortloom.llm import components as module
+
+    names = []
+    monkeypatch.setattr(module, "written", lambda df, name: names.append(name) or written(df, name))
+    found = module.components(spark.createDataFrame(links, "a bigint, b bigint"))
+    assert found.count() == len(links) and len(names) <= most, names
+
+
 def test_documents_against_all_pairs(spark):
     """Chains, a dense group and two that touch: the texts are such that fingerprints lie close together."""
     draw = random.Random(8)
